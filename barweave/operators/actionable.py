@@ -169,55 +169,13 @@ def strength_rank(label: Column) -> Column:
 
 
 SIGNAL = (
-    "symbol", "signal_type", "strength", "strength_rank", "confidence", "entry_price", "target_price",
+    "signal_type", "strength", "strength_rank", "confidence", "entry_price", "target_price",
     "stop_loss", "trajectory_confirmed", "time_horizon", "reasons", "risk_reward_ratio", "signal_ts",
     "signal_quality_score", "market_regime", "position_size_pct", "max_portfolio_exposure",
     "sector_bias", "gap_risk_factor",
 )
 
 
-def _sum_points(items: list[tuple[Column, object, object]]) -> tuple[Column, Column]:
-    """Total points and reason texts of the conditions that hold."""
-    points = sum((F.when(cond, p).otherwise(0.0) for cond, p, _ in items), F.lit(0.0))
-    texts = F.array_compact(F.array(*[F.when(cond, lit_or_col(text)) for cond, _, text in items]))
-    return points, texts
-
-
-def _signal(f: DataFrame, side: str, items, blocked: Column, extra_points: Column, extra_texts,
-            target: Column, stop: Column, early: Column) -> DataFrame:
-    points, texts = _sum_points(items)
-    reasons = texts if extra_texts is None else F.concat(texts, extra_texts)
-    f = f.where((C("trajectory_status") == "ok") & ~blocked).withColumns(
-        {
-            # rounded so that sums of decimal points meet the decimal thresholds
-            "confidence": F.round(points + extra_points, 9),
-            "reasons": reasons,
-            "target_price": target,
-            "stop_loss": stop,
-        }
-    )
-    least = F.when(C("signal_regime") == "RANGING", 0.60).otherwise(0.65)
-    entry = C("entry_price")
-    reward = F.abs(C("target_price") - entry) if side == "SELL" else C("target_price") - entry
-    risk = (C("stop_loss") - entry) if side == "SELL" else entry - C("stop_loss")
-    confirmed = items[1][0] | items[2][0] | items[3][0]
-    f = f.where(confirmed & (C("confidence") >= least) & (F.size("reasons") >= 3))
-    return f.withColumns(
-        {
-            "signal_type": F.lit(side),
-            "strength": strength_label(C("confidence")),
-            "trajectory_confirmed": F.lit(True),
-            "time_horizon": F.when(early, "SHORT").when(C("momentum_abs") > 0.6, "MEDIUM").otherwise("LONG"),
-            "risk_reward_ratio": ratio(reward, risk),
-            "signal_quality_score": signal_quality(F.lit(side)),
-            "market_regime": C("signal_regime"),
-            "position_size_pct": F.lit(1.0),
-            "max_portfolio_exposure": F.lit(0.05),
-            "sector_bias": C("sector"),
-        }
-    ).withColumn("strength_rank", strength_rank(C("strength"))).select(*SIGNAL)
-
-
 def _inputs(f: DataFrame, as_of, sectors, usd_inr_change) -> DataFrame:
     when = C("ts") if as_of is None else lit_or_col(as_of).cast("timestamp")
     f = f.withColumns(
@@ -228,9 +186,9 @@ def _inputs(f: DataFrame, as_of, sectors, usd_inr_change) -> DataFrame:
             "entry_price": C("ltp") if "ltp" in f.columns else C("close"),
         }
     )
-    f = f.withColumn("bias", tr.sector_bias(C("sector"), C("signal_ts"), usd_inr_change))
     return f.withColumns(
         {
+            "bias": tr.sector_bias(C("sector"), C("signal_ts"), usd_inr_change),
             "momentum_abs": F.coalesce("momentum_abs", F.lit(0.0)),
             "_session": is_high_vol_session(C("signal_ts")),
             "_advice": C("entry_recommendation") if "entry_recommendation" in f.columns else F.lit(None),
@@ -250,15 +208,18 @@ def _momentum_text(kind: str) -> Column:
     return F.concat(F.lit(f"Strong {kind} momentum ("), fixed(C("momentum_abs"), 2), F.lit(")"))
 
 
-def buy_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
-    """BUY rows of the symbols whose trajectory and other factors agree."""
-    f = quant_boost(_inputs(features, as_of, sectors, usd_inr_change))
+def _on_path(*labels: str) -> Column:
+    return C("overall_trajectory").isin(*labels) & (C("trend_consistency") > params.TREND_CONSISTENCY_MIN)
+
+
+# Evidence items: (condition, points, reason). Items 1 to 3 confirm the trajectory.
+
+
+def _buy_items() -> list:
     regime = C("signal_regime")
-    path = C("overall_trajectory").isin("STRONG_BULLISH", "BULLISH") & (
-        C("trend_consistency") > params.TREND_CONSISTENCY_MIN
-    )
-    recovering = F.coalesce(C("rsi_level") == "OVERSOLD_RECOVERY", F.lit(False))
-    items = [
+    path = _on_path("STRONG_BULLISH", "BULLISH")
+    recovering = C("rsi_level") == "OVERSOLD_RECOVERY"
+    return [
         (C("bias") > 0.2, 0.1, _bias_text("Positive", "+")),
         ((regime == "TRENDING") & path, 0.3, _path_text("Confirmed bullish", "TRENDING")),
         ((regime == "RANGING") & recovering, 0.3, "RSI recovering from oversold in RANGING market"),
@@ -270,23 +231,15 @@ def buy_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.
         (C("_session"), 0.05, "High volatility session timing"),
         (C("_advice") == "BUY", 0.1, "Orderbook shows buying pressure"),
     ]
-    return _signal(
-        f, "BUY", items, C("bias") < -0.2, C("quant_boost"), C("quant_reasons"),
-        statistical_target(C("entry_price"), C("resistance"), C("momentum_abs")), C("stop_loss"),
-        C("acceleration") > 0.5,
-    )
 
 
-def sell_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
-    """SELL rows, the mirror of ``buy_signals`` with moving-average breakdowns."""
-    f = _inputs(features, as_of, sectors, usd_inr_change)
+def _sell_items() -> list:
     regime = C("signal_regime")
-    path = C("overall_trajectory").isin("STRONG_BEARISH", "BEARISH") & (
-        C("trend_consistency") > params.TREND_CONSISTENCY_MIN
-    )
-    breaking = F.coalesce(C("rsi_level") == "OVERBOUGHT_BREAKDOWN", F.lit(False))
+    path = _on_path("STRONG_BEARISH", "BEARISH")
+    breaking = C("rsi_level") == "OVERBOUGHT_BREAKDOWN"
     death = F.coalesce(C("ma_signal") == "DEATH_CROSS", F.lit(False))
-    items = [
+    falling = (C("volume_direction") == "INCREASING") & (C("short_direction") == "DOWN")
+    return [
         (C("bias") < -0.2, 0.1, _bias_text("Negative", "")),
         ((regime == "TRENDING") & path, 0.3, _path_text("Confirmed bearish", "TRENDING")),
         ((regime == "RANGING") & breaking, 0.3, "RSI breaking down from overbought in RANGING market"),
@@ -294,26 +247,102 @@ def sell_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0
         ((C("momentum_direction") == "BEARISH") & (C("momentum_abs") > 0.4), 0.25, _momentum_text("bearish")),
         (breaking, 0.2, "RSI breaking down from overbought"),
         (C("macd_cross") == "BEARISH_CROSSOVER_CONFIRMED", 0.2, "MACD bearish crossover confirmed"),
-        ((C("volume_direction") == "INCREASING") & (C("short_direction") == "DOWN"), 0.15,
-         "Increasing volume on decline"),
+        (falling, 0.15, "Increasing volume on decline"),
         (C("_session"), 0.05, "High volatility session - increased selling pressure"),
         (C("_advice") == "SELL", 0.1, "Orderbook shows selling pressure"),
         (death, 0.15, "Moving average death cross"),
         (~death & (C("ma_alignment") == "BEARISH"), 0.1, "Bearish moving average alignment"),
     ]
+
+
+def _evidence(items: list) -> Column:
+    """Points, reason texts and confirmation of the items that hold."""
+    points = sum((F.when(cond, p).otherwise(0.0) for cond, p, _ in items), F.lit(0.0))
+    texts = F.array_compact(F.array(*[F.when(cond, lit_or_col(text)) for cond, _, text in items]))
+    confirmed = F.coalesce(items[1][0], F.lit(False))
+    for cond, _, _ in items[2:4]:
+        confirmed = confirmed | F.coalesce(cond, F.lit(False))
+    return F.struct(points.alias("points"), texts.alias("texts"), confirmed.alias("confirmed"))
+
+
+def _judged(side: str, blocked: Column, confidence: Column, reasons: Column, early: Column) -> Column:
+    """The signal struct of one side, NULL when it is not accepted."""
+    least = F.when(C("signal_regime") == "RANGING", 0.60).otherwise(0.65)
+    entry, target, stop = C("entry_price"), C(f"_{side}_target"), C(f"_{side}_stop")
+    reward, risk = (target - entry, entry - stop) if side == "BUY" else (entry - target, stop - entry)
+    accepted = (
+        (C("trajectory_status") == "ok")
+        & ~blocked
+        & C(f"_{side}_evidence")["confirmed"]
+        & (confidence >= least)
+        & (F.size(reasons) >= 3)
+    )
+    strength = strength_label(confidence)
+    fields = {
+        "signal_type": F.lit(side),
+        "strength": strength,
+        "strength_rank": strength_rank(strength),
+        "confidence": confidence,
+        "entry_price": entry,
+        "target_price": target,
+        "stop_loss": stop,
+        "trajectory_confirmed": F.lit(True),
+        "time_horizon": F.when(early, "SHORT").when(C("momentum_abs") > 0.6, "MEDIUM").otherwise("LONG"),
+        "reasons": reasons,
+        "risk_reward_ratio": ratio(reward, risk),
+        "signal_ts": C("signal_ts"),
+        "signal_quality_score": signal_quality(F.lit(side)),
+        "market_regime": C("signal_regime"),
+        "position_size_pct": F.lit(1.0),
+        "max_portfolio_exposure": F.lit(0.05),
+        "sector_bias": C("sector"),
+        "gap_risk_factor": C("gap_risk_factor"),
+    }
+    return F.when(accepted, F.struct(*[fields[n].alias(n) for n in SIGNAL]))
+
+
+def actionable_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
+    """BUY and SELL rows of the symbols whose trajectory and other factors agree.
+
+    Both sides are judged in one pass over the features and then unfolded: a union
+    of two filtered branches would compute all features twice.
+    """
+    f = quant_boost(_inputs(features, as_of, sectors, usd_inr_change))
     factor = session_vol_factor(C("signal_ts"))
     entry = C("entry_price")
-    return _signal(
-        f, "SELL", items, C("bias") > 0.2, F.lit(0.0), None,
-        entry * (1 - (0.03 + C("momentum_abs") * 0.02 * factor)), entry * (1 + 0.015 * factor),
-        C("acceleration") < -0.5,
+    f = f.withColumns(
+        {
+            "_BUY_evidence": _evidence(_buy_items()),
+            "_SELL_evidence": _evidence(_sell_items()),
+            "_BUY_target": statistical_target(entry, C("resistance"), C("momentum_abs")),
+            "_BUY_stop": C("stop_loss"),
+            "_SELL_target": entry * (1 - (0.03 + C("momentum_abs") * 0.02 * factor)),
+            "_SELL_stop": entry * (1 + 0.015 * factor),
+        }
+    )
+    buy, sell = C("_BUY_evidence"), C("_SELL_evidence")
+    f = f.withColumns(
+        {
+            # rounded so that sums of decimal points meet the decimal thresholds
+            "_BUY_confidence": F.round(buy["points"] + C("quant_boost"), 9),
+            "_SELL_confidence": F.round(sell["points"], 9),
+            "_BUY_reasons": F.concat(buy["texts"], C("quant_reasons")),
+        }
     )
+    sides = F.array(
+        _judged("BUY", C("bias") < -0.2, C("_BUY_confidence"), C("_BUY_reasons"), C("acceleration") > 0.5),
+        _judged("SELL", C("bias") > 0.2, C("_SELL_confidence"), sell["texts"], C("acceleration") < -0.5),
+    )
+    rows = f.select("symbol", F.explode(sides).alias("s")).where(C("s").isNotNull())
+    return rows.select("symbol", *[C("s")[n].alias(n) for n in SIGNAL])
 
 
-def actionable_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
-    """BUY and SELL rows of all symbols."""
-    args = (as_of, sectors, usd_inr_change)
-    return buy_signals(features, *args).unionByName(sell_signals(features, *args))
+def buy_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
+    return actionable_signals(features, as_of, sectors, usd_inr_change).where(C("signal_type") == "BUY")
+
+
+def sell_signals(features: DataFrame, as_of=None, sectors=None, usd_inr_change=0.0) -> DataFrame:
+    return actionable_signals(features, as_of, sectors, usd_inr_change).where(C("signal_type") == "SELL")
 
 
 def combined_recommendation(rule: Column, quant: Column) -> Column:

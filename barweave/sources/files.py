@@ -8,6 +8,8 @@ from barweave import params, schemas
 from barweave.functions.scalar import clean_name
 from barweave.functions.topn import latest_n
 
+MONTH = "yyyyMM"
+
 
 def read_instruments(spark: SparkSession, path: str) -> DataFrame:
     """Instrument list document ``{"symbols": [{name, instrument_key}, ...]}``."""
@@ -67,32 +69,31 @@ def valid_bars(bars: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
-    """Time range of a stored bar table; the range also prunes the ``day`` partitions."""
+    """Time range of a stored bar table; the range also prunes the ``month`` partitions."""
     bars = spark.read.parquet(path)
     if start is not None:
-        bars = bars.where((F.col("ts") >= F.lit(start)) & (F.col("day") >= F.to_date(F.lit(start))))
+        first = F.date_format(F.lit(start).cast("timestamp"), MONTH)
+        bars = bars.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("month") >= first))
     if end is not None:
-        bars = bars.where((F.col("ts") <= F.lit(end)) & (F.col("day") <= F.to_date(F.lit(end))))
+        last = F.date_format(F.lit(end).cast("timestamp"), MONTH)
+        bars = bars.where((F.col("ts") <= F.lit(end).cast("timestamp")) & (F.col("month") <= last))
     return bars.select(*[f.name for f in schemas.BAR.fields])
 
 
-def write_bars(bars: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Store bars by day, symbols sorted in each file so that row groups can be skipped.
+def write_bars(bars: DataFrame, path: str) -> None:
+    """Store bars by month, symbols sorted in each file so that row groups can be skipped.
 
-    Only the days present in ``bars`` are replaced. A day is written by
-    ``files_per_day`` tasks, chosen by time as well as symbol, so that neither a
-    busy day nor a busy symbol ends up in one task.
+    Only the months present in ``bars`` are replaced. The rebalance hint leaves file
+    sizes to adaptive execution: small months share a task, a busy month is split
+    over several, whatever symbol fills it.
     """
-    part = F.pmod(F.xxhash64("symbol", "ts"), F.lit(files_per_day))
     (
-        bars.withColumn("day", F.to_date("ts"))
-        .withColumn("_file", part)
-        .repartition("day", "_file")
-        .drop("_file")
-        .sortWithinPartitions("day", "symbol", "ts")
+        bars.withColumn("month", F.date_format("ts", MONTH))
+        .hint("rebalance", "month")
+        .sortWithinPartitions("month", "symbol", "ts")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
+        .partitionBy("month")
         .parquet(path)
     )
 
@@ -107,17 +108,16 @@ def upsert_bars(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def store_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Upsert into the stored table, rewriting only the days the new bars touch.
+    """Upsert into the stored table, rewriting only the months the new bars touch.
 
-    The touched days are matched by a semi join on the partition column, so that
-    dynamic partition pruning reads no other day. New bars are materialised once,
-    as they are used for the day list and for the merge.
+    The touched months are matched by a semi join on the partition column, so that
+    partition pruning at run time skips the other months.
     """
     new = new.select(*[f.name for f in schemas.BAR.fields])
-    days = new.select(F.to_date("ts").alias("day")).distinct()
+    months = new.select(F.date_format("ts", MONTH).alias("month")).distinct()
     stored = (
         spark.read.parquet(path)
-        .join(days, "day", "left_semi")
+        .join(months, "month", "left_semi")
         .select(*[f.name for f in schemas.BAR.fields])
     )
     write_bars(upsert_bars(stored, new), path)
@@ -125,7 +125,12 @@ def store_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
 
 def append_signal_history(signals: DataFrame, path: str) -> None:
     """Append-only: history is never rewritten, the cap is applied when reading."""
-    signals.withColumn("day", F.to_date("updated_at")).write.mode("append").partitionBy("day").parquet(path)
+    (
+        signals.withColumn("month", F.date_format("updated_at", MONTH))
+        .write.mode("append")
+        .partitionBy("month")
+        .parquet(path)
+    )
 
 
 def capped_history(history: DataFrame, limit: int = params.HISTORY_LIMIT, splits: int = 16) -> DataFrame:

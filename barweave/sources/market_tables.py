@@ -47,6 +47,33 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scaled_bars(bars: DataFrame, trend: bool = False) -> DataFrame:
+    """Calmer variants of the noisy daily bars, with the order of prices kept.
+
+    Plain: every price p becomes 1000 + p / 47. With ``trend``: 8000 + p / 470 and a
+    drift per day whose sign and size depend on the symbol; volumes swell in the
+    last 200 days of every 300.
+    """
+    num = F.substring("symbol", 2, 20).cast("bigint")
+    if trend:
+        days = F.datediff(F.to_date("ts"), F.lit("1995-01-01").cast("date"))
+        drift = F.when(num % 2 == 0, 1.0).otherwise(-1.0) * (num % 7 + 1) / 4.0
+        offset, divisor = 8000.0 + days * drift, 470.0
+        swell = 1 + F.greatest(F.lit(0), days % 300 - 30)
+        bars = bars.withColumn("volume", F.col("volume") * swell)
+    else:
+        offset, divisor = F.lit(1000.0), 47.0
+    return bars.withColumns({c: offset + F.col(c) / divisor for c in ("open", "high", "low", "close")})
+
+
+def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_bars(daily_bars(spark, sf_dir))
+
+
+def trending_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_bars(daily_bars(spark, sf_dir), trend=True)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
@@ -188,3 +215,44 @@ def component_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0.0).alias("spread_pct"),
         ).alias("price"),
     )
+
+
+def rule_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows for the signal rules: labels and scores spread over each tick's fields."""
+    t = ticks(spark, sf_dir)
+    k, v = F.col("ltq"), F.col("ltp")
+
+    def pick(x, *labels):
+        return F.element_at(F.array(*[F.lit(label) for label in labels]), (x % len(labels) + 1).cast("int"))
+
+    return t.select(
+        F.concat(pick(F.col("seq"), "HDFC Bank ", "Infosys ", "Cipla ", "Fund "), "symbol").alias("symbol"),
+        "ts", "seq",
+        (v + 100).alias("close"),
+        k.cast("double").alias("adx"),
+        (F.col("seq") % 120).alias("n_rows"),
+        F.lit("ok").alias("trajectory_status"),
+        F.when(F.col("event_type") == "click", "STRONG_BULLISH")
+        .when(F.col("event_type") == "view", "BULLISH")
+        .when(F.col("event_type") == "error", "STRONG_BEARISH")
+        .otherwise("BEARISH").alias("overall_trajectory"),
+        (k / 100.0 + 0.2).alias("trend_consistency"),
+        (1.0 - k / 400.0).alias("gap_risk_factor"),
+        ((k - 50) / 40.0).alias("acceleration"),
+        F.when(k % 3 == 0, "DOWN").otherwise("UP").alias("short_direction"),
+        pick(k, "BULLISH", "BEARISH", "NEUTRAL").alias("momentum_direction"),
+        (k % 10 / 10.0).alias("momentum_abs"),
+        pick(k, "OVERSOLD_RECOVERY", "OVERBOUGHT_BREAKDOWN", "NORMAL", "OVERSOLD").alias("rsi_level"),
+        pick(F.col("seq"), "BULLISH_CROSSOVER_CONFIRMED", "BEARISH_CROSSOVER_CONFIRMED", "NEUTRAL").alias("macd_cross"),
+        pick(F.col("seq"), "INCREASING", "SIDEWAYS").alias("volume_direction"),
+        pick(k, "DEATH_CROSS", "BEARISH_ALIGNMENT", "BULLISH_ALIGNMENT").alias("ma_signal"),
+        pick(k, "BEARISH", "BEARISH", "BULLISH").alias("ma_alignment"),
+        pick(F.col("seq"), "BUY", "WAIT", "SELL").alias("entry_recommendation"),
+        (k / 100.0).alias("final_score"),
+        (1.0 - k / 100.0).alias("score_momentum"),
+        pick(k, "0.4", "0.7", "0.8").cast("double").alias("score_volatility"),
+        (k / 110.0).alias("score_mean_reversion"),
+        ((v + 100) * (0.95 + k / 300.0)).alias("resistance"),
+        ((v + 100) * 0.95).alias("stop_loss"),
+        pick(k, "STRONG_BUY", "BUY", "HOLD", "SELL", "STRONG_SELL").alias("recommendation"),
+    )
