@@ -208,6 +208,94 @@ def latest_of(*names: str) -> dict[str, Column]:
     return {n: F.max(F.when(C("rn") == 1, C(n))) for n in names}
 
 
+def newest_series(positioned: DataFrame) -> DataFrame:
+    """The few running series that the newest values need: MACD and smoothed DX.
+
+    Everything else of the newest bar is an aggregate over its last rows (see
+    ``newest_aggregates``), which spares the rolling frames of the full series.
+    """
+    delta = C("close") - C("prev_close")
+    up, low = C("high") - C("prev_high"), C("low") - C("prev_low")
+    decay = F.pow(F.lit(1 - 1 / 14), -C("i"))
+    df = positioned.withColumns(
+        {
+            "gain": F.when(delta > 0, delta).otherwise(0.0),
+            "loss": F.when(delta < 0, -delta).otherwise(0.0),
+            "tr": F.greatest(
+                C("high") - C("low"), F.abs(C("high") - C("prev_close")), F.abs(C("low") - C("prev_close"))
+            ),
+            "plus_raw": F.when(up < 0, 0.0).otherwise(up) * decay,
+            "minus_raw": F.when(low > 0, 0.0).otherwise(low) * decay,
+            "signed_volume": F.when(C("i") == 0, C("volume"))
+            .when(delta > 0, C("volume"))
+            .when(delta < 0, -C("volume"))
+            .otherwise(0),
+        }
+    )
+    # the common weight of both sides and the ATR cancel in DX; only a zero ATR voids it
+    df = df.withColumns(
+        {
+            "macd": s.ema(C("close"), 12) - s.ema(C("close"), 26),
+            "_plus": F.sum("plus_raw").over(s.running()),
+            "_minus": F.sum("minus_raw").over(s.running()),
+            "_moved": F.max(F.when(C("tr") > 0, C("i"))).over(s.running()),
+        }
+    )
+    live = (C("i") >= 13) & (C("_moved") > C("i") - 14)
+    plus, minus = C("_plus"), F.abs("_minus")
+    df = df.withColumn("dx", F.when(live, ratio(F.abs(plus - minus), plus + minus) * 100))
+    return df.withColumn("smooth_dx", (s.lag("dx") * 13 + C("dx")) / 14)
+
+
+def _ema_weight(n: int) -> Column:
+    """Weight of a row in the newest value of a first-value seeded EMA."""
+    a = 2.0 / (n + 1)
+    return F.when(C("i") == 0, 1.0).otherwise(a) * F.pow(F.lit(1 - a), C("rn") - 1)
+
+
+def newest_aggregates() -> dict[str, Column]:
+    """Newest indicator values as aggregates, equal to the last row of ``indicator_series``."""
+    rn = C("rn")
+
+    def last(n: int, x: str) -> Column:
+        return F.when(rn <= n, C(x))
+
+    def enough(n: int, value: Column) -> Column:
+        return F.when(F.max("n_rows") >= n, value)
+
+    def newest(x: Column) -> Column:
+        return F.max(F.when(rn == 1, x))
+
+    gain, loss = F.avg(last(14, "gain")), F.avg(last(14, "loss"))
+    middle, band = F.avg(last(20, "close")), enough(20, F.stddev_samp(last(20, "close"))) * 2
+    macd, signal = newest(C("macd")), F.sum(C("macd") * _ema_weight(9))
+    volume_mean = F.avg(last(20, "volume"))
+    decay = F.pow(F.lit(1 - 1 / 14), rn - 1)
+    return {
+        **{n: newest(C(n)) for n in ("ts", "open", "high", "low", "close", "volume")},
+        **{f"sma_{n}": F.avg(last(n, "close")) for n in (5, 10, 20, 50)},
+        **{f"ema_{n}": F.sum(C("close") * _ema_weight(n)) for n in (5, 10, 20)},
+        "rsi": enough(14, 100 * ratio(gain, gain + loss)),
+        "macd": macd,
+        "macd_signal": signal,
+        "macd_hist": macd - signal,
+        "bb_upper": middle + band,
+        "bb_middle": middle,
+        "bb_lower": middle - band,
+        "atr": enough(14, F.avg(last(14, "tr"))),
+        "adx": F.try_divide(
+            F.sum(C("smooth_dx") * decay), F.sum(F.when(C("smooth_dx").isNotNull(), decay))
+        ),
+        "volume_sma_20": volume_mean,
+        "volume_roc": newest((ratio(C("volume"), C("prev_volume")) - 1) * 100),
+        "obv": F.sum("signed_volume"),
+        "vwap": F.try_divide(
+            F.sum((C("high") + C("low") + C("close")) / 3 * C("volume")), F.sum("volume")
+        ),
+        "volume_ratio": ratio(newest(C("volume")), volume_mean),
+    }
+
+
 def swing_aggregates(window: int = 10) -> dict[str, Column]:
     """Extremes of the centred window read ``window`` rows before the end: rows -14..-5."""
     newest, oldest = window - window // 2 + 1, window + window // 2
@@ -246,17 +334,27 @@ def indicators_latest(
     bars: DataFrame, method: str = "simple", lookback: int = params.LOOKBACK
 ) -> DataFrame:
     """Indicator record of each symbol's newest bar, flat."""
-    series = indicator_series(recent_bars(bars, lookback), method)
-    out = aggregate_symbols(
-        series,
-        {"n_rows": F.max("n_rows")},
-        latest_of(*LATEST),
-        swing_aggregates(),
-        adaptive_aggregates(),
-    )
+    series, families = latest_inputs(recent_bars(bars, lookback), method, lookback)
+    out = aggregate_symbols(series, {"n_rows": F.max("n_rows")}, *families)
     return out.withColumn("market_regime", regime(C("adx")))
 
 
+def latest_inputs(
+    recent: DataFrame, method: str, lookback: int, with_series: bool = False
+) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """Series and aggregate families of the newest indicators.
+
+    Full series are computed only where something reads them: the other method, the
+    adaptive levels of a long lookback, or the caller.
+    """
+    adaptive = lookback >= params.ADAPTIVE_PERIODS
+    if method == "simple" and not adaptive and not with_series:
+        fixed = {"rsi_oversold": 30.0, "rsi_overbought": 70.0, "volume_high": 1.5, "volume_low": 0.5}
+        levels = {k: F.lit(v) for k, v in fixed.items()}
+        return newest_series(with_position(recent)), [newest_aggregates(), swing_aggregates(), levels]
+    return indicator_series(recent, method), [latest_of(*LATEST), swing_aggregates(), adaptive_aggregates()]
+
+
 def indicator_record(latest: DataFrame) -> DataFrame:
     """The nested form of ``indicators_latest``."""
 
@@ -296,8 +394,9 @@ def adaptive_levels(bars: DataFrame, periods: int = params.ADAPTIVE_PERIODS) ->
 
 
 def market_regime(bars: DataFrame, lookback: int = params.LOOKBACK) -> DataFrame:
-    series = indicator_series(recent_bars(bars, lookback))
-    return aggregate_symbols(series, latest_of("adx")).withColumn("market_regime", regime(C("adx")))
+    series = newest_series(with_position(recent_bars(bars, lookback)))
+    adx = {"adx": newest_aggregates()["adx"]}
+    return aggregate_symbols(series, adx).withColumn("market_regime", regime(C("adx")))
 
 
 def indicator_history(

@@ -46,10 +46,18 @@ def quant_series(positioned: DataFrame) -> DataFrame:
     inside = C("rn").between(3, 48)
     df = df.withColumns(
         {
-            **{f"_mean_{p}": s.mean(C("close"), p) for p in params.REVERSION_PERIODS},
-            **{f"_sd_{p}": s.deviation(C("close"), p) for p in params.REVERSION_PERIODS},
-            "_vol": s.deviation(C("ret"), 20) * ANNUAL,
-            "_market": s.mean(C("ret"), 20),
+            # prices have no gaps and returns miss the first row only, so the row index
+            # tells whether a frame is full
+            **{
+                f"_mean_{p}": F.when(C("i") >= p - 1, F.avg("close").over(s.last_rows(p)))
+                for p in params.REVERSION_PERIODS
+            },
+            **{
+                f"_sd_{p}": F.when(C("i") >= p - 1, F.stddev_samp("close").over(s.last_rows(p)))
+                for p in params.REVERSION_PERIODS
+            },
+            "_vol": F.when(C("i") >= 20, F.stddev_samp("ret").over(s.last_rows(20))) * ANNUAL,
+            "_market": F.when(C("i") >= 20, F.avg("ret").over(s.last_rows(20))),
             "_peak": F.max(F.when(C("i") >= 1, C("close"))).over(s.running()),
             "_sq_prev": s.lag("ret"),
             "_peak_high": F.when(
@@ -133,12 +141,14 @@ def quant_features(bars: DataFrame, lookback: int = params.LOOKBACK) -> DataFram
 
 def add_momentum(f: DataFrame) -> DataFrame:
     enough = C("n_rows") >= max(params.MOMENTUM_SPANS) + 5
+    spans = params.MOMENTUM_SPANS
+    f = f.withColumns({f"mom_ret_{tf}": ratio(C("close"), C(f"close_{tf}_ago")) - 1 for tf in spans})
+    f = f.withColumns(
+        {f"mom_t_{tf}": ratio(C(f"mom_ret_{tf}"), C(f"ret_sd_{tf}")) * float(tf) ** 0.5 for tf in spans}
+    )
+    f = f.withColumns({f"mom_p_{tf}": 2 * (1 - normal_cdf(F.abs(C(f"mom_t_{tf}")))) for tf in spans})
     parts = []
-    for tf in params.MOMENTUM_SPANS:
-        move = ratio(C("close"), C(f"close_{tf}_ago")) - 1
-        t_stat = ratio(move, C(f"ret_sd_{tf}")) * float(tf) ** 0.5
-        f = f.withColumns({f"mom_ret_{tf}": move, f"mom_t_{tf}": t_stat})
-        f = f.withColumn(f"mom_p_{tf}", 2 * (1 - normal_cdf(F.abs(C(f"mom_t_{tf}")))))
+    for tf in spans:
         weight = 1.0 / tf * F.greatest(F.lit(0.0), 1 - C(f"mom_p_{tf}"))
         used = enough & (C(f"ret_sd_{tf}") > 0)
         parts.append(
@@ -185,9 +195,13 @@ def add_momentum(f: DataFrame) -> DataFrame:
 def add_mean_reversion(f: DataFrame) -> DataFrame:
     enough = C("n_rows") >= max(params.REVERSION_PERIODS) * 2
     weights, probs, directions = [], [], []
+    f = f.withColumns(
+        {
+            f"z_pct_{p}": percentile_rank(C(f"z_{p}_below"), C(f"z_{p}_at_most"), C(f"z_{p}_n"))
+            for p in params.REVERSION_PERIODS
+        }
+    )
     for p in params.REVERSION_PERIODS:
-        rank = percentile_rank(C(f"z_{p}_below"), C(f"z_{p}_at_most"), C(f"z_{p}_n"))
-        f = f.withColumn(f"z_pct_{p}", rank)
         pct = C(f"z_pct_{p}")
         used = enough & (C("n_rows") > 2 * p) & C(f"z_{p}").isNotNull() & (C(f"z_{p}_n") > 20)
         prob = F.when(pct > 0.8, (pct - 0.8) / 0.2).when(pct < 0.2, (0.2 - pct) / 0.2).otherwise(0.0)

@@ -87,11 +87,15 @@ def add_price_trajectory(f: DataFrame, as_of=None) -> DataFrame:
             ),
         }
     )
-    for k in ("short", "medium", "long"):
-        f = f.withColumn(
-            f"{k}_direction", F.when(C(f"{k}_change_pct") > 0, "UP").when(known, "DOWN")
-        )
-    f = f.withColumn("trend_consistency", F.when(known, trend_consistency("short_trend", "medium_trend", "long_trend")))
+    f = f.withColumns(
+        {
+            "trend_consistency": F.when(known, trend_consistency("short_trend", "medium_trend", "long_trend")),
+            **{
+                f"{k}_direction": F.when(C(f"{k}_change_pct") > 0, "UP").when(known, "DOWN")
+                for k in ("short", "medium", "long")
+            },
+        }
+    )
     return f.withColumn(
         "overall_trajectory",
         F.when(
@@ -101,6 +105,7 @@ def add_price_trajectory(f: DataFrame, as_of=None) -> DataFrame:
 
 
 def trend_consistency(*trends: str) -> Column:
+    """Mean size of the agreeing trends when at least two of three agree, else 0.1."""
     values = F.array(*trends)
 
     def mean_of(keep) -> Column:

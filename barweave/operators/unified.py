@@ -247,6 +247,26 @@ def persistence(
         df = df.join(state.select("symbol", "committed"), "symbol", "left").withColumn(
             "_last", F.coalesce("_last", "committed")
         ).drop("committed")
+    return _gated(df, threshold, hold_threshold)
+
+
+def persist_cycle(
+    decisions: DataFrame,
+    threshold: float = params.PERSISTENCE_THRESHOLD,
+    hold_threshold: float = params.HOLD_THRESHOLD,
+    state: DataFrame | None = None,
+) -> DataFrame:
+    """The same rule for a table with one row per symbol: only ``state`` can precede it."""
+    code = F.when(C("raw_direction") == "BUY", 1).when(C("raw_direction") == "SELL", -1)
+    if state is None:
+        df = decisions.withColumns({"_code": code, "_commit": F.lit(None), "_last": F.lit(None).cast("int")})
+    else:
+        known = state.select("symbol", C("committed").alias("_last"))
+        df = decisions.join(known, "symbol", "left").withColumns({"_code": code, "_commit": F.lit(None)})
+    return _gated(df, threshold, hold_threshold)
+
+
+def _gated(df: DataFrame, threshold: float, hold_threshold: float) -> DataFrame:
     hold = C("_code").isNull()
     gated = ~hold & (C("confidence") < threshold) & (C("_code") != F.coalesce(C("_last"), F.lit(0)))
     return df.withColumns(
@@ -379,14 +399,19 @@ def unified_signal(
     risk_pct: float = params.RISK_PCT,
     state: DataFrame | None = None,
     bucket: str = "hour",
+    single_cycle: bool = False,
 ) -> DataFrame:
     """One signal per (symbol, cycle) from component snapshots.
 
     Expects ``symbol, ts, seq``, one struct column per component (NULL when absent),
-    ``daily_bias`` and ``price``.
+    ``daily_bias`` and ``price``. With ``single_cycle`` a symbol has one row at most
+    and the rule needs no history inside the table.
     """
     decided = decide(snapshots, weights, hold_threshold)
-    kept = persistence(decided, persistence_threshold, hold_threshold, state, bucket)
+    if single_cycle:
+        kept = persist_cycle(decided, persistence_threshold, hold_threshold, state)
+    else:
+        kept = persistence(decided, persistence_threshold, hold_threshold, state, bucket)
     return finish(kept, portfolio, risk_pct)
 
 

@@ -26,15 +26,9 @@ def symbol_features(
     One shuffle by symbol, one chain of windows and one aggregation feed every
     model, so nothing is computed twice.
     """
-    series = quant.quant_series(ind.indicator_series(b.recent_bars(bars, lookback), method))
-    series = series.withColumn("prev_price", C("prev_close"))
-    families = [
-        ind.latest_of(*ind.LATEST),
-        ind.swing_aggregates(),
-        ind.adaptive_aggregates(),
-        quant.quant_aggregates(),
-        tr.price_aggregates("close"),
-    ]
+    series, families = ind.latest_inputs(b.recent_bars(bars, lookback), method, lookback, with_series=momentum)
+    series = quant.quant_series(series).withColumn("prev_price", C("prev_close"))
+    families = families + [quant.quant_aggregates(), tr.price_aggregates("close")]
     if momentum:
         series = tr.momentum_series(series)
         families.append(tr.momentum_aggregates())
@@ -79,7 +73,7 @@ def signal_cycle(
     """One unified signal per quoted symbol from its bars, quote and recent snapshots."""
     features = symbol_features(bars, lookback, momentum=False)
     book = orderbook.orderbook_analysis(quotes, snapshots, order)
-    return unified.unified_signal(component_snapshot(features, book), state=state, bucket="day")
+    return unified.unified_signal(component_snapshot(features, book), state=state, single_cycle=True)
 
 
 def actionable_cycle(

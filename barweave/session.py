@@ -24,6 +24,8 @@ def local_session(cores: int = 8, memory: str = "16g", partitions: int = 8) -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs more than planning when plans are built from many columns
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -183,7 +183,7 @@ def run_signal_cycles(
         features = cycle.symbol_features(recent, lookback, momentum=False)
         book = orderbook.orderbook_analysis(bar_quotes(recent), bar_snapshots(recent))
         decided = unified.decide(cycle.component_snapshot(features, book)).persist()
-        signals = unified.finish(unified.persistence(decided, state=committed, bucket="day"))
+        signals = unified.finish(unified.persist_cycle(decided, state=committed))
         signals.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         after = _merge_state(committed, unified.commitments(decided))
         after.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
