@@ -188,7 +188,7 @@ def component_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", "SELL")
         .otherwise("HOLD")
     )
-    strength = F.least(F.lit(1.0), F.col("ltp") / 60.0)
+    strength = F.least(F.lit(1.0), F.col("ltp") / 61.7)
     sign = F.when(side == "BUY", 1.0).when(side == "SELL", -1.0).otherwise(0.0)
     none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
 
@@ -201,13 +201,13 @@ def component_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "symbol", "ts", "seq",
         block(sign * strength, strength, side, F.lit("path")).alias("trajectory"),
-        F.when(F.col("ltq") >= 20, block(none_d, none_d, none_s, none_s, bias=F.col("ltq") / 50.0 - 1.0,
+        F.when(F.col("ltq") >= 20, block(none_d, none_d, none_s, none_s, bias=F.col("ltq") / 49.7 - 1.0,
                                          momentum=strength)).alias("quant"),
         block(strength, F.lit(0.0), side, none_s).alias("technical"),
-        F.when(F.col("event_type") != "view", block(F.col("ltq") / 100.0, F.col("ltq") / 80.0, F.lit("BUY"),
+        F.when(F.col("event_type") != "view", block(F.col("ltq") / 101.3, F.col("ltq") / 80.9, F.lit("BUY"),
                                                     F.lit("book"))).alias("orderbook"),
         block(F.lit(0.2), F.lit(0.2), F.lit("HOLD"), none_s).alias("market_regime"),
-        F.when(F.col("ltq") % 2 == 0, F.col("ltq") / 50.0 - 1.0).alias("daily_bias"),
+        F.when(F.col("ltq") % 2 == 0, F.col("ltq") / 49.7 - 1.0).alias("daily_bias"),
         F.struct(
             F.col("ltp").alias("ltp"), F.col("ltp").alias("close"),
             F.when(F.col("ltq") > 10, F.col("ltp") * 0.02).alias("atr"),
