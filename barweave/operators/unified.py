@@ -150,53 +150,86 @@ def _inferred_direction(b: Column) -> Column:
     )
 
 
-def _contribution(name: str, weight: float) -> Column:
-    b = C(name)
-    direction = _inferred_direction(b)
-    by_direction = F.when(direction == "BUY", 1.0).when(direction == "SELL", -1.0).otherwise(0.0)
-    derived = F.coalesce(b["bias"], by_direction) * F.coalesce(b["momentum"], F.lit(1.0))
-    score = clamp(F.coalesce(b["score"], derived))
-    score = F.when((b["direction"] == "SELL") & (score > 0), -score).otherwise(score)
-    confidence = clamp(F.coalesce(b["confidence"], F.lit(0.0)), 0.0, 1.0)
-    title = F.lit(name.title())
-    default = (
-        F.when(direction == "HOLD", F.concat(title, F.lit(" neutral")))
-        .when(direction == "BUY", F.concat(title, F.lit(" skewed bullish")))
-        .otherwise(F.concat(title, F.lit(" skewed bearish")))
-    )
-    given = F.when(b["reason"] != "", b["reason"])
-    return F.when(
-        b.isNotNull(),
-        F.struct(
-            F.lit(name).alias("name"),
-            F.lit(float(weight)).alias("weight"),
-            score.alias("score"),
-            F.when(confidence > 0, confidence).otherwise(F.abs(score)).alias("confidence"),
-            direction.alias("direction"),
-            F.coalesce(given, default).alias("narrative"),
-        ),
-    )
-
-
 def contributions(snapshots: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Normalised contributions of the components that are present, as ``components``."""
+    """Normalised contributions of the components that are present, as ``components``.
+
+    Direction, score and confidence are separate steps: nesting them would repeat
+    the inner expressions many times in the plan.
+    """
     weights = params.WEIGHTS if weights is None else weights
-    parts = [_contribution(n, w) for n, w in weights.items()]
-    return snapshots.withColumn("components", F.array_compact(F.array(*parts)))
+    names = list(weights)
+    df = snapshots.withColumns({f"_{n}_direction": _inferred_direction(C(n)) for n in names})
+
+    def raw_score(n: str) -> Column:
+        b, direction = C(n), C(f"_{n}_direction")
+        by_direction = F.when(direction == "BUY", 1.0).when(direction == "SELL", -1.0).otherwise(0.0)
+        derived = F.coalesce(b["bias"], by_direction) * F.coalesce(b["momentum"], F.lit(1.0))
+        return F.coalesce(b["score"], derived)
+
+    df = df.withColumns(
+        {f"_{n}_raw": raw_score(n) for n in names}
+        | {f"_{n}_given": F.coalesce(C(n)["confidence"], F.lit(0.0)) for n in names}
+    )
+    df = df.withColumns(
+        {f"_{n}_bounded": clamp(C(f"_{n}_raw")) for n in names}
+        | {f"_{n}_confidence": clamp(C(f"_{n}_given"), 0.0, 1.0) for n in names}
+    )
 
+    def part(n: str) -> Column:
+        b, direction, bounded = C(n), C(f"_{n}_direction"), C(f"_{n}_bounded")
+        title = n.title()
+        default = (
+            F.when(direction == "HOLD", f"{title} neutral")
+            .when(direction == "BUY", f"{title} skewed bullish")
+            .otherwise(f"{title} skewed bearish")
+        )
+        confidence = C(f"_{n}_confidence")
+        return F.when(
+            b.isNotNull(),
+            F.struct(
+                F.lit(n).alias("name"),
+                F.lit(float(weights[n])).alias("weight"),
+                F.when((b["direction"] == "SELL") & (bounded > 0), -bounded).otherwise(bounded).alias("score"),
+                F.when(confidence > 0, confidence).otherwise(F.abs(bounded)).alias("confidence"),
+                direction.alias("direction"),
+                F.coalesce(F.when(b["reason"] != "", b["reason"]), default).alias("narrative"),
+            ),
+        )
 
-def _fold(f) -> Column:
-    return F.aggregate("components", F.lit(0.0), lambda acc, c: acc + f(c))
+    helpers = [f"_{n}_{k}" for n in names for k in ("direction", "raw", "given", "bounded", "confidence")]
+    df = df.withColumns({f"_part_{n}": part(n) for n in names}).drop(*helpers)
+    return df.withColumn("components", F.array_compact(F.array(*[C(f"_part_{n}") for n in names])))
 
 
 def combine(df: DataFrame) -> DataFrame:
-    """Weighted score and base confidence of the components."""
-    weight = _fold(lambda c: c["weight"])
-    score = F.coalesce(clamp(ratio(_fold(lambda c: c["score"] * c["weight"]), weight)), F.lit(0.0))
-    mean = F.coalesce(ratio(_fold(lambda c: c["confidence"] * c["weight"]), weight), F.lit(0.0))
-    df = df.withColumns({"score": score, "_mean_confidence": mean})
+    """Weighted score and base confidence of the parts left by ``contributions``.
+
+    Plain sums over the few part columns stay in generated code; folding the array
+    would not.
+    """
+    parts = [C(c) for c in df.columns if c.startswith("_part_")]
+
+    def over_parts(f) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(f(p), F.lit(0.0)) for p in parts], F.lit(0.0))
+
+    df = df.withColumns(
+        {
+            "_weight": over_parts(lambda p: p["weight"]),
+            "_score": over_parts(lambda p: p["score"] * p["weight"]),
+            "_confidence": over_parts(lambda p: p["confidence"] * p["weight"]),
+        }
+    )
+    df = df.withColumns(
+        {
+            "score": F.coalesce(clamp(ratio(C("_score"), C("_weight"))), F.lit(0.0)),
+            "_mean_confidence": F.coalesce(ratio(C("_confidence"), C("_weight")), F.lit(0.0)),
+        }
+    )
     blended = clamp(C("_mean_confidence") * 0.6 + F.abs("score") * 0.4, 0.0, 1.0)
-    return df.withColumn("base_confidence", blended).drop("_mean_confidence")
+    helpers = [c for c in df.columns if c.startswith("_part_")]
+    return df.withColumn("base_confidence", blended).drop(
+        "_mean_confidence", "_weight", "_score", "_confidence", *helpers
+    )
 
 
 def context_adjust(df: DataFrame, bias: str = "daily_bias") -> DataFrame:

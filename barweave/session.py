@@ -14,8 +14,21 @@ from pyspark.sql import SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Run-time settings the plans profit from; safe to set on any session.
+
+    The JVM never compiles methods above 8000 bytes of bytecode, so a fused stage
+    with a larger method would run interpreted. With this limit Spark splits such a
+    stage into smaller compiled functions instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # naive timestamps of the tables are UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def local_session(cores: int = 8, memory: str = "16g", partitions: int = 8) -> SparkSession:
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("barweave")
         .config("spark.driver.memory", memory)
@@ -29,6 +42,7 @@ def local_session(cores: int = 8, memory: str = "16g", partitions: int = 8) -> S
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    return tune(session)
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:

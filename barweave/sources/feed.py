@@ -80,7 +80,7 @@ def top_levels(ticks: DataFrame, levels: str = "levels", n: int = 5) -> DataFram
                 priced,
                 lambda v: F.struct(
                     _either(v, short_p, long_p).alias("price"),
-                    _either(v, short_q, long_q).alias("quantity"),
+                    F.coalesce(_either(v, short_q, long_q), F.lit(0)).alias("quantity"),
                 ),
             ),
             1,

@@ -103,7 +103,7 @@ def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     short_level = F.format_string(
         '{"bq":%s,"bp":%s,"aq":%s,"ap":%s}',
-        (k.cast("int") * 2).cast("string"), F.format_string("%.2f", F.col("value") * 0.9), k,
+        (k.cast("int") * 2).cast("string"), F.format_string("%.2f", F.col("value") * 0.913717), k,
         F.format_string("%.2f", F.col("value") + 1.5),
     )
     empty_level = F.lit('{"bidQ":0,"bidP":0.0,"askQ":7,"askP":1.25}')

@@ -14,7 +14,7 @@ from checks.oracles import (
 FEED = f"""feed0 AS (
   SELECT event_id AS seq, 'U' || user_id AS instrument_key, event_type, epoch_us(ts) // 1000 AS ms,
     CAST(printf('%.2f', value) AS DOUBLE) AS ltp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-    CAST(printf('%.2f', value + 0.5) AS DOUBLE) AS la, CAST(printf('%.2f', value * 0.9) AS DOUBLE) AS sb, CAST(printf('%.2f', value + 1.5) AS DOUBLE) AS sa
+    CAST(printf('%.2f', value + 0.5) AS DOUBLE) AS la, CAST(printf('%.2f', value * 0.913717) AS DOUBLE) AS sb, CAST(printf('%.2f', value + 1.5) AS DOUBLE) AS sa
   FROM events),
 feed AS (
   SELECT *, CASE WHEN event_type = 'click' THEN make_timestamp((ms // 1000) * 1000000) ELSE make_timestamp(ms * 1000) END AS ts, k AS ltq,
