@@ -19,14 +19,17 @@ def load_history(intraday: DataFrame, historical: DataFrame, n: int = params.LOO
 
 
 def symbol_features(
-    bars: DataFrame, lookback: int = params.LOOKBACK, method: str = "simple", momentum: bool = True, as_of=None
+    bars: DataFrame, lookback: int = params.LOOKBACK, method: str = "simple", momentum: bool = True, as_of=None,
+    splits: int = 1,
 ) -> DataFrame:
     """Indicators, quant scores and trajectories of each symbol in one row.
 
     One shuffle by symbol, one chain of windows and one aggregation feed every
-    model, so nothing is computed twice.
+    model, so nothing is computed twice. Pass ``splits`` > 1 when ``bars`` comes
+    straight from files (see ``recent_bars``).
     """
-    series, families = ind.latest_inputs(b.recent_bars(bars, lookback), method, lookback, with_series=momentum)
+    recent = b.recent_bars(bars, lookback, splits)
+    series, families = ind.latest_inputs(recent, method, lookback, with_series=momentum)
     series = quant.quant_series(series).withColumn("prev_price", C("prev_close"))
     families = families + [quant.quant_aggregates(), tr.price_aggregates("close")]
     if momentum:
@@ -69,18 +72,20 @@ def signal_cycle(
     state: DataFrame | None = None,
     order: tuple[str, ...] = ("ts", "seq"),
     lookback: int = params.LOOKBACK,
+    splits: int = 1,
 ) -> DataFrame:
     """One unified signal per quoted symbol from its bars, quote and recent snapshots."""
-    features = symbol_features(bars, lookback, momentum=False)
+    features = symbol_features(bars, lookback, momentum=False, splits=splits)
     book = orderbook.orderbook_analysis(quotes, snapshots, order)
     return unified.unified_signal(component_snapshot(features, book), state=state, single_cycle=True)
 
 
 def actionable_cycle(
-    bars: DataFrame, book: DataFrame | None = None, as_of=None, sectors=None, lookback: int = params.LOOKBACK
+    bars: DataFrame, book: DataFrame | None = None, as_of=None, sectors=None, lookback: int = params.LOOKBACK,
+    splits: int = 1,
 ) -> DataFrame:
     """Actionable BUY / SELL rows of all symbols, optionally with order-book advice."""
-    features = symbol_features(bars, lookback, as_of=as_of)
+    features = symbol_features(bars, lookback, as_of=as_of, splits=splits)
     if book is not None:
         features = features.join(book.select("symbol", "entry_recommendation"), "symbol", "left")
     return actionable.actionable_signals(features, as_of, sectors)

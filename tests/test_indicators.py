@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barweave.operators import bars as b, indicators as ind, quant as q, trajectory as tr
 
 RNG = np.random.default_rng(7)
-WALK = list(np.abs(100 + np.cumsum(RNG.normal(0, 1, 300))) + 5)
+WALK = [float(x) for x in np.abs(100 + np.cumsum(RNG.normal(0, 1, 300))) + 5]
 
 
 def pandas_indicators(df: pd.DataFrame) -> pd.DataFrame:
