@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barweave import params
 from barweave.functions.carry import carry_last
@@ -68,12 +68,14 @@ def live_symbols(quotes: DataFrame) -> DataFrame:
 def latest_quotes(quotes: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Last quote and number of ticks of each key; batch and streaming (update mode)."""
     fields = [c for c in quotes.columns if c not in (*keys, "ts")]
-    newest = F.max_by(F.struct(*fields), C("ts"))
-    return (
-        quotes.groupBy(*keys)
-        .agg(newest.alias("q"), F.max("ts").alias("last_update"), F.count("*").alias("tick_count"))
-        .select(*keys, "q.*", "last_update", "tick_count")
-    )
+    counted = [F.max("ts").alias("last_update"), F.count("*").alias("tick_count")]
+    if all(isinstance(quotes.schema[c].dataType, T.NumericType | T.DatetimeType) for c in fields):
+        # the same ordering picks the same row for every field, and buffers of fixed width
+        # keep the aggregation hash-based
+        newest = [F.max_by(c, "ts").alias(c) for c in fields]
+        return quotes.groupBy(*keys).agg(*newest, *counted).select(*keys, *fields, "last_update", "tick_count")
+    newest = F.max_by(F.struct(*fields), C("ts")).alias("q")
+    return quotes.groupBy(*keys).agg(newest, *counted).select(*keys, "q.*", "last_update", "tick_count")
 
 
 def price_tick_direction(prices: DataFrame, bucket: str = "hour") -> DataFrame:
