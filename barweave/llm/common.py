@@ -77,21 +77,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes, prefix: int = 0) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text in order; `prefix` > 0 hashes only that many first bytes of each."""
+def word_hashes(text: bytes, prefixes: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """64-bit hashes of the words of a UTF-8 text in order, one array for each of `prefixes`.
+
+    0 hashes whole words, n > 0 only their first n bytes (shorter words whole).
+    """
     raw = np.frombuffer(text, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in prefixes]
     raw = _FOLD[raw]
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = _IS_WORD[raw]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    if prefix:
-        end = np.minimum(end, start + prefix)
-    out = np.empty(len(start), np.uint64)
+    out = [np.empty(len(start), np.uint64) for _ in prefixes]
     first = 0
     while first < len(start):  # long texts go in pieces that end between words
         last = max(first + 1, int(np.searchsorted(start, start[first] + _PIECE)))
@@ -99,7 +98,9 @@ def word_hashes(text: bytes, prefix: int = 0) -> np.ndarray:
         up, down = _powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-        a, b = start[first:last] - at, end[first:last] - at
-        out[first:last] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        a, whole = start[first:last] - at, end[first:last] - at
+        for hashes, prefix in zip(out, prefixes, strict=True):
+            b = np.minimum(whole, a + prefix) if prefix else whole
+            hashes[first:last] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
         first = last
     return out

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from barweave.llm import bpe, exact, packing, sharding, urls
+from barweave.llm import bpe, exact, licenses, packing, sharding, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
 }
 
-ORACLES = {"op4_url_filter": urls.ORACLE, "op6_exact_dedup": exact.ORACLE}
+ORACLES = {"op4_url_filter": urls.ORACLE, "op5_license_scan": licenses.ORACLE, "op6_exact_dedup": exact.ORACLE}
