@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from barweave.llm import bpe, exact, licenses, packing, sharding, urls
+from barweave.llm import ann, bpe, exact, licenses, packing, sharding, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_url_filter": urls.op4_url_filter,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_exact_dedup": exact.op6_exact_dedup,
+    "op7_nearest_neighbours": ann.op7_nearest_neighbours,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {"op4_url_filter": urls.ORACLE, "op5_license_scan": licenses.ORACLE, "op6_exact_dedup": exact.ORACLE}
+ORACLES = {
+    "op4_url_filter": urls.ORACLE,
+    "op5_license_scan": licenses.ORACLE,
+    "op6_exact_dedup": exact.ORACLE,
+    "op7_nearest_neighbours": ann.ORACLE,
+}
