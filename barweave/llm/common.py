@@ -24,6 +24,15 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+ROW = ["row1", "row2"]
+
+
+def row_keys() -> tuple[Column, Column]:
+    """Two hashes of doc_id and text that name a row; equal rows share them."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return F.xxhash64("doc_id", text, F.lit(1)).alias("row1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("row2")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a temporary one only where it is unset on a one-machine master."""
     path = spark.conf.get("spark.checkpoint.dir", None)

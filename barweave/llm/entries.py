@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barweave.llm import ann, bpe, exact, licenses, packing, sharding, suffix, toxicity, urls
+from barweave.llm import ann, bpe, exact, jaccard, licenses, packing, sharding, suffix, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_url_filter": urls.op4_url_filter,
     "op5_license_scan": licenses.op5_license_scan,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barweave.llm.common import lower_ascii, shuffle_parts, stored, table
@@ -123,10 +123,14 @@ def _index(limit: int | None):
     return run
 
 
+def digest_of() -> Column:
+    text = lower_ascii(F.coalesce("text", F.lit("")))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of (doc_id, text)."""
-    text = lower_ascii(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select("doc_id", digest_of().alias("digest"))
 
 
 def build_index(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -167,6 +171,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def largest_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without exact copies: of equal texts one row with the largest doc_id stays."""
+    kept = exact_groups(docs.select("doc_id", "text")).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    kept = kept.select(F.struct("doc_id", "digest").alias("key"), "rows")
+    marked = docs.select(F.struct("*").alias("row"), F.struct("doc_id", digest_of().alias("digest")).alias("key"))
+    found = marked.join(kept, "key")
+    # only rows that repeat with their doc_id have to be grouped
+    once = found.where("rows = 1").select("row.*")
+    return once.unionByName(found.where("rows > 1").dropDuplicates(["key"]).select("row.*"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

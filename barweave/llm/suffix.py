@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import mix64, shuffle_parts, stored, table
+from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, stored, table
 from barweave.llm.suffix_sort import deep_shallow_sort
 
 LENGTH = 400
@@ -41,7 +41,6 @@ LEFT = WINDOW - 1  # the most bytes from the start of a string to its anchor
 HOT_CONTEXTS = 20_000
 SORTED_TOGETHER = 20_000
 PIECE = 1 << 20  # positions hashed at once
-ROW = ["row1", "row2"]  # two hashes of doc_id and text name a row; equal rows share them
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -239,32 +238,50 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-RESULT = pa.schema([
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary()),
-])
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, text, spans in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "spans")), strict=True):
-            runs, at, kept = merged(spans), 0, []
+        sizes, removed, kept = [], [], []
+        for text, spans in zip(*(batch.column(n).to_pylist() for n in ("text", "spans")), strict=True):
+            runs, at, parts = merged(spans), 0, []
             for first, last in runs:
-                kept.append(text[at:first])
+                parts.append(text[at:first])
                 at = last
-            rows.append((doc_id, len(text), [{"first": a, "last": b} for a, b in runs], b"".join([*kept, text[at:]])))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, RESULT, strict=True)], schema=RESULT)
+            sizes.append(len(text))
+            removed.append([{"first": a, "last": b} for a, b in runs])
+            kept.append(b"".join([*parts, text[at:]]))
+        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary()), batch.column("other")]
+        yield pa.record_batch(columns, names=["doc_id", "n_bytes", "spans", "kept", "other"])
 
 
 def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte ranges) and kept (the other bytes) of (doc_id, text)."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text, F.lit(1)).alias("row1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("row2"))
-    rows = rows.select(*ROW, "doc_id", "text")
+    """doc_id, n_bytes, spans (removed byte ranges), kept (the other bytes) and other of each row of `docs`.
+
+    `other` is a struct of the columns besides doc_id and text.
+    """
+    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    other = F.struct(*rest) if rest else F.lit(None).cast("boolean")
+    rows = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), other.alias("other"))
     spans = repeated_spans(rows, hot_contexts)
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
-    return rows.join(spans, ROW, "left").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary")
+    schema = f"doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary, other {rows.schema['other'].dataType.simpleString()}"
+    return rows.join(spans, ROW, "left").mapInArrow(_remove, schema)
+
+
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with what is left of their texts; bytes of characters that a cut splits go as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("other")], names=["doc_id", "text", "other"])
+
+    cut = remove_repeats(docs).select("doc_id", "kept", "other")
+    plain = cut.mapInArrow(run, f"doc_id long, text string, other {cut.schema['other'].dataType.simpleString()}")
+    names = {"doc_id": "doc_id", "text": "text"}
+    return plain.select(*(F.col(names[c]) if c in names else F.col("other").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,18 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def clean_documents(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of `docs` that score under the cutoff, filtered batch by batch without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = pickle.loads(sent.value).score
+        for batch in batches:
+            yield batch.filter(pa.array([score((t or "").encode()) < cutoff for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
