@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barweave.functions.scalar import order_key
 
@@ -29,29 +29,31 @@ def carry_last(
 
     Rows are ordered by (ts, seq, ties); ``seq`` must be integral and (ts, seq)
     unique per key unless ``ties`` settles the rest. ``bucket`` is a ``date_trunc``
-    unit; choose it so that one bucket of the busiest key fits a task.
+    unit; choose it so that one bucket of the busiest key fits a task. No row is lost:
+    rows without a key form one key, and a row without a time has no place in the
+    order, so it inherits nothing and passes nothing on.
     """
     rows = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
     order = order_key(F.col(ts), F.col(seq))
     tail = (
-        rows.groupBy(key, "_bucket")
+        rows.where(F.col(ts).isNotNull())
+        .groupBy(key, "_bucket")
         .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order)).alias("_tail"))
     )
     over_buckets = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     inherited = tail.select(
-        key, "_bucket", F.last("_tail", ignorenulls=True).over(over_buckets).alias("_inherited")
+        F.col(key).alias("_key"), F.col("_bucket").alias("_of"),
+        F.last("_tail", ignorenulls=True).over(over_buckets).alias("_inherited"),
     )
     inside = (
         Window.partitionBy(key, "_bucket")
         .orderBy(ts, seq, *ties)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    before = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_inherited"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of"))
     return (
-        rows.join(inherited, [key, "_bucket"])
-        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_inherited")))
-        .drop("_bucket", "_inherited")
+        rows.join(inherited, same, "left")
+        .withColumn(out, F.when(F.col(ts).isNotNull(), before))
+        .drop("_bucket", "_inherited", "_key", "_of")
     )
-
-
-def bucket_of(ts: Column, unit: str) -> Column:
-    return F.date_trunc(unit, ts)

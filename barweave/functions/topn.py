@@ -19,13 +19,14 @@ def latest_n(
 
     ``rank <= n`` lets Catalyst add a WindowGroupLimit below the shuffle, so each
     map task ships at most n rows per key. With ``splits`` > 1 the key is ranked
-    in that many hash parts first: use it on raw tables, where the number of map
-    tasks grows with the data and one hot key would still meet in a single task.
-    A row among the first n of its key is among the first n of its part, so the
-    result is the same.
+    in that many parts first: use it on raw tables, where the number of map tasks
+    grows with the data and one hot key would still meet in a single task. A row
+    among the first n of its key is among the first n of its part whatever the
+    parts are, so the input partition decides: nothing has to be computed or hashed
+    for it, and equal rows of a hot key spread as well.
     """
     if splits > 1:
-        part = F.pmod(F.xxhash64(*_split_columns(df, keys)), F.lit(splits))
+        part = F.spark_partition_id() % splits
         w = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = (
             df.withColumn("_part", part)
@@ -35,8 +36,3 @@ def latest_n(
         )
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
-
-
-def _split_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    atomic = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    return [c for c in atomic if c not in keys] or list(keys)

@@ -17,7 +17,6 @@ TIMEFRAMES = {
     "1d": ("1 day", "18 hours 30 minutes"),
 }
 LOOKBACK_UNIT = {"1m": "1 minute", "1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
-MAX_CHART_ROWS = 500
 
 
 def ohlcv_bars(ticks: DataFrame, width: str = "1 minute", order: Column | None = None) -> DataFrame:
@@ -99,7 +98,6 @@ def chart_stats(bars: DataFrame) -> DataFrame:
 
 def bars_in_range(bars: DataFrame, timeframe: str, limit: int, as_of) -> DataFrame:
     """Bars of the last ``limit`` units before ``as_of`` (a literal or a column)."""
-    limit = min(limit, MAX_CHART_ROWS)
     count, unit = LOOKBACK_UNIT.get(timeframe, "1 minute").split()
     unit = unit if unit.endswith("s") else unit + "s"
     end = lit_or_col(as_of).cast("timestamp")
@@ -112,7 +110,7 @@ def chart_data(bars: DataFrame, symbol: str, timeframe: str, limit: int, as_of)
     chosen = bars_in_range(bars.where(F.col("symbol") == symbol), timeframe, limit, as_of)
     if timeframe in TIMEFRAMES:
         return resample_bars(chosen, timeframe).orderBy("ts")
-    newest = chosen.orderBy(F.col("ts").desc()).limit(min(limit, MAX_CHART_ROWS))
+    newest = chosen.orderBy(F.col("ts").desc()).limit(limit)
     return newest.select("symbol", "ts", *PRICES, "volume").orderBy("ts")
 
 
@@ -143,14 +141,23 @@ def long_series(bars: DataFrame, fields: tuple[str, ...] = PRICES + ("volume",))
 def union_intraday_historical(
     intraday: DataFrame, historical: DataFrame, target: int = params.LOOKBACK
 ) -> DataFrame:
-    """Intraday rows first, history only for symbols with fewer than ``target`` of them."""
+    """Intraday rows first, history only for symbols with fewer than ``target`` of them.
+
+    This is the rule of a source whose history is only fetched on demand; ``stack_sources``
+    keeps everything.
+    """
     enough = intraday.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= target)
     needed = historical.join(enough.select("symbol"), "symbol", "left_anti")
+    return stack_sources(intraday, needed)
+
+
+def stack_sources(intraday: DataFrame, historical: DataFrame) -> DataFrame:
+    """All rows of both sources, tagged; intraday has the better rank."""
 
     def tag(df, name, rank):
         return df.withColumn("source", F.lit(name)).withColumn("source_rank", F.lit(rank))
 
-    return tag(intraday, "intraday", 0).unionByName(tag(needed, "historical", 1))
+    return tag(intraday, "intraday", 0).unionByName(tag(historical, "historical", 1))
 
 
 def dedup_bars(bars: DataFrame) -> DataFrame:

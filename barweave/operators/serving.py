@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from barweave import params
 from barweave.functions.carry import carry_last
-from barweave.functions.scalar import clean_name, ist, lit_or_col, ratio
+from barweave.functions.scalar import clean_name, ist, lit_or_col, order_key, ratio
 from barweave.functions.topn import latest_n
 
 C = F.col
-HISTORY_DEFAULT, HISTORY_MAX = 60, 500
+HISTORY_DEFAULT = 60
 SIGNAL_ROWS, PRICE_ROWS = 8, 12
 FRESH_SECONDS = 70
 
@@ -66,15 +65,20 @@ def live_symbols(quotes: DataFrame) -> DataFrame:
 
 
 def latest_quotes(quotes: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Last quote and number of ticks of each key; batch and streaming (update mode)."""
-    fields = [c for c in quotes.columns if c not in (*keys, "ts")]
+    """Last quote and number of ticks of each key; batch and streaming (update mode).
+
+    Quotes of the same instant are ordered by ``seq`` where the feed brings it: exchange
+    times are whole seconds or milliseconds, so ties are normal.
+    """
+    fields = [c for c in quotes.columns if c not in (*keys, "ts", "seq")]
+    order = order_key(C("ts"), C("seq")) if "seq" in quotes.columns else C("ts")
     counted = [F.max("ts").alias("last_update"), F.count("*").alias("tick_count")]
     if all(isinstance(quotes.schema[c].dataType, T.NumericType | T.DatetimeType) for c in fields):
         # the same ordering picks the same row for every field, and buffers of fixed width
         # keep the aggregation hash-based
-        newest = [F.max_by(c, "ts").alias(c) for c in fields]
+        newest = [F.max_by(c, order).alias(c) for c in fields]
         return quotes.groupBy(*keys).agg(*newest, *counted).select(*keys, *fields, "last_update", "tick_count")
-    newest = F.max_by(F.struct(*fields), C("ts")).alias("q")
+    newest = F.max_by(F.struct(*fields), order).alias("q")
     return quotes.groupBy(*keys).agg(newest, *counted).select(*keys, "q.*", "last_update", "tick_count")
 
 
@@ -139,32 +143,19 @@ def leaderboard(rows: DataFrame, k: int = SIGNAL_ROWS) -> DataFrame:
     return rows.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "symbol").limit(k)
 
 
-def clamp_limit(limit: int) -> int:
-    return max(1, min(limit, HISTORY_MAX))
-
-
 def signal_history(history: DataFrame, symbol: str, limit: int = HISTORY_DEFAULT) -> DataFrame:
-    """Last ``limit`` signals of one symbol, oldest first; at most the retained 240."""
-    n = min(clamp_limit(limit), params.HISTORY_LIMIT)
+    """Last ``limit`` signals of one symbol, oldest first.
+
+    How much history there is, is a property of the table (see ``capped_history``).
+    """
     mine = history.where(C("symbol") == symbol)
-    newest = mine.orderBy(C("updated_at").desc(), C("seq").desc()).limit(n)
+    newest = mine.orderBy(C("updated_at").desc(), C("seq").desc()).limit(limit)
     return newest.orderBy("updated_at", "seq")
 
 
 def merged_history(history: DataFrame, limit: int = HISTORY_DEFAULT) -> DataFrame:
-    """Newest signals over all symbols.
-
-    The newest ``limit`` rows overall lie within the newest ``limit`` rows of their
-    symbols, so no ranking per symbol is needed below the retained 240; above it the
-    retention cap decides which rows exist.
-    """
-    n = clamp_limit(limit)
-    rows = history
-    if n > params.HISTORY_LIMIT:
-        rows = latest_n(
-            history, ["symbol"], [C("updated_at").desc(), C("seq").desc()], params.HISTORY_LIMIT, splits=16
-        ).drop("rn")
-    return rows.orderBy(C("updated_at").desc(), C("seq").desc()).limit(n)
+    """Newest signals over all symbols, of whatever history the table retains."""
+    return history.orderBy(C("updated_at").desc(), C("seq").desc()).limit(limit)
 
 
 def last_history_rows(history: DataFrame, symbol: str, fetched: int = 20, shown: int = 12) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from barweave import params
 from barweave.functions.carry import carry_last
@@ -121,14 +121,34 @@ def price_block(has_indicators=True) -> Column:
     )
 
 
-def context_bias(block_col: Column) -> Column:
-    """Bias of a context block: its bias, else its score, else direction times confidence."""
-    side = F.upper(block_col["direction"])
-    confidence = clamp(F.coalesce(block_col["confidence"], F.lit(1.0)), 0.0, 1.0)
-    by_direction = (
-        F.when(side.isin("BUY", "BULLISH"), confidence).when(side.isin("SELL", "BEARISH"), -confidence).otherwise(0.0)
-    )
-    return F.coalesce(clamp(block_col["bias"]), clamp(block_col["score"]), by_direction)
+def _field(block: Column, kind: T.DataType, *names: str) -> Column | None:
+    """The first of the named fields that is present in a struct; None when it has none of them."""
+    found = [block[n] for n in names if isinstance(kind, T.StructType) and n in kind.fieldNames()]
+    return F.coalesce(*found) if found else None
+
+
+def context_bias(block: Column, kind: T.DataType) -> Column:
+    """Bias of a context value: the number itself, or a block's bias, else score, else direction times confidence."""
+    if isinstance(kind, T.NumericType):
+        return clamp(block.cast("double"))
+    forms = [clamp(v.cast("double")) for v in (_field(block, kind, "bias"), _field(block, kind, "score")) if v is not None]
+    named = _field(block, kind, "direction")
+    if named is not None:
+        side, given = F.upper(named), _field(block, kind, "confidence")
+        confidence = F.lit(1.0) if given is None else clamp(F.coalesce(given, F.lit(1.0)), 0.0, 1.0)
+        forms.append(F.when(side.isin("BUY", "BULLISH"), confidence).when(side.isin("SELL", "BEARISH"), -confidence))
+    return F.when(block.isNotNull(), F.coalesce(*forms, F.lit(0.0)))
+
+
+def snapshot_bias(snapshots: DataFrame) -> Column:
+    """Daily bias of ``context`` or else ``market``, found there as ``daily_trend`` or else ``1d``."""
+    out = []
+    for name in ("context", "market"):
+        kind = snapshots.schema[name].dataType if name in snapshots.columns else None
+        for part in ("daily_trend", "1d"):
+            if isinstance(kind, T.StructType) and part in kind.fieldNames():
+                out.append(context_bias(C(name)[part], kind[part].dataType))
+    return F.coalesce(*out) if out else F.lit(None).cast("double")
 
 
 def daily_trend_from_technical(technical: Column) -> Column:
@@ -139,9 +159,17 @@ def daily_trend_from_technical(technical: Column) -> Column:
 # --- combination ---------------------------------------------------------------------------
 
 
-def _inferred_direction(b: Column) -> Column:
-    named = F.upper(b["direction"])
-    lean = b["bias"]
+def _inferred_direction(b: Column, kind: T.DataType) -> Column:
+    """BUY, SELL or HOLD from the first name given, else from the sign of the first lean that is not zero."""
+    none = F.lit(None)
+    names = [F.nullif(v, F.lit("")) for v in (_field(b, kind, n) for n in ("direction", "signal", "side")) if v is not None]
+    leans = [
+        F.nullif(b[n].cast("double"), F.lit(0.0))
+        for n in ("bias", "trend")
+        if n in kind.fieldNames() and isinstance(kind[n].dataType, T.NumericType)
+    ]
+    named = F.upper(F.coalesce(*names)) if names else none.cast("string")
+    lean = F.coalesce(*leans) if leans else none.cast("double")
     return (
         F.when(named.isin("BUY", "SELL", "HOLD"), named)
         .when(lean > 0, "BUY")
@@ -153,22 +181,30 @@ def _inferred_direction(b: Column) -> Column:
 def contributions(snapshots: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Normalised contributions of the components that are present, as ``components``.
 
+    A component is a struct; it may name its direction ``direction``, ``signal`` or
+    ``side``, its lean ``bias`` or ``trend``, its confidence ``confidence`` or
+    ``strength`` and its text ``reason`` or ``summary``, and leave fields out.
     Direction, score and confidence are separate steps: nesting them would repeat
     the inner expressions many times in the plan.
     """
     weights = params.WEIGHTS if weights is None else weights
     names = list(weights)
-    df = snapshots.withColumns({f"_{n}_direction": _inferred_direction(C(n)) for n in names})
+    kinds = {n: snapshots.schema[n].dataType for n in names}
+    df = snapshots.withColumns({f"_{n}_direction": _inferred_direction(C(n), kinds[n]) for n in names})
+
+    def given(n: str, kind: str, *fields: str) -> Column:
+        found = _field(C(n), kinds[n], *fields)
+        return F.lit(None).cast(kind) if found is None else found
 
     def raw_score(n: str) -> Column:
-        b, direction = C(n), C(f"_{n}_direction")
+        direction = C(f"_{n}_direction")
         by_direction = F.when(direction == "BUY", 1.0).when(direction == "SELL", -1.0).otherwise(0.0)
-        derived = F.coalesce(b["bias"], by_direction) * F.coalesce(b["momentum"], F.lit(1.0))
-        return F.coalesce(b["score"], derived)
+        derived = F.coalesce(given(n, "double", "bias"), by_direction) * F.coalesce(given(n, "double", "momentum"), F.lit(1.0))
+        return F.coalesce(given(n, "double", "score"), derived)
 
     df = df.withColumns(
         {f"_{n}_raw": raw_score(n) for n in names}
-        | {f"_{n}_given": F.coalesce(C(n)["confidence"], F.lit(0.0)) for n in names}
+        | {f"_{n}_given": F.coalesce(given(n, "double", "confidence", "strength"), F.lit(0.0)) for n in names}
     )
     df = df.withColumns(
         {f"_{n}_bounded": clamp(C(f"_{n}_raw")) for n in names}
@@ -189,10 +225,12 @@ def contributions(snapshots: DataFrame, weights: dict[str, float] | None = None)
             F.struct(
                 F.lit(n).alias("name"),
                 F.lit(float(weights[n])).alias("weight"),
-                F.when((b["direction"] == "SELL") & (bounded > 0), -bounded).otherwise(bounded).alias("score"),
+                F.when((given(n, "string", "direction") == "SELL") & (bounded > 0), -bounded).otherwise(bounded).alias("score"),
                 F.when(confidence > 0, confidence).otherwise(F.abs(bounded)).alias("confidence"),
                 direction.alias("direction"),
-                F.coalesce(F.when(b["reason"] != "", b["reason"]), default).alias("narrative"),
+                F.coalesce(
+                    F.nullif(given(n, "string", "reason"), F.lit("")), F.nullif(given(n, "string", "summary"), F.lit("")), default
+                ).alias("narrative"),
             ),
         )
 
@@ -363,6 +401,12 @@ def risk_reward(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_reward", F.when(usable, F.round(value, 2)).otherwise(0.0))
 
 
+def titled(name: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands between the runs."""
+    spaced = F.initcap(F.regexp_replace(name, r"([^\p{L}])", "$1 "))
+    return F.regexp_replace(spaced, r"([^\p{L}]) ", "$1")
+
+
 def rationale(df: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("Direction "), C("direction"), F.lit(" with "), fixed(C("confidence") * 100, 1),
@@ -371,14 +415,12 @@ def rationale(df: DataFrame) -> DataFrame:
     lines = F.transform(
         "components",
         lambda c: F.concat(
-            F.initcap(c["name"]), F.lit(": "), c["narrative"], F.lit(" ("),
+            titled(c["name"]), F.lit(": "), c["narrative"], F.lit(" ("),
             F.format_string("%+.2f", c["score"]), F.lit(")"),
         ),
     )
-    # initcap keeps what follows an underscore in lower case
-    titled = F.transform(lines, lambda v: F.replace(v, F.lit("Market_regime:"), F.lit("Market_Regime:")))
     return df.withColumn(
-        "rationale", F.concat(F.array(head), titled, F.array_compact(F.array(C("context_note"))))
+        "rationale", F.concat(F.array(head), lines, F.array_compact(F.array(C("context_note"))))
     )
 
 
@@ -389,6 +431,8 @@ def decide(
     bias: str = "daily_bias",
 ) -> DataFrame:
     """Components, score, confidence and raw direction, before persistence."""
+    if bias not in snapshots.columns:
+        snapshots = snapshots.withColumn(bias, snapshot_bias(snapshots))
     df = context_adjust(combine(contributions(snapshots, weights)), bias)
     return df.withColumn("raw_direction", raw_direction(C("score"), C("confidence"), hold_threshold))
 

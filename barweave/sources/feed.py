@@ -39,6 +39,7 @@ def feed_ticks(exploded: DataFrame) -> DataFrame:
         last["ltp"].alias("ltp"),
         F.coalesce(last["ltq"], F.lit(0)).alias("ltq"),
         F.col("market.marketLevel.bidAskQuote").alias("levels"),
+        *[c for c in ("seq",) if c in exploded.columns],  # the order of messages settles equal times
     )
 
 

@@ -36,8 +36,9 @@ def parse_candles(
 ) -> DataFrame:
     """JSON candle arrays ``[ts, open, high, low, close, volume?]`` to bars.
 
-    Malformed candles and candles with a non-positive price are skipped, a missing
-    volume is 0. With ``z_is_ist`` a trailing ``Z`` means +05:30, which is how the
+    Malformed candles and candles with a price that is no positive number are skipped.
+    A missing volume is 0, a fractional one is truncated, text that is no number
+    makes the candle malformed. With ``z_is_ist`` a trailing ``Z`` means +05:30, which is how the
     candle source writes exchange time.
     """
     c = docs.select(key, F.explode(F.from_json(column, schemas.CANDLES)).alias("c"))
@@ -57,15 +58,19 @@ def parse_candles(
             at(i).try_cast("double").alias(n)
             for i, n in enumerate(("open", "high", "low", "close"), start=2)
         ],
-        F.when(F.size("c") > 5, at(6).try_cast("bigint")).otherwise(F.lit(0)).alias("volume"),
+        F.when(F.size("c") > 5, at(6).try_cast("double").try_cast("bigint")).otherwise(F.lit(0)).alias("volume"),
     )
     return valid_bars(out.where(F.col("ts").isNotNull() & F.col("volume").isNotNull()))
 
 
 def valid_bars(bars: DataFrame) -> DataFrame:
-    """Keep bars whose four prices are all positive; a missing volume is 0."""
-    positive = (F.col("open") > 0) & (F.col("high") > 0) & (F.col("low") > 0) & (F.col("close") > 0)
-    return bars.where(positive).withColumn("volume", F.coalesce("volume", F.lit(0)))
+    """Keep bars whose four prices are all positive; a missing volume is 0.
+
+    NaN compares above every number in Spark but is no price.
+    """
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    positive = [(p > 0) & ~F.isnan(p) for p in prices]
+    return bars.where(positive[0] & positive[1] & positive[2] & positive[3]).withColumn("volume", F.coalesce("volume", F.lit(0)))
 
 
 def read_bars(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
@@ -123,13 +128,19 @@ def store_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
     write_bars(upsert_bars(stored, new), path)
 
 
-def append_signal_history(signals: DataFrame, path: str) -> None:
-    """Append-only: history is never rewritten, the cap is applied when reading."""
+def append_signal_history(signals: DataFrame, path: str, batch: str) -> None:
+    """Add a batch to the history; the cap is applied when reading.
+
+    A batch owns its folder below ``path``, so a repeated job replaces its own rows and
+    never adds them twice. Rows are rebalanced by month: a month gets few files however
+    many tasks made the signals.
+    """
     (
         signals.withColumn("month", F.date_format("updated_at", MONTH))
-        .write.mode("append")
+        .hint("rebalance", "month")
+        .write.mode("overwrite")
         .partitionBy("month")
-        .parquet(path)
+        .parquet(f"{path.rstrip('/')}/batch={batch}")
     )
 
 

@@ -160,8 +160,9 @@ def supplier_symbols(s, d):
 
 
 def ingest_run_stats(s, d):
-    recent = bars_of(s, d).where(C("ts") >= F.lit("2001-11-01").cast("timestamp"))
-    return flat(b.ingest_run_stats(supplier_symbols(s, d), recent))
+    """Customers are asked for as well and have no bars."""
+    customers = m.table(s, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
+    return flat(b.ingest_run_stats(supplier_symbols(s, d).select("symbol").unionByName(customers), bars_of(s, d)))
 
 
 def signals_of_events(s, d):
@@ -170,7 +171,8 @@ def signals_of_events(s, d):
 
 def append_signal_history(s, d):
     path = shared_dir(s, "history")
-    files.append_signal_history(signals_of_events(s, d), path)
+    files.append_signal_history(signals_of_events(s, d), path, "first")
+    files.append_signal_history(signals_of_events(s, d), path, "first")  # a repeated job adds nothing
     kept = files.capped_history(s.read.parquet(path), 20)
     return flat(kept, "symbol", "updated_at", "seq", "direction", "confidence", "rn")
 
@@ -221,7 +223,7 @@ def quotes_with_gaps(s, d):
 
 
 def active_symbols(s, d):
-    latest = sv.latest_quotes(quotes_with_gaps(s, d).select("symbol", "ts", "ltp", "ltq"))
+    latest = sv.latest_quotes(quotes_with_gaps(s, d).select("symbol", "ts", "seq", "ltp", "ltq"))
     return sv.active_symbols(latest)
 
 
@@ -750,7 +752,7 @@ def stream_late_data(s, d):
 
 
 def stream_latest_quotes(s, d):
-    quotes = stream_ticks(s, d).select("symbol", "ts", "ltp", "ltq")
+    quotes = stream_ticks(s, d).select("symbol", "ts", "seq", "ltp", "ltq")
     return flat(flows.run_latest_quotes(s, quotes))
 
 
@@ -772,7 +774,112 @@ def stream_signals(s, d):
     return flat(flows.run_signal_cycles(s, rows), "symbol", "direction", "confidence", "score", "entry_price")
 
 
+# --- incomplete and tied input ---------------------------------------------------------------
+
+
+def carry_nulls(s, d):
+    """Ticks without a symbol or without a time stay rows of the result."""
+    rows = m.ticks(s, d).withColumns({
+        "symbol": F.when(C("seq") % 7 != 0, C("symbol")), "ts": F.when(C("seq") % 11 != 0, C("ts")),
+    })
+    return flat(sv.price_tick_direction(rows), "symbol", "seq", "ltp", "prev_ltp", "tick_direction")
+
+
+def latest_quotes_ties(s, d):
+    """All ticks of a day carry the same time; the message order decides."""
+    rows = m.ticks(s, d).select("symbol", F.date_trunc("day", "ts").alias("ts"), "seq", "ltp", "ltq")
+    return flat(sv.latest_quotes(rows))
+
+
+def signal_history_long(s, d):
+    """One symbol with every signal, and a limit above the default retention."""
+    rows = signals_of_events(s, d).withColumn("symbol", F.lit("ALL"))
+    return flat(sv.signal_history(rows, "ALL", 1000), "seq", "direction", "confidence")
+
+
+def merged_history_long(s, d):
+    return flat(sv.merged_history(signals_of_events(s, d), 1000), "symbol", "seq", "direction", "confidence")
+
+
+def parse_candle_numbers(s, d):
+    """Fractional volumes are truncated; NaN is no price and text no volume."""
+    li = m.table(s, d, "lineitem")
+    volume = (F.when(C("l_linenumber") == 4, '"many"').when(C("l_linenumber") == 2, F.format_string("%.1f", "l_quantity"))
+              .otherwise(F.format_string("%.2f", C("l_quantity") + 0.75)))
+    openp = F.when(C("l_linenumber") == 5, '"NaN"').otherwise(F.format_string("%.2f", "l_extendedprice"))
+    rows = li.select(
+        F.concat(F.lit("S"), "l_suppkey").alias("symbol"),
+        F.format_string('[["%s",%s,%s,%s,%s,%s]]', F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), openp,
+                        openp, openp, openp, volume).alias("candles"),
+    )
+    return flat(files.parse_candles(rows))
+
+
+def valid_bars_nan(s, d):
+    price = F.when(C("event_type") == "error", F.lit(float("nan"))).otherwise(C("ltp"))
+    rows = m.ticks(s, d).select("symbol", "ts", *[price.alias(c) for c in ("open", "high", "low", "close")], C("ltq").alias("volume"))
+    return flat(files.valid_bars(rows))
+
+
+def component_forms(s, d) -> DataFrame:
+    """Components that use the other names of direction, lean, confidence and text."""
+    side = F.when(C("event_type") == "click", "buy").when(C("event_type") == "error", "SELL").otherwise("none")
+    lean = C("ltq") / 49.7 - 1.0
+    return m.ticks(s, d).select(
+        "symbol", "ts", "seq",
+        F.struct(side.alias("signal"), F.lit("").alias("reason"), F.lit("path").alias("summary"), (C("ltp") / 400.0).alias("strength")).alias("news_flow"),
+        F.when(C("ltq") >= 20, F.struct(lean.alias("trend"), F.lit(0.0).alias("bias"), F.lit(0.5).alias("score"))).alias("quant"),
+        F.struct(F.lit("").alias("direction"), side.alias("side"), lean.alias("bias")).alias("book-depth"),
+        F.struct(F.struct((lean / 2).alias("score")).alias("daily_trend")).alias("context"),
+        F.struct(F.lit(0.3).alias("1d")).alias("market"),
+    )
+
+
+FORM_WEIGHTS = {"news_flow": 0.5, "quant": 0.25, "book-depth": 0.25}
+
+
+def contributions_aliases(s, d):
+    rows = un.contributions(component_forms(s, d), FORM_WEIGHTS).select("symbol", "seq", F.explode("components").alias("c"))
+    return flat(rows.select("symbol", "seq", "c.*"))
+
+
+def context_forms(s, d):
+    """Daily context as a number, as a score, and as a direction with or without confidence."""
+    t = m.ticks(s, d)
+    lean = C("ltq") / 49.7 - 1.0
+    side = F.when(C("event_type") == "click", "bullish").when(C("event_type") == "error", "SELL").otherwise("flat")
+    forms = {
+        "number": F.struct(F.struct((lean * 2).alias("daily_trend")).alias("context")),
+        "score": F.struct(F.struct(F.struct(lean.alias("score")).alias("1d")).alias("context")),
+        "bias": F.struct(F.struct(F.struct(F.when(C("ltq") > 30, lean).alias("bias"), F.lit(0.1).alias("score")).alias("1d")).alias("market")),
+        "side": F.struct(F.struct(F.struct(side.alias("direction")).alias("daily_trend")).alias("market")),
+        "confidence": F.struct(F.struct(F.struct(side.alias("direction"), (C("ltp") / 90.0).alias("confidence")).alias("daily_trend")).alias("context")),
+    }
+    parts = []
+    for form, context in forms.items():
+        rows = t.select("seq", context.alias("c")).select("seq", "c.*")
+        parts.append(rows.select(F.lit(form).alias("form"), "seq", un.snapshot_bias(rows).alias("bias")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return flat(out)
+
+
+def rationale_custom(s, d):
+    decided_rows = un.decide(component_forms(s, d), FORM_WEIGHTS).withColumn("direction", C("raw_direction"))
+    return flat(un.rationale(decided_rows), "symbol", "seq", "rationale")
+
+
 QUERIES = {
+    "carry_nulls": carry_nulls,
+    "latest_quotes_ties": latest_quotes_ties,
+    "signal_history_long": signal_history_long,
+    "merged_history_long": merged_history_long,
+    "parse_candle_numbers": parse_candle_numbers,
+    "valid_bars_nan": valid_bars_nan,
+    "contributions_aliases": contributions_aliases,
+    "context_forms": context_forms,
+    "rationale_custom": rationale_custom,
     # scans, sources, sinks
     "read_instruments": read_instruments,
     "read_bars": read_bars,

@@ -365,9 +365,10 @@ SELECT symbol, {ts('ts', 'ts')}, {r('p', 'open')}, {r("CAST(printf('%.2f', c + 1
     "append_signal_history": f"WITH {UNIFIED} SELECT symbol, {ts('ts', 'updated_at')}, seq, direction, {r('confidence', 'confidence')}, {big('rn', 'rn')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM sig) WHERE rn <= 20",
     "signal_payload": sig(f"""symbol, direction AS p_direction, persistence_reason AS p_persistence_reason, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS p_updated_at,
   {r('round(confidence, 3)', 'p_confidence')}, {r('round(score, 3)', 'p_score')}, {r('nullif(risk_reward, 0)', 'p_risk_reward')}, {r('round(components[1].score, 3)', 'p_first_score')}, '1H' AS p_timeframe"""),
-    "ingest_run_stats": f"""WITH {BARS}, n AS (SELECT symbol, count(*) AS n FROM bars WHERE ts >= TIMESTAMP '2001-11-01' GROUP BY 1)
+    "ingest_run_stats": f"""WITH {BARS}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1),
+asked AS (SELECT 'S' || s_suppkey AS symbol FROM supplier UNION ALL SELECT 'C' || c_custkey FROM customer)
 SELECT count(*) AS total_symbols, count(n) AS symbols_successful, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_candles, {r('count(n) * 100.0 / count(*)', 'success_rate')},
-  {r('coalesce(sum(n), 0) / greatest(1, count(n))', 'avg_candles_per_symbol')} FROM supplier LEFT JOIN n ON n.symbol = 'S' || s_suppkey""",
+  {r('coalesce(sum(n), 0) / greatest(1, count(n))', 'avg_candles_per_symbol')} FROM asked LEFT JOIN n ON n.symbol = asked.symbol""",
     "latest_entry": f"WITH {BARS} SELECT symbol, {ts('max(ts)', 'last_ts')}, {r('arg_max(close, ts)', 'last_close')} FROM bars GROUP BY symbol",
     "indicator_history": f"WITH {series(CALM)} SELECT symbol, {ts('ts', 'ts')}, {rs('rsi', 'macd', 'macd_signal', 'sma_5', 'sma_20', 'volume_ratio')} FROM ser WHERE rn <= 100",
     "valid_bars": f"""SELECT 'U' || user_id AS symbol, {ts('ts', 'ts')}, {r('value', 'open')}, {r('value + 1', 'high')}, {r("value - CASE WHEN event_type = 'error' THEN 5 ELSE 0 END", 'low')}, {r('value', 'close')},
@@ -536,3 +537,54 @@ FROM (SELECT 'S' || s_suppkey AS symbol FROM supplier) s LEFT JOIN cs ON cs.symb
     "stream_persistence": sig("symbol, seq, direction, persistence_reason"),
     "stream_dedup": f"WITH {TICKS} SELECT symbol, {ts('ts', 'ts')}, {r('ltp', 'ltp')}, ltq FROM ticks",
 }
+
+_FORMS = TICKS + """, f0 AS (
+  SELECT *, CASE event_type WHEN 'click' THEN 'BUY' WHEN 'error' THEN 'SELL' ELSE 'HOLD' END AS side, ltq / 49.7 - 1.0 AS lean FROM ticks),
+f1 AS (
+  SELECT *, CASE side WHEN 'BUY' THEN 1.0 WHEN 'SELL' THEN -1.0 ELSE 0.0 END AS news, CASE WHEN lean > 0 THEN 'BUY' WHEN lean < 0 THEN 'SELL' ELSE 'HOLD' END AS way,
+    greatest(-1.0, least(1.0, lean)) AS depth FROM f0),
+f2 AS (
+  SELECT *, CASE WHEN side = 'HOLD' THEN way ELSE side END AS depth_side, CASE WHEN ltp > 0 THEN least(1.0, ltp / 400.0) ELSE abs(news) END AS news_conf FROM f1),
+forms AS (
+  SELECT symbol, seq, lean, list_filter([
+    {'name': 'news_flow', 'title': 'News_Flow', 'weight': 0.5::DOUBLE, 'score': news::DOUBLE, 'confidence': news_conf::DOUBLE, 'direction': side, 'narrative': 'path'},
+    CASE WHEN ltq >= 20 THEN {'name': 'quant', 'title': 'Quant', 'weight': 0.25::DOUBLE, 'score': 0.5::DOUBLE, 'confidence': 0.5::DOUBLE, 'direction': way,
+      'narrative': CASE way WHEN 'HOLD' THEN 'Quant neutral' WHEN 'BUY' THEN 'Quant skewed bullish' ELSE 'Quant skewed bearish' END} END,
+    {'name': 'book-depth', 'title': 'Book-Depth', 'weight': 0.25::DOUBLE, 'score': depth::DOUBLE, 'confidence': abs(depth)::DOUBLE, 'direction': depth_side,
+      'narrative': CASE depth_side WHEN 'HOLD' THEN 'Book-Depth neutral' WHEN 'BUY' THEN 'Book-Depth skewed bullish' ELSE 'Book-Depth skewed bearish' END}
+  ], lambda c: c IS NOT NULL) AS components FROM f2),
+g1 AS (
+  SELECT *, list_sum(list_transform(components, lambda c: c.weight)) AS ws, list_sum(list_transform(components, lambda c: c.weight * c.score)) AS ss,
+    list_sum(list_transform(components, lambda c: c.weight * c.confidence)) AS cs, greatest(-1.0, least(1.0, lean / 2)) AS bias FROM forms),
+g2 AS (SELECT *, greatest(-1.0, least(1.0, ss / ws)) AS score, greatest(0.0, least(1.0, cs / ws * 0.6 + abs(ss / ws) * 0.4)) AS base FROM g1),
+g3 AS (SELECT *, greatest(0.0, least(1.0, base * (1 + 0.15 * bias))) AS confidence FROM g2),
+g4 AS (
+  SELECT *, CASE WHEN confidence < 0.2 THEN 'HOLD' WHEN score >= 0.05 THEN 'BUY' WHEN score <= -0.05 THEN 'SELL' ELSE 'HOLD' END AS direction,
+    CASE WHEN bias <> 0 THEN 'Daily context (1D) bias ' || printf('%+.2f', bias) || ' adjusted confidence' END AS context_note FROM g3)"""
+_CONTEXTS = TICKS + """, c AS (
+  SELECT *, ltq / 49.7 - 1.0 AS lean, CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN -1.0 END AS way FROM ticks),
+forms AS (
+  SELECT 'number' AS form, seq, greatest(-1.0, least(1.0, lean * 2)) AS bias FROM c UNION ALL
+  SELECT 'score', seq, greatest(-1.0, least(1.0, lean)) FROM c UNION ALL
+  SELECT 'bias', seq, greatest(-1.0, least(1.0, CASE WHEN ltq > 30 THEN lean ELSE 0.1 END)) FROM c UNION ALL
+  SELECT 'side', seq, coalesce(way, 0.0) FROM c UNION ALL
+  SELECT 'confidence', seq, coalesce(way * least(1.0, ltp / 90.0), 0.0) FROM c)"""
+
+ORACLES |= {
+    "carry_nulls": f"""WITH {TICKS}, t AS (SELECT CASE WHEN seq % 7 <> 0 THEN symbol END AS symbol, CASE WHEN seq % 11 <> 0 THEN ts END AS ts, seq, ltp FROM ticks),
+l AS (SELECT *, CASE WHEN ts IS NOT NULL THEN lag(ltp) OVER (PARTITION BY symbol, ts IS NULL ORDER BY ts, seq) END AS prev_ltp FROM t)
+SELECT symbol, seq, {rs('ltp', 'prev_ltp')}, CASE WHEN ltp > prev_ltp THEN 'up' WHEN ltp < prev_ltp THEN 'down' END AS tick_direction FROM l""",
+    "latest_quotes_ties": f"""WITH {TICKS}, t AS (SELECT symbol, date_trunc('day', ts) AS ts, seq, ltp, ltq FROM ticks),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rk, count(*) OVER (PARTITION BY symbol) AS tick_count FROM t)
+SELECT symbol, {r('ltp', 'ltp')}, ltq, {ts('ts', 'last_update')}, tick_count FROM k WHERE rk = 1""",
+    "signal_history_long": sig(f"seq, direction, {r('confidence', 'confidence')}", "ORDER BY ts DESC, seq DESC LIMIT 1000"),
+    "merged_history_long": sig(f"symbol, seq, direction, {r('confidence', 'confidence')}", "ORDER BY ts DESC, seq DESC LIMIT 1000"),
+    "parse_candle_numbers": f"""SELECT 'S' || l_suppkey AS symbol, {ts('l_shipdate', 'ts')}, {", ".join(r('l_extendedprice', c) for c in ('open', 'high', 'low', 'close'))},
+  CAST(l_quantity AS BIGINT) AS volume FROM lineitem WHERE l_linenumber NOT IN (4, 5)""",
+    "valid_bars_nan": f"""WITH {TICKS} SELECT symbol, {ts('ts', 'ts')}, {", ".join(r('ltp', c) for c in ('open', 'high', 'low', 'close'))}, ltq AS volume FROM ticks WHERE event_type <> 'error'""",
+    "contributions_aliases": f"WITH {_FORMS} SELECT symbol, seq, c.name AS name, {r('c.weight', 'weight')}, {r('c.score', 'score')}, {r('c.confidence', 'confidence')}, c.direction AS direction, c.narrative AS narrative FROM (SELECT symbol, seq, unnest(components) AS c FROM forms)",
+    "context_forms": f"WITH {_CONTEXTS} SELECT form, seq, {r('bias', 'bias')} FROM forms",
+    "rationale_custom": f"""WITH {_FORMS} SELECT symbol, seq, array_to_string(list_concat(['Direction ' || direction || ' with ' || printf('%.1f', confidence * 100) || '% confidence on 1H timeframe'],
+  list_transform(components, lambda c: c.title || ': ' || c.narrative || ' (' || printf('%+.2f', c.score) || ')'),
+  CASE WHEN context_note IS NULL THEN [] ELSE [context_note] END), '|') AS rationale FROM g4""",
+}
