@@ -8,7 +8,7 @@ the checkpoint gives the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from barweave import params
 from barweave.operators import bars as b, orderbook, unified
@@ -129,6 +129,7 @@ def run_persistence(
         unified.persistence(batch, state=before).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         after = _merge_state(before, unified.commitments(batch))
         after.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        expire(spark, state, batch_id)
         batch.unpersist()
 
     run_batches(spark, decisions, handle, "persistence", trigger=trigger, checkpoint=checkpoint)
@@ -157,40 +158,75 @@ def bar_snapshots(recent: DataFrame) -> DataFrame:
     )
 
 
+SEPARATOR = "\u0001"
+
+
+def cycle_frames(before: DataFrame | None, bars: DataFrame, lookback: int) -> DataFrame:
+    """For every new bar the last ``lookback`` bars of its symbol up to it, keyed by symbol and bar time.
+
+    Bars of a symbol are numbered once; a new bar then takes the numbers just below its own, so the
+    rows grow with the new bars times the lookback, whatever the batch holds.
+    """
+    rows = bars.withColumn("_new", F.lit(True))
+    if before is not None:
+        rows = rows.unionByName(before.withColumn("_new", F.lit(False)))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")))
+    reach = F.sequence(C("_i"), C("_i") + lookback - 1)
+    spread = numbered.withColumn("_of", F.explode(reach))
+    ends = numbered.where("_new").select("symbol", C("_i").alias("_of"), C("ts").alias("_end"))
+    key = F.concat(C("symbol"), F.lit(SEPARATOR), F.unix_micros("_end"))
+    return spread.join(ends, ["symbol", "_of"]).withColumn("symbol", key).select(*BAR_COLUMNS)
+
+
+def cycle_decisions(frames: DataFrame, lookback: int) -> DataFrame:
+    """Decided rows of each frame, under the symbol and the time of its bar."""
+    features = cycle.symbol_features(frames, lookback, momentum=False)
+    book = orderbook.orderbook_analysis(bar_quotes(frames), bar_snapshots(frames))
+    decided = unified.decide(cycle.component_snapshot(features, book))
+    parts = F.split("symbol", SEPARATOR)
+    return decided.withColumns({"ts": F.timestamp_micros(parts[1].cast("bigint")), "symbol": parts[0]})
+
+
+def expire(spark: SparkSession, path: str, batch_id: int, keep: int = 3) -> None:
+    """Drop the version that ``keep`` newer ones have replaced; a restart repeats the last batch only."""
+    if batch_id >= keep:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - keep}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def run_signal_cycles(
     spark: SparkSession, ticks: DataFrame, width: str = "1 minute", delay: str = "0 seconds",
     lookback: int = params.LOOKBACK, base: str | None = None, trigger: dict | None = None,
     checkpoint: str | None = None,
 ) -> DataFrame:
-    """Ticks to closed bars to one signal per symbol and cycle.
+    """Ticks to closed bars to one signal per symbol and closed bar.
 
-    For a live feed pass ``trigger={"processingTime": "60 seconds"}``. Each cycle
-    reads the rolling table of the last ``lookback`` bars per symbol written by the
-    cycle before, so its cost does not grow with the length of the history.
+    A batch only carries bars: each new bar is a cycle of its own, so the signals do not
+    depend on how the source is cut into batches, and a backlog loses no cycle. For a live
+    feed pass ``trigger={"processingTime": "60 seconds"}``. The last ``lookback`` bars per
+    symbol and the committed directions are small tables carried from batch to batch, of
+    which the last three versions are kept.
     """
     base = base or shared_dir(spark, "cycles")
     recent_path, state_path, out = f"{base}/recent", f"{base}/committed", f"{base}/signals"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        bars = batch.select(*BAR_COLUMNS)
+        bars = batch.select(*BAR_COLUMNS).persist()
         before = _versioned(spark, recent_path, batch_id)
+        committed = _versioned(spark, state_path, batch_id)
+        decided = cycle_decisions(cycle_frames(before, bars, lookback), lookback).persist()
+        signals = unified.finish(unified.persistence(decided, state=committed))
+        signals.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
         rows = bars if before is None else before.unionByName(bars)
         kept = b.recent_bars(rows, lookback).select(*BAR_COLUMNS)
         kept.write.mode("overwrite").parquet(f"{recent_path}/batch={batch_id}")
-        recent = spark.read.parquet(f"{recent_path}/batch={batch_id}")
-
-        committed = _versioned(spark, state_path, batch_id)
-        features = cycle.symbol_features(recent, lookback, momentum=False)
-        book = orderbook.orderbook_analysis(bar_quotes(recent), bar_snapshots(recent))
-        decided = unified.decide(cycle.component_snapshot(features, book)).persist()
-        signals = unified.finish(unified.persist_cycle(decided, state=committed))
-        signals.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         after = _merge_state(committed, unified.commitments(decided))
         after.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        for path in (recent_path, state_path):
+            expire(spark, path, batch_id)
         decided.unpersist()
+        bars.unpersist()
 
     run_batches(spark, stream_bars(ticks, width, delay), handle, "signals", trigger=trigger, checkpoint=checkpoint)
-    # a symbol has one signal per cycle; the last cycle holds the current ones
-    history = spark.read.parquet(out)
-    last = history.agg(F.max("batch").alias("batch"))
-    return history.join(last, "batch", "left_semi").drop("batch")
+    return spark.read.parquet(out).drop("batch")

@@ -771,7 +771,8 @@ def stream_persistence(s, d):
 
 def stream_signals(s, d):
     rows = stream_ticks(s, d)
-    return flat(flows.run_signal_cycles(s, rows), "symbol", "direction", "confidence", "score", "entry_price")
+    out = flows.run_signal_cycles(s, rows)
+    return flat(out, "symbol", "updated_at", "direction", "confidence", "score", "entry_price", "persistence_reason")
 
 
 # --- incomplete and tied input ---------------------------------------------------------------

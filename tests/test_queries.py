@@ -26,7 +26,8 @@ def test_query_equals_oracle(spark, name):
     assert line.startswith("OK"), line
 
 
-def test_stream_signals_give_one_row_per_symbol(spark):
+def test_stream_signals_give_one_row_per_symbol_and_closed_minute(spark):
     rows = QUERIES["stream_signals"](spark, SF).collect()
-    assert len(rows) == len({r.symbol for r in rows}) > 0
+    closed = QUERIES["stream_ohlcv_1m"](spark, SF).select("symbol", "ts").collect()
+    assert sorted((r.symbol, r.updated_at) for r in rows) == sorted(map(tuple, closed))
     assert {r.direction for r in rows} <= {"BUY", "SELL", "HOLD"}
