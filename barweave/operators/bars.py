@@ -114,11 +114,11 @@ def chart_data(bars: DataFrame, symbol: str, timeframe: str, limit: int, as_of)
     return newest.select("symbol", "ts", *PRICES, "volume").orderBy("ts")
 
 
-def recent_bars(bars: DataFrame, n: int = params.LOOKBACK, splits: int = 1) -> DataFrame:
+def recent_bars(bars: DataFrame, n: int = params.LOOKBACK, splits: int = params.HOT_KEY_SPLITS) -> DataFrame:
     """Latest ``n`` bars of each symbol with ``rn`` = 1 for the newest.
 
-    Use ``splits`` > 1 when ``bars`` is read straight from files; after an
-    aggregation the number of partitions is already fixed by configuration.
+    A symbol is ranked in ``splits`` parts first, so that a hot one does not send the
+    newest rows of every task to a single task.
     """
     if n > params.MAX_LOOKBACK:
         raise ValueError(f"lookback {n} is above {params.MAX_LOOKBACK}")

@@ -411,4 +411,4 @@ def indicator_history(
 
 def cap_history(history: DataFrame, n: int = params.INDICATOR_HISTORY_LIMIT) -> DataFrame:
     """Newest ``n`` rows per symbol of an appended indicator history table."""
-    return latest_n(history.drop("rn"), ["symbol"], [C("ts").desc()], n, splits=16)
+    return latest_n(history.drop("rn"), ["symbol"], [C("ts").desc()], n, splits=params.HOT_KEY_SPLITS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barweave import params
 from barweave.functions import series as s
 from barweave.functions.scalar import ratio, truthy
 from barweave.functions.topn import latest_n
@@ -132,7 +133,7 @@ def recent_snapshots(
     snapshots: DataFrame, order: tuple[str, ...] = ("ts", "seq"), n: int = HISTORY_ROWS
 ) -> DataFrame:
     """Latest snapshots per symbol, ranked in hash parts first as the input is a raw table."""
-    return latest_n(snapshots, ["symbol"], [C(c).desc() for c in order], n, splits=16)
+    return latest_n(snapshots, ["symbol"], [C(c).desc() for c in order], n, splits=params.HOT_KEY_SPLITS)
 
 
 def _positioned(recent: DataFrame) -> DataFrame:

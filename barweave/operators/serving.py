@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from barweave import params
 from barweave.functions.carry import carry_last
 from barweave.functions.scalar import clean_name, ist, lit_or_col, order_key, ratio
 from barweave.functions.topn import latest_n
@@ -104,7 +105,7 @@ def signal_freshness(signals: DataFrame, as_of, limit: int = FRESH_SECONDS) -> D
 
 def latest_signals(signals: DataFrame) -> DataFrame:
     """Newest signal of every symbol."""
-    return latest_n(signals, ["symbol"], [C("updated_at").desc(), C("seq").desc()], 1, splits=16).drop("rn")
+    return latest_n(signals, ["symbol"], [C("updated_at").desc(), C("seq").desc()], 1, splits=params.HOT_KEY_SPLITS).drop("rn")
 
 
 def signal_for(signals: DataFrame, symbol: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 IST = "Asia/Kolkata"
 LOOKBACK = 250
 ADAPTIVE_PERIODS = 252
+HOT_KEY_SPLITS = 8  # parts in which a key is ranked before its best rows meet
 MAX_LOOKBACK = 1000  # keeps the closed-form EMA factors inside double range
 
 # Sector name parts, matched in this order.

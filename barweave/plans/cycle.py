@@ -20,13 +20,13 @@ def load_history(intraday: DataFrame, historical: DataFrame, n: int = params.LOO
 
 def symbol_features(
     bars: DataFrame, lookback: int = params.LOOKBACK, method: str = "simple", momentum: bool = True, as_of=None,
-    splits: int = 1,
+    splits: int = params.HOT_KEY_SPLITS,
 ) -> DataFrame:
     """Indicators, quant scores and trajectories of each symbol in one row.
 
     One shuffle by symbol, one chain of windows and one aggregation feed every
-    model, so nothing is computed twice. Pass ``splits`` > 1 when ``bars`` comes
-    straight from files (see ``recent_bars``).
+    model, so nothing is computed twice. A symbol's bars are ranked in ``splits`` parts
+    first (see ``recent_bars``).
     """
     recent = b.recent_bars(bars, lookback, splits)
     series, families = ind.latest_inputs(recent, method, lookback, with_series=momentum)
@@ -72,7 +72,7 @@ def signal_cycle(
     state: DataFrame | None = None,
     order: tuple[str, ...] = ("ts", "seq"),
     lookback: int = params.LOOKBACK,
-    splits: int = 1,
+    splits: int = params.HOT_KEY_SPLITS,
 ) -> DataFrame:
     """One unified signal per quoted symbol from its bars, quote and recent snapshots."""
     features = symbol_features(bars, lookback, momentum=False, splits=splits)
@@ -82,7 +82,7 @@ def signal_cycle(
 
 def actionable_cycle(
     bars: DataFrame, book: DataFrame | None = None, as_of=None, sectors=None, lookback: int = params.LOOKBACK,
-    splits: int = 1,
+    splits: int = params.HOT_KEY_SPLITS,
 ) -> DataFrame:
     """Actionable BUY / SELL rows of all symbols, optionally with order-book advice."""
     features = symbol_features(bars, lookback, as_of=as_of, splits=splits)

@@ -144,7 +144,7 @@ def append_signal_history(signals: DataFrame, path: str, batch: str) -> None:
     )
 
 
-def capped_history(history: DataFrame, limit: int = params.HISTORY_LIMIT, splits: int = 16) -> DataFrame:
+def capped_history(history: DataFrame, limit: int = params.HISTORY_LIMIT, splits: int = params.HOT_KEY_SPLITS) -> DataFrame:
     """Newest ``limit`` signals of each symbol."""
     order = [F.col("updated_at").desc()]
     if "seq" in history.columns:

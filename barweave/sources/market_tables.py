@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from barweave import params
 from barweave.functions.topn import latest_n
 from barweave.operators.bars import ohlcv_bars
 
@@ -141,7 +142,7 @@ def book_quotes(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None)
     """One quote per supplier symbol: its last five order lines of each status are the levels."""
     rows = latest_n(
         trades(spark, sf_dir), ["symbol", "side"], [F.col("ts").desc(), F.col("trade_seq").desc()], 5,
-        rank="lvl", splits=16,
+        rank="lvl", splits=params.HOT_KEY_SPLITS,
     )
     last = (bars if bars is not None else daily_bars(spark, sf_dir)).groupBy("symbol").agg(
         F.max_by("close", "ts").alias("last_close"), F.max("ts").alias("ts")

@@ -14,6 +14,8 @@ from barweave.operators import (
     actionable, bars as b, indicators as ind, orderbook as ob, quant as q, serving as sv, trajectory as tr,
     unified as un,
 )
+from barweave.functions.topn import latest_n
+from barweave.operators.quantiles import percentiles
 from barweave.plans import cycle
 from barweave.session import shared_dir
 from barweave.sources import feed, files, market_tables as m
@@ -424,10 +426,32 @@ def pipeline_stats(s, d):
 
 
 def percentile_linear(s, d):
-    df = bars_of(s, d).groupBy("symbol").agg(
-        *[F.percentile("close", F.lit(p / 100)).alias(f"p{p}") for p in (5, 10, 20, 90)]
-    )
-    return flat(df)
+    return flat(percentiles(bars_of(s, d), "symbol", "close", {f"p{p}": p / 100 for p in (5, 10, 20, 90)}))
+
+
+def percentile_linear_hot(s, d):
+    """Nine bars in ten belong to one symbol."""
+    rows = bars_of(s, d).withColumn("symbol", F.when(C("symbol").endswith("7"), C("symbol")).otherwise("HOT"))
+    return flat(percentiles(rows, "symbol", "close", {"p5": 0.05, "p50": 0.5, "p95": 0.95}))
+
+
+def hot_ticks(s, d) -> DataFrame:
+    return m.ticks(s, d).withColumn("symbol", F.when(C("symbol").endswith("7"), C("symbol")).otherwise("HOT"))
+
+
+def price_tick_direction_hot(s, d):
+    return flat(sv.price_tick_direction(hot_ticks(s, d)), "symbol", "seq", "ltp", "prev_ltp", "tick_direction")
+
+
+def persistence_hot(s, d):
+    rows = decided(s, d).withColumn("symbol", F.when(C("symbol").endswith("7"), C("symbol")).otherwise("HOT"))
+    return flat(un.persistence(rows), "symbol", "seq", "direction", "persistence_reason")
+
+
+def recent_bars_hot(s, d):
+    """The newest rows of a symbol that holds nine rows in ten."""
+    ticks = hot_ticks(s, d).select("symbol", "ts", "seq", "ltp")
+    return flat(latest_n(ticks, ["symbol"], [C("ts").desc(), C("seq").desc()], 250, splits=params.HOT_KEY_SPLITS))
 
 
 def percentile_rank_score(s, d):
@@ -937,6 +961,10 @@ QUERIES = {
     "signals_summary": signals_summary,
     "pipeline_stats": pipeline_stats,
     "percentile_linear": percentile_linear,
+    "percentile_linear_hot": percentile_linear_hot,
+    "price_tick_direction_hot": price_tick_direction_hot,
+    "persistence_hot": persistence_hot,
+    "recent_bars_hot": recent_bars_hot,
     "percentile_rank_score": percentile_rank_score,
     "trend_fit": trend_fit,
     "autocorr_lag1": autocorr_lag1,

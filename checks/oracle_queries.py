@@ -587,4 +587,17 @@ SELECT symbol, {r('ltp', 'ltp')}, ltq, {ts('ts', 'last_update')}, tick_count FRO
     "rationale_custom": f"""WITH {_FORMS} SELECT symbol, seq, array_to_string(list_concat(['Direction ' || direction || ' with ' || printf('%.1f', confidence * 100) || '% confidence on 1H timeframe'],
   list_transform(components, lambda c: c.title || ': ' || c.narrative || ' (' || printf('%+.2f', c.score) || ')'),
   CASE WHEN context_note IS NULL THEN [] ELSE [context_note] END), '|') AS rationale FROM g4""",
+    "percentile_linear_hot": f"WITH {BARS}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, close FROM bars) SELECT symbol, "
+    + ", ".join(r(f"quantile_cont(close, {p / 100})", f"p{p}") for p in (5, 50, 95)) + " FROM h GROUP BY symbol",
+    "price_tick_direction_hot": f"""WITH {TICKS}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, ts, seq, ltp FROM ticks),
+l AS (SELECT *, lag(ltp) OVER (PARTITION BY symbol ORDER BY ts, seq) AS prev_ltp FROM h)
+SELECT symbol, seq, {rs('ltp', 'prev_ltp')}, CASE WHEN ltp > prev_ltp THEN 'up' WHEN ltp < prev_ltp THEN 'down' END AS tick_direction FROM l""",
+    "persistence_hot": f"""WITH {UNIFIED}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, ts, seq, raw_direction, confidence FROM sig),
+l AS (SELECT *, coalesce(last_value(CASE WHEN raw_direction <> 'HOLD' AND confidence >= 0.6 THEN raw_direction END IGNORE NULLS)
+  OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HOLD') AS committed FROM h)
+SELECT symbol, seq, CASE WHEN raw_direction <> committed AND confidence < 0.6 THEN 'HOLD' ELSE raw_direction END AS direction,
+  CASE WHEN raw_direction = 'HOLD' AND confidence < 0.2 THEN 'Confidence dropped below actionable range'
+    WHEN raw_direction <> 'HOLD' AND raw_direction <> committed AND confidence < 0.6 THEN 'Direction change gated by persistence rule (<0.60 confidence)' END AS persistence_reason FROM l""",
+    "recent_bars_hot": f"""WITH {TICKS}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, ts, seq, ltp FROM ticks),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM h) SELECT symbol, {ts('ts', 'ts')}, seq, {r('ltp', 'ltp')}, rn FROM k WHERE rn <= 250""",
 }
