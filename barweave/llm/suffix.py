@@ -1,9 +1,9 @@
 """Removal of byte strings of `LENGTH` that occur more than once, by sorting sampled suffixes.
 
 Only suffixes at anchors are sorted. An anchor is a position whose `GRAM`-byte hash is the least of some window of
-`WINDOW` positions; the anchors a string is looked up by depend on that string alone, and every string of LENGTH bytes
-holds two neighbouring ones. Texts that share such a string therefore share an anchor key (the hashes and the distance
-of two neighbouring anchors). The steps:
+`WINDOW` positions. The least position among the first WINDOW of a string depends on that string alone, so texts that
+share a string of LENGTH bytes have an anchor at the same place of it, and behind this anchor agree for at least `RIGHT`
+bytes: the anchor's key. The steps:
 
 1. Anchors of every text, with their key and a hash of their context (the bytes that strings around them may take).
 2. Keys seen once are done. Contexts seen more than once repeat as a whole and are decided by their count.
@@ -36,8 +36,9 @@ from barweave.llm.suffix_sort import deep_shallow_sort
 
 LENGTH = 400
 GRAM = 32
-WINDOW = (LENGTH - GRAM) // 2
+WINDOW = LENGTH // 2
 LEFT = WINDOW - 1  # the most bytes from the start of a string to its anchor
+RIGHT = LENGTH - LEFT  # the least from there to its end
 HOT_CONTEXTS = 20_000
 SORTED_TOGETHER = 20_000
 PIECE = 1 << 20  # positions hashed at once
@@ -55,11 +56,11 @@ def _extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors that have a next one, and their keys."""
+    """Positions of the anchors that a string can lie around, and hashes of the RIGHT bytes from each."""
     last = len(text) - GRAM  # of the positions
     if len(text) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, hashes = [], []
+    at = []
     for first in range(0, last + 1, PIECE):
         low, high = max(0, first - WINDOW + 1), min(last + 1, first + PIECE + WINDOW - 1)
         part = text[low : high + GRAM - 1]
@@ -74,16 +75,9 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         chosen = np.flatnonzero(_extreme(least, WINDOW, np.maximum) == short)
         chosen = chosen[(chosen + low >= first) & (chosen + low < first + PIECE)]
         at.append(chosen + low)
-        hashes.append(h[chosen])
-    where, h = np.concatenate(at), np.concatenate(hashes)
-    gap = np.diff(where)
-    keys = mix64(h[:-1] + mix64(h[1:] ^ gap.astype(np.uint64)))
-    near = gap <= WINDOW
-    return where[:-1][near], keys[near]
-
-
-def context(text: bytes, at: int) -> bytes:
-    return text[max(0, at - LEFT) : at + LENGTH]
+    where, view, digest = np.concatenate(at), memoryview(text), xxhash.xxh3_64_intdigest
+    where = where[where + RIGHT <= len(text)]
+    return where, np.fromiter((digest(view[p : p + RIGHT]) for p in where.tolist()), np.uint64, len(where))
 
 
 ANCHOR = "row1 long, row2 long, pos long, key long, ctx long, size int"
