@@ -1,9 +1,9 @@
 """Sharding by fixed virtual slots.
 
 Each record hashes into one of `SLOTS` virtual slots for good; bytes and rows are added up per slot, and a versioned
-table maps slots to shards. Rebalancing edits the map, never the hash: version 0 deals slots out evenly, `balanced`
-moves slots until the bytes of the shards are near equal, `grown` gives a new shard slots from the others only. What
-reaches the driver is one row per slot.
+table maps slots to shards. Maps change, the hash never does: version 0 deals slots out evenly, `balanced` deals them by
+their bytes, `rebalanced` edits a map that has drifted by moving few slots, `grown` gives a new shard slots from the
+others only. What reaches the driver is one row per slot.
 
 Defined cases: a null text counts no bytes, a null doc_id hashes by the text, repeated doc_ids share a slot and keep
 their own rows. Ties go to the smaller slot or shard. Empty tables give empty results; other columns are ignored.
@@ -11,6 +11,7 @@ their own rows. Ties go to the smaller slot or shard. Empty tables give empty re
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +40,7 @@ def uniform(slots: int = SLOTS, shards: int = SHARDS) -> dict[int, int]:
 
 
 def balanced(slot_map: dict[int, int], bytes_of: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
-    """An edited map: the heaviest shards give slots away, then all slots are re-dealt largest first to the lightest.
+    """A map that deals the slots anew, the largest first and each to the lightest shard.
 
     Slots without records keep their shard. The largest difference between two shards is at most the size of the
     slot dealt last to the larger one.
@@ -53,6 +54,34 @@ def balanced(slot_map: dict[int, int], bytes_of: dict[int, int], shards: int = S
     return out
 
 
+def rebalanced(slot_map: dict[int, int], bytes_of: dict[int, int], spread: float = 0.01) -> dict[int, int]:
+    """An edited map: the heaviest shard gives slots to the lightest until they differ by at most `spread` of the mean.
+
+    Each move takes the largest slot that is no more than half of the difference, so few slots move; it ends early where
+    the heaviest shard has no slot as small as that.
+    """
+    out = dict(slot_map)
+    load = dict.fromkeys(slot_map.values(), 0)
+    members: dict[int, list[tuple[int, int]]] = {shard: [] for shard in load}
+    for slot, shard in slot_map.items():
+        load[shard] += bytes_of.get(slot, 0)
+        if bytes_of.get(slot):
+            bisect.insort(members[shard], (bytes_of[slot], slot))
+    most = spread * sum(load.values()) / max(len(load), 1)
+    while load:
+        light, heavy = min(load, key=lambda s: (load[s], s)), max(load, key=lambda s: (load[s], s))
+        gap = load[heavy] - load[light]
+        at = bisect.bisect_right(members[heavy], (gap // 2, max(slot_map)))
+        if gap <= most or not at:
+            break
+        size, slot = members[heavy].pop(at - 1)
+        bisect.insort(members[light], (size, slot))
+        out[slot] = light
+        load[heavy] -= size
+        load[light] += size
+    return out
+
+
 def grown(slot_map: dict[int, int], bytes_of: dict[int, int], new_shard: int) -> dict[int, int]:
     """A map with one more shard that takes slots only into itself, until it holds its even share of the bytes."""
     out = dict(slot_map)

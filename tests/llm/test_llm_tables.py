@@ -115,6 +115,20 @@ def test_shards_are_near_equal_and_gapless(spark, source):
     assert sharding.shard_documents(docs.limit(0))[0].count() == 0
 
 
+def test_a_drifted_map_is_edited_by_few_moves():
+    sizes = {s: 1000 + s % 97 for s in range(4096)}
+    before = sharding.balanced(sharding.uniform(), sizes)
+    drifted = {s: b * (2 if before[s] == 3 else 1) for s, b in sizes.items()}
+    after = sharding.rebalanced(before, drifted)
+    load = collections.Counter()
+    for s, b in drifted.items():
+        load[after[s]] += b
+    assert max(load.values()) - min(load.values()) <= 2 * max(drifted.values())
+    moved = [s for s in before if after[s] != before[s]]
+    assert 0 < len(moved) < 200 and all(before[s] == 3 for s in moved)
+    assert sharding.rebalanced({}, {}) == {} and sharding.rebalanced(before, {}) == before
+
+
 def test_a_new_shard_takes_slots_only_into_itself():
     sizes = {s: 1000 + s % 97 for s in range(0, 4096, 2)}
     before = sharding.balanced(sharding.uniform(), sizes)
