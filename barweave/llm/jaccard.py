@@ -119,7 +119,11 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """(node, label): classes that may have a partner, and their group."""
     buckets = classes.select("cls", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b")
-    return components(buckets.join(shared, "bucket").select(F.col("cls").alias("a"), "b"))
+    stars = buckets.join(shared, "bucket").groupBy(F.col("cls").alias("a")).agg(F.min("b").alias("b"), F.collect_set("b").alias("heads"))
+    stars = stored(stars, "stars")
+    # a class needs an edge to the least of its heads only; the heads of a class are then linked to each other
+    bridges = stars.select(F.explode(F.array_remove("heads", F.col("b"))).alias("a"), "b").distinct()
+    return components(stars.select("a", "b").unionByName(bridges))
 
 
 def likely_pairs(left: np.ndarray, right: np.ndarray, may: np.ndarray) -> np.ndarray:
