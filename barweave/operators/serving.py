@@ -12,6 +12,7 @@ from barweave.functions.topn import latest_n
 C = F.col
 HISTORY_DEFAULT = 60
 SIGNAL_ROWS, PRICE_ROWS = 8, 12
+PRICE_FIELDS = ("ltp", "best_bid", "best_ask", "spread_pct")
 FRESH_SECONDS = 70
 
 
@@ -117,26 +118,20 @@ def signal_for(signals: DataFrame, symbol: str) -> DataFrame:
 def live_prices(quotes: DataFrame, signals: DataFrame) -> DataFrame:
     """Quotes with the symbol's signal, most confident first.
 
-    Without any quote the signals' own price context is shown instead.
+    Without any quote the signals' own price context is shown instead. Both cases come
+    from one join; whether there is any quote is a flag of one row.
     """
-    rows = quotes.join(
-        signals.select("symbol", "direction", "confidence", "updated_at"), "symbol", "left"
-    ).select(
-        "symbol", "ltp", "best_bid", "best_ask", "spread_pct",
-        F.coalesce("last_update", "updated_at").alias("updated_at"), "direction", "confidence",
+    quoted = quotes.select("symbol", *[C(c).alias(f"_{c}") for c in (*PRICE_FIELDS, "last_update")], F.lit(True).alias("_quoted"))
+    own = signals.select("symbol", "direction", "confidence", "updated_at", "entry_price", C("extra.price_context").alias("_own"))
+    rows = quoted.join(own, "symbol", "full_outer")
+    is_quoted = F.coalesce("_quoted", F.lit(False))
+    rows = rows.where(is_quoted | ~quotes.select(F.lit(1)).limit(1).exists())
+    fallback = {c: C("_own")[c] for c in PRICE_FIELDS} | {"ltp": F.coalesce(C("_own")["ltp"], C("entry_price"))}
+    shown = rows.select(
+        "symbol", *[F.when(is_quoted, C(f"_{c}")).otherwise(fallback[c]).alias(c) for c in PRICE_FIELDS],
+        F.coalesce("_last_update", "updated_at").alias("updated_at"), "direction", "confidence",
     )
-    price = C("extra.price_context")
-    fallback = signals.where(~quotes.select(F.lit(1)).limit(1).exists()).select(
-        "symbol",
-        F.coalesce(price["ltp"], C("entry_price")).alias("ltp"),
-        price["best_bid"].alias("best_bid"),
-        price["best_ask"].alias("best_ask"),
-        price["spread_pct"].alias("spread_pct"),
-        "updated_at",
-        "direction",
-        "confidence",
-    )
-    return rows.unionByName(fallback).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "symbol")
+    return shown.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "symbol")
 
 
 def leaderboard(rows: DataFrame, k: int = SIGNAL_ROWS) -> DataFrame:
