@@ -895,7 +895,34 @@ def rationale_custom(s, d):
     return flat(un.rationale(decided_rows), "symbol", "seq", "rationale")
 
 
+# --- further forms ---------------------------------------------------------------------------
+
+
+def stop_loss_by(method):
+    def run(s, d):
+        return flat(q.stop_loss(calm(s, d), method), "symbol", "stop_loss", "stop_loss_pct", "stop_method")
+
+    return run
+
+
+def chart_minutes(s, d):
+    """The minute chart: the bars of the last three days as they are."""
+    return flat(b.chart_data(b.ohlcv_bars(m.ticks(s, d)), "U7", "1m", 4320, EVENTS_END))
+
+
+def read_instruments_file(s, d):
+    """Instrument lists of at most 1,000 entries, one document a file."""
+    path = shared_dir(s, "instruments")
+    number = F.substring("instrument_key", 2, 20).cast("bigint")
+    listed = names(s, d).groupBy(F.floor(number / 1000).alias("list")).agg(F.collect_list(F.struct("name", "instrument_key")).alias("symbols"))
+    listed.select("symbols").write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_instruments(s, path)
+
+
 QUERIES = {
+    **{f"stop_loss_{method}": stop_loss_by(method) for method in ("var", "volatility", "support", "percentile")},
+    "chart_minutes": chart_minutes,
+    "read_instruments_file": read_instruments_file,
     "carry_nulls": carry_nulls,
     "latest_quotes_ties": latest_quotes_ties,
     "signal_history_long": signal_history_long,

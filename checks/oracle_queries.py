@@ -600,4 +600,11 @@ SELECT symbol, seq, CASE WHEN raw_direction <> committed AND confidence < 0.6 TH
     WHEN raw_direction <> 'HOLD' AND raw_direction <> committed AND confidence < 0.6 THEN 'Direction change gated by persistence rule (<0.60 confidence)' END AS persistence_reason FROM l""",
     "recent_bars_hot": f"""WITH {TICKS}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, ts, seq, ltp FROM ticks),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM h) SELECT symbol, {ts('ts', 'ts')}, seq, {r('ltp', 'ltp')}, rn FROM k WHERE rn <= 250""",
+    **{
+        f"stop_loss_{k}": q(f"CASE WHEN n >= 30 THEN '{k}' ELSE 'default' END AS stop_method, " + rs("stop_loss", "stop_loss_pct"),
+                            stop=f"CASE WHEN n >= 30 THEN least(greatest(coalesce(stop_{k}, c * 0.95), c * 0.90), c * 0.99) ELSE c * 0.98 END")
+        for k in ("var", "volatility", "support", "percentile")
+    },
+    "chart_minutes": f"WITH {MINUTES} SELECT symbol, {ts('ts', 'ts')}, {rs('open', 'high', 'low', 'close')}, volume FROM minutes WHERE symbol = 'U7' AND ts BETWEEN {EVENTS_END} - INTERVAL 72 HOUR AND {EVENTS_END}",
+    "read_instruments_file": f"SELECT instrument_key, name AS symbol, replace(replace(name, ' ', '_'), '&', 'and') AS clean_name FROM ({_NAMES})",
 }
