@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from barweave.llm.common import table
+from barweave.llm.common import table, whole_texts
 
 # fixed value: the pattern that splits a text into words
 WORD_PATTERN = (
@@ -199,7 +199,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             ids = [encode(text.as_py() or "") for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], schema=SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return whole_texts(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -232,7 +232,7 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, DIGESTS, strict=True)], schema=DIGESTS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return whole_texts(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, stored, table, word_hashes
+from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, small_batches, stored, table, whole_texts, word_hashes
 from barweave.llm.components import components
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ SKETCH = "row1 long, row2 long, doc_id long, size int, cls long, sig binary, ban
 
 
 def with_row_keys(docs: DataFrame) -> DataFrame:
-    return docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return whole_texts(docs).select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(cls), pa.array(links), pa.array(root)], names=["cls", "links", "root"])
 
     held: list[tuple] = []
-    for batch in batches:
+    for batch in small_batches(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[:3] != held[-1][:3]:
                 yield solve(held)
@@ -235,7 +235,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         columns = [batch.column(n) for n in ("label", "chunks", "cls", "docs", "sig")]
         columns.append(pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.binary()))
         yield pa.record_batch(columns, names=["label", "chunks", "cls", "docs", "sig", "shingles"])

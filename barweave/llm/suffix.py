@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, stored, table
+from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, small_batches, stored, table
 from barweave.llm.suffix_sort import deep_shallow_sort
 
 LENGTH = 400
@@ -40,7 +40,7 @@ WINDOW = LENGTH // 2
 LEFT = WINDOW - 1  # the most bytes from the start of a string to its anchor
 RIGHT = LENGTH - LEFT  # the least from there to its end
 HOT_CONTEXTS = 20_000
-SORTED_TOGETHER = 20_000
+SORTED_TOGETHER = 10_000
 PIECE = 1 << 20  # positions hashed at once
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -80,29 +80,53 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return where, np.fromiter((digest(view[p : p + RIGHT]) for p in where.tolist()), np.uint64, len(where))
 
 
-ANCHOR = "row1 long, row2 long, pos long, key long, ctx long, size int"
+ANCHOR = "row1 long, row2 long, pos long, key long, ctx long, n long, ranges array<struct<first: long, last: long>>"
+
+
+def contexts_of(text: bytes) -> dict[tuple[int, int], list[int]]:
+    """(key, hash) of each distinct context of a text -> [first anchor, anchors, first, last, first, last, ...].
+
+    The pairs are the byte ranges of the contexts that can hold a string; a line that a text repeats over and over is
+    one context with one merged range.
+    """
+    where, keys = anchors(text)
+    view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+    found: dict[tuple[int, int], list[int]] = {}
+    for p, key in zip(where.tolist(), keys.view(np.int64).tolist(), strict=True):
+        first, last = max(0, p - LEFT), min(len(text), p + LENGTH)
+        # the distance to the left end tells cut-off contexts apart
+        entry = found.setdefault((key, digest(view[first:last], min(p, LEFT))), [p, 0])
+        entry[1] += 1
+        if len(entry) > 2 and first <= entry[-1]:
+            entry[-1] = last
+        elif last - first >= LENGTH:
+            entry += first, last
+    return found
+
+
+def _anchor_batch(rows: list[tuple[int, int, tuple[int, int], list[int]]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(entry) // 2 - 1 for *_, entry in rows)])
+    flat = np.fromiter((x for *_, entry in rows for x in entry[2:]), np.int64, 2 * ends[-1])
+    ranges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat[::2], flat[1::2]], ["first", "last"]))
+    numbers = np.array([(row1, row2, entry[0], name[0], entry[1]) for row1, row2, name, entry in rows], np.int64)
+    hashes = np.array([name[1] for _, _, name, _ in rows], np.uint64).view(np.int64)
+    columns = [*(pa.array(numbers[:, i]) for i in range(4)), pa.array(hashes), pa.array(numbers[:, 4]), ranges]
+    return pa.record_batch(columns, names=["row1", "row2", "pos", "key", "ctx", "n", "ranges"])
 
 
 def anchor_table(texts: DataFrame) -> DataFrame:
-    """A row per anchor of (row1, row2, text): its key, the hash and the size of its context."""
+    """A row per distinct context of each (row1, row2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        rows: list[tuple[int, int, tuple[int, int], list[int]]] = []
         for batch in batches:
-            rows1, rows2 = (np.array(batch.column(i)) for i in (0, 1))
-            parts: list[tuple[np.ndarray, ...]] = []
-            for i, value in enumerate(batch.column(2)):
-                text = value.as_py()
-                where, keys = anchors(text)
-                if len(where):
-                    view = memoryview(text)
-                    # the distance to the left end tells cut-off contexts apart
-                    ctx = np.fromiter((digest(view[max(0, p - LEFT) : p + LENGTH], min(p, LEFT)) for p in where.tolist()), np.uint64, len(where))
-                    size = np.minimum(len(text), where + LENGTH) - np.maximum(0, where - LEFT)
-                    n = len(where)
-                    parts.append((np.full(n, rows1[i]), np.full(n, rows2[i]), where, keys.view(np.int64), ctx.view(np.int64), size.astype(np.int32)))
-            if parts:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["row1", "row2", "pos", "key", "ctx", "size"])
+            for row1, row2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows += [(row1, row2, name, entry) for name, entry in contexts_of(text.as_py()).items()]
+                if len(rows) >= SORTED_TOGETHER:
+                    yield _anchor_batch(rows)
+                    rows = []
+        if rows:
+            yield _anchor_batch(rows)
 
     return texts.select(*ROW, "text").mapInArrow(run, ANCHOR)
 
@@ -149,7 +173,7 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         columns = list(zip(*found, strict=True)) or [()] * 4
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row1", "row2", "first", "last"])
 
-    for batch in batches:
+    for batch in small_batches(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if len(held) >= SORTED_TOGETHER and row[3] != held[-1][3]:
                 yield solve(held)
@@ -161,7 +185,7 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per string around an anchor: key, d, two hashes of the string, and whether its context occurs once."""
-    for batch in batches:
+    for batch in small_batches(batches, 100):
         rows = []
         for row1, row2, pos, key, once, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = before + after
@@ -190,7 +214,7 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     names = ["row1", "row2", "pos", "key", "once", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for row1, row2, text, anchors_of in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "wanted")), strict=True):
                 for w in anchors_of:
@@ -207,13 +231,12 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(row1, row2, first, last) of byte ranges that repeated strings cover; ranges of a row may overlap."""
     found = stored(anchor_table(rows), "anchors")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    often = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     shared = stored(found.join(often, "key", "left_semi"), "shared-anchors")
-    kinds = shared.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "pos")).alias("one"))
+    kinds = shared.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "pos")).alias("one"))
     per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
-    whole = shared.where(F.col("size") >= LENGTH).join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    start = F.greatest(F.col("pos") - LEFT, F.lit(0))
-    decided = whole.select(*ROW, start.alias("first"), (start + F.col("size")).alias("last"))
+    whole = shared.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
+    decided = whole.select(*ROW, F.inline("ranges"))
     open_keys = per_key.where("kinds > 1 and singles > 0").select("key", (F.col("kinds") > hot_contexts).alias("hot"))
     wanted = kinds.join(open_keys, "key").select("one.*", "key", (F.col("n") == 1).alias("once"), "hot")
     cold, hot = (fetch_contexts(rows, wanted.where(which)) for which in ("not hot", "hot"))
@@ -236,7 +259,7 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         sizes, removed, kept = [], [], []
         for text, spans in zip(*(batch.column(n).to_pylist() for n in ("text", "spans")), strict=True):
             runs, at, parts = merged(spans), 0, []
@@ -268,7 +291,7 @@ def cleaned_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with what is left of their texts; bytes of characters that a cut splits go as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("other")], names=["doc_id", "text", "other"])
 
