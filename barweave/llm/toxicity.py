@@ -2,7 +2,7 @@
 
 Terms are the words of a text and their first 4 to 8 bytes, hashed into `SLOTS`; a text has a term or not. The machine
 adds linear weights and the inner products of factor vectors of all pairs of terms, so an insult next to the mention of
-a group can weigh more than both alone. It is fitted on the driver from at most `MAX_LABELLED` labelled rows (the
+a group can weigh more than both alone. It is fitted in one task from at most `MAX_LABELLED` labelled rows (the
 smallest hashes of doc_id, a documented bound), never from held-out ones; terms that say nothing on the label and are
 rare are left out. The fitted machine has a fixed size bound and goes to the tasks, which score every whole text.
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import mix64, table, word_hashes
+from barweave.llm.common import mix64, small_batches, table, whole_texts, word_hashes
 
 SLOTS = 1 << 18
 PREFIXES = (0, 4, 5, 6, 7, 8)
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 MAX_TERMS = 20_000  # slots the machine keeps: all of its size
 FACTORS = 8
 EPOCHS = 12
@@ -122,11 +122,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Machine:
-    """A machine from (doc_id, text) and (doc_id, toxic); at most `most` rows reach the driver, as term slots."""
+    """A machine from (doc_id, text) and (doc_id, toxic).
+
+    At most `most` rows meet in one task, as term slots; only the fitted machine reaches the driver.
+    """
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    labelled = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
+    labelled = whole_texts(docs).select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +138,24 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Machi
 
     hashed = labelled.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, slots binary")
     # a doc_id may repeat in documents; the bound holds for the rows
-    got = hashed.orderBy("doc_id", F.xxhash64("slots")).limit(most).toArrow()
-    rows = [np.frombuffer(b, np.uint32) for b in got.column("slots").to_pylist()]
-    return fit(rows, np.array(got.column("toxic").to_pylist(), np.float64))
+    sample = hashed.orderBy("doc_id", F.xxhash64("slots")).limit(most).select("toxic", "slots")
+    row = sample.coalesce(1).mapInArrow(_fit_sample, "machine binary").first()
+    return pickle.loads(row.machine) if row else fit([], np.zeros(0))  # an empty plan may have no partition at all
+
+
+def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled machine of all rows (toxic, slots) of the one partition."""
+    labels, flat, sizes = [], [], []
+    for batch in batches:
+        labels += batch.column(0).to_pylist()
+        for slots in batch.column(1):
+            flat.append(np.frombuffer(slots.as_py(), np.uint32))
+            sizes.append(len(flat[-1]))
+        flat = [np.concatenate(flat)]  # one block of memory instead of many small ones
+    whole = flat[0] if flat else np.zeros(0, np.uint32)
+    rows = np.split(whole, np.cumsum(sizes)[:-1]) if sizes else []
+    machine = pickle.dumps(fit(rows, np.array(labels, np.float64)))
+    yield pa.record_batch([pa.array([machine], pa.binary())], names=["machine"])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -154,7 +172,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
             scores = [score((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], schema=SCORED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return whole_texts(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -> DataFrame:
@@ -163,10 +181,10 @@ def clean_documents(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = pickle.loads(sent.value).score
-        for batch in batches:
+        for batch in small_batches(batches):
             yield batch.filter(pa.array([score((t or "").encode()) < cutoff for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
