@@ -1,8 +1,8 @@
 """Removal of byte strings of `LENGTH` that occur more than once, by sorting sampled suffixes.
 
 Only suffixes at anchors are sorted. An anchor is a position whose `GRAM`-byte hash is the least of some window of
-`WINDOW` positions. The least position among the first WINDOW of a string depends on that string alone, so texts that
-share a string of LENGTH bytes have an anchor at the same place of it, and behind this anchor agree for at least `RIGHT`
+`window` positions. The least position among the first `window` of a string depends on that string alone, so texts that
+share a string of LENGTH bytes have an anchor at the same place of it, and behind this anchor agree for at least `right`
 bytes: the anchor's key. The steps:
 
 1. Anchors of every text, with their key and a hash of their context (the bytes that strings around them may take).
@@ -15,6 +15,10 @@ bytes: the anchor's key. The steps:
 
 Counts and joins combine or split hot keys; no task holds more than a bounded part of a key.
 
+Other lengths than `LENGTH` go through `Reach`. `over_words` besides removes repeated passages of more than so many words,
+however few bytes they have: byte strings of the shortest such passage are sorted as above, and inside the runs that
+they cover each passage of one word more is counted, from the start of its first word to the end of its last.
+
 Defined cases: a null or empty text has no bytes and loses none; texts of any length are read whole. A repeated row
 counts as another place, so equal rows lose everything they repeat. Empty tables give empty results; other columns are
 ignored. Where a cut splits a character, `cleaned_text` leaves out its broken bytes.
@@ -22,8 +26,11 @@ ignored. Where a cut splits a character, `cleaned_text` leaves out its broken by
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,41 @@ from barweave.llm.suffix_sort import deep_shallow_sort
 
 LENGTH = 400
 GRAM = 32
-WINDOW = LENGTH // 2
-LEFT = WINDOW - 1  # the most bytes from the start of a string to its anchor
-RIGHT = LENGTH - LEFT  # the least from there to its end
 HOT_CONTEXTS = 20_000
 SORTED_TOGETHER = 10_000
 PIECE = 1 << 20  # positions hashed at once
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # as in `common.SEPARATORS`
+
+
+@dataclass(frozen=True)
+class Reach:
+    """What follows from the length of the strings."""
+
+    length: int = LENGTH
+
+    def __post_init__(self) -> None:
+        if self.length < 2 * GRAM:
+            raise ValueError(f"strings need at least {2 * GRAM} bytes")
+
+    @property
+    def window(self) -> int:
+        return self.length // 2
+
+    @property
+    def left(self) -> int:
+        """The most bytes from the start of a string to its anchor."""
+        return self.window - 1
+
+    @property
+    def right(self) -> int:
+        """The least from there to its end."""
+        return self.length - self.left
+
+
+REACH = Reach()
+
 
 def _extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick over every window of `width` values."""
@@ -55,14 +89,15 @@ def _extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors that a string can lie around, and hashes of the RIGHT bytes from each."""
+def anchors(text: bytes, reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the anchors that a string can lie around, and hashes of the `right` bytes from each."""
+    window, right = reach.window, reach.right
     last = len(text) - GRAM  # of the positions
-    if len(text) < LENGTH:
+    if len(text) < reach.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = []
     for first in range(0, last + 1, PIECE):
-        low, high = max(0, first - WINDOW + 1), min(last + 1, first + PIECE + WINDOW - 1)
+        low, high = max(0, first - window + 1), min(last + 1, first + PIECE + window - 1)
         part = text[low : high + GRAM - 1]
         words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
         n = high - low
@@ -71,35 +106,35 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             h += words[8 * i : 8 * i + n] * _ODD[i]
         h = mix64(h)
         short = (h >> np.uint64(32)).astype(np.uint32)
-        least = np.pad(_extreme(short, WINDOW, np.minimum), WINDOW - 1)
-        chosen = np.flatnonzero(_extreme(least, WINDOW, np.maximum) == short)
+        least = np.pad(_extreme(short, window, np.minimum), window - 1)
+        chosen = np.flatnonzero(_extreme(least, window, np.maximum) == short)
         chosen = chosen[(chosen + low >= first) & (chosen + low < first + PIECE)]
         at.append(chosen + low)
     where, view, digest = np.concatenate(at), memoryview(text), xxhash.xxh3_64_intdigest
-    where = where[where + RIGHT <= len(text)]
-    return where, np.fromiter((digest(view[p : p + RIGHT]) for p in where.tolist()), np.uint64, len(where))
+    where = where[where + right <= len(text)]
+    return where, np.fromiter((digest(view[p : p + right]) for p in where.tolist()), np.uint64, len(where))
 
 
 ANCHOR = "row1 long, row2 long, pos long, key long, ctx long, n long, ranges array<struct<first: long, last: long>>"
 
 
-def contexts_of(text: bytes) -> dict[tuple[int, int], list[int]]:
+def contexts_of(text: bytes, reach: Reach = REACH) -> dict[tuple[int, int], list[int]]:
     """(key, hash) of each distinct context of a text -> [first anchor, anchors, first, last, first, last, ...].
 
     The pairs are the byte ranges of the contexts that can hold a string; a line that a text repeats over and over is
     one context with one merged range.
     """
-    where, keys = anchors(text)
+    where, keys = anchors(text, reach)
     view, digest = memoryview(text), xxhash.xxh3_64_intdigest
     found: dict[tuple[int, int], list[int]] = {}
     for p, key in zip(where.tolist(), keys.view(np.int64).tolist(), strict=True):
-        first, last = max(0, p - LEFT), min(len(text), p + LENGTH)
+        first, last = max(0, p - reach.left), min(len(text), p + reach.length)
         # the distance to the left end tells cut-off contexts apart
-        entry = found.setdefault((key, digest(view[first:last], min(p, LEFT))), [p, 0])
+        entry = found.setdefault((key, digest(view[first:last], min(p, reach.left))), [p, 0])
         entry[1] += 1
         if len(entry) > 2 and first <= entry[-1]:
             entry[-1] = last
-        elif last - first >= LENGTH:
+        elif last - first >= reach.length:
             entry += first, last
     return found
 
@@ -114,14 +149,14 @@ def _anchor_batch(rows: list[tuple[int, int, tuple[int, int], list[int]]]) -> pa
     return pa.record_batch(columns, names=["row1", "row2", "pos", "key", "ctx", "n", "ranges"])
 
 
-def anchor_table(texts: DataFrame) -> DataFrame:
+def anchor_table(texts: DataFrame, reach: Reach = REACH) -> DataFrame:
     """A row per distinct context of each (row1, row2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, tuple[int, int], list[int]]] = []
         for batch in batches:
             for row1, row2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows += [(row1, row2, name, entry) for name, entry in contexts_of(text.as_py()).items()]
+                rows += [(row1, row2, name, entry) for name, entry in contexts_of(text.as_py(), reach).items()]
                 if len(rows) >= SORTED_TOGETHER:
                     yield _anchor_batch(rows)
                     rows = []
@@ -141,7 +176,7 @@ def _runs(order: np.ndarray, agree: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def repeated_range(lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def repeated_range(lefts: list[bytes], rights: list[bytes], reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
     """For each context the least and the largest d whose string has a partner; -1 without any.
 
     A string starts d bytes left of its anchor; `lefts` are reversed.
@@ -150,11 +185,11 @@ def repeated_range(lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray,
     left_order, left_agree = deep_shallow_sort(lefts)
     right_size, left_size = np.array(list(map(len, rights))), np.array(list(map(len, lefts)))
     least, most = np.full(len(lefts), -1), np.full(len(lefts), -1)
-    for d in range(LEFT + 1):
-        whole = np.flatnonzero((left_size >= d) & (right_size >= LENGTH - d))
+    for d in range(reach.left + 1):
+        whole = np.flatnonzero((left_size >= d) & (right_size >= reach.length - d))
         if len(whole) < 2:
             continue
-        pair = _runs(left_order, left_agree, d)[whole] * len(lefts) + _runs(right_order, right_agree, LENGTH - d)[whole]
+        pair = _runs(left_order, left_agree, d)[whole] * len(lefts) + _runs(right_order, right_agree, reach.length - d)[whole]
         sort = np.argsort(pair, kind="stable")
         same = pair[sort][1:] == pair[sort][:-1]
         found = whole[sort[np.append(same, False) | np.append(False, same)]]
@@ -163,13 +198,13 @@ def repeated_range(lefts: list[bytes], rights: list[bytes]) -> tuple[np.ndarray,
     return least, most
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], reach: Reach = REACH) -> Iterator[pa.RecordBatch]:
     """Spans of the contexts that occur once, from (row1, row2, pos, key, once, before, after) in the order of keys."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        least, most = repeated_range([r[5][::-1] for r in rows], [r[6] for r in rows])
-        found = [(r[0], r[1], r[2] - m, r[2] - s + LENGTH) for r, s, m in zip(rows, least.tolist(), most.tolist(), strict=True) if r[4] and m >= 0]
+        least, most = repeated_range([r[5][::-1] for r in rows], [r[6] for r in rows], reach)
+        found = [(r[0], r[1], r[2] - m, r[2] - s + reach.length) for r, s, m in zip(rows, least.tolist(), most.tolist(), strict=True) if r[4] and m >= 0]
         columns = list(zip(*found, strict=True)) or [()] * 4
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row1", "row2", "first", "last"])
 
@@ -183,15 +218,15 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield solve(held)
 
 
-def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _string_hashes(batches: Iterator[pa.RecordBatch], reach: Reach = REACH) -> Iterator[pa.RecordBatch]:
     """A row per string around an anchor: key, d, two hashes of the string, and whether its context occurs once."""
     for batch in small_batches(batches, 100):
         rows = []
         for row1, row2, pos, key, once, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = before + after
-            for d in range(min(LEFT, len(before)) + 1):
-                if len(after) >= LENGTH - d:
-                    string = text[len(before) - d : len(before) - d + LENGTH]
+            for d in range(min(reach.left, len(before)) + 1):
+                if len(after) >= reach.length - d:
+                    string = text[len(before) - d : len(before) - d + reach.length]
                     rows.append((row1, row2, pos, key, once, d, *struct.unpack("<qq", xxhash.xxh3_128_digest(string))))
         columns = list(zip(*rows, strict=True)) or [()] * 8
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
@@ -199,16 +234,16 @@ def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def count_strings(contexts: DataFrame) -> DataFrame:
+def count_strings(contexts: DataFrame, reach: Reach = REACH) -> DataFrame:
     """The spans of `_sort_contexts` by counting every string; counts combine in the tasks before they meet."""
-    strings = contexts.mapInArrow(_string_hashes, "row1 long, row2 long, pos long, key long, once boolean, d int, h1 long, h2 long")
+    strings = contexts.mapInArrow(partial(_string_hashes, reach=reach), "row1 long, row2 long, pos long, key long, once boolean, d int, h1 long, h2 long")
     name = ["key", "d", "h1", "h2"]
     often = strings.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name)
     found = strings.where("once").join(often, name, "left_semi").groupBy(*ROW, "pos").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    return found.select(*ROW, (F.col("pos") - F.col("most")).alias("first"), (F.col("pos") - F.col("least") + LENGTH).alias("last"))
+    return found.select(*ROW, (F.col("pos") - F.col("most")).alias("first"), (F.col("pos") - F.col("least") + reach.length).alias("last"))
 
 
-def fetch_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) -> DataFrame:
     """The bytes before and after the wanted anchors of each row of (row1, row2, doc_id, text)."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
     names = ["row1", "row2", "pos", "key", "once", "before", "after"]
@@ -219,7 +254,7 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for row1, row2, text, anchors_of in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "wanted")), strict=True):
                 for w in anchors_of:
                     p = w["pos"]
-                    out.append((row1, row2, p, w["key"], w["once"], text[max(0, p - LEFT) : p], text[p : p + LENGTH]))
+                    out.append((row1, row2, p, w["key"], w["once"], text[max(0, p - reach.left) : p], text[p : p + reach.length]))
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -228,9 +263,9 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, ROW).mapInArrow(run, "row1 long, row2 long, pos long, key long, once boolean, before binary, after binary")
 
 
-def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Reach = REACH) -> DataFrame:
     """(row1, row2, first, last) of byte ranges that repeated strings cover; ranges of a row may overlap."""
-    found = stored(anchor_table(rows), "anchors")
+    found = stored(anchor_table(rows, reach), "anchors")
     often = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     shared = stored(found.join(often, "key", "left_semi"), "shared-anchors")
     kinds = shared.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "pos")).alias("one"))
@@ -239,9 +274,9 @@ def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     decided = whole.select(*ROW, F.inline("ranges"))
     open_keys = per_key.where("kinds > 1 and singles > 0").select("key", (F.col("kinds") > hot_contexts).alias("hot"))
     wanted = kinds.join(open_keys, "key").select("one.*", "key", (F.col("n") == 1).alias("once"), "hot")
-    cold, hot = (fetch_contexts(rows, wanted.where(which)) for which in ("not hot", "hot"))
+    cold, hot = (fetch_contexts(rows, wanted.where(which), reach) for which in ("not hot", "hot"))
     cold = cold.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key")
-    return decided.unionByName(cold.mapInArrow(_sort_contexts, SPAN)).unionByName(count_strings(hot))
+    return decided.unionByName(cold.mapInArrow(partial(_sort_contexts, reach=reach), SPAN)).unionByName(count_strings(hot, reach))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -255,6 +290,49 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def passages_of(text: bytes, spans: list[dict], words: int) -> dict[tuple[int, int], list[int]]:
+    """(h1, h2) of each distinct passage of so many words in the ranges -> [places, first, last, first, last, ...], merged."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for low, high in merged(spans):
+        at = [m.span() for m in WORD.finditer(text, low, high)]
+        # a range may split a word at its ends
+        if at and at[0][0] > 0 and WORD.match(text, at[0][0] - 1):
+            at = at[1:]
+        if at and WORD.match(text, at[-1][1]):
+            at = at[:-1]
+        for (first, _), (_, last) in zip(at, at[words - 1 :], strict=False):
+            entry = found.setdefault(struct.unpack("<qq", xxhash.xxh3_128_digest(text[first:last])), [0])
+            entry[0] += 1
+            if len(entry) > 1 and first <= entry[-1]:
+                entry[-1] = last
+            else:
+                entry += first, last
+    return found
+
+
+def repeated_passages(rows: DataFrame, over_words: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+    """(row1, row2, first, last) of the passages of more than `over_words` words that occur more than once."""
+    words = over_words + 1
+    spans = repeated_spans(rows, hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
+    spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out = []
+            for row1, row2, text, ranges in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "spans")), strict=True):
+                for name, entry in passages_of(text, ranges, words).items():
+                    ends = [{"first": a, "last": b} for a, b in zip(entry[1::2], entry[2::2], strict=True)]
+                    out.append((row1, row2, *name, entry[0], ends))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(),) * 5 + (SPANS,)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "h1", "h2", "n", "ranges"])
+
+    schema = "row1 long, row2 long, h1 long, h2 long, n long, ranges array<struct<first: long, last: long>>"
+    found = stored(rows.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, schema), "passages")
+    often = found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
+    return found.join(often, ["h1", "h2"], "left_semi").select(*ROW, F.inline("ranges"))
+
+
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
@@ -273,21 +351,24 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["doc_id", "n_bytes", "spans", "kept", "other"])
 
 
-def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, length: int = LENGTH, over_words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges), kept (the other bytes) and other of each row of `docs`.
 
+    Removed are repeated strings of `length` bytes and, if given, repeated passages of more than `over_words` words.
     `other` is a struct of the columns besides doc_id and text.
     """
     rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
     other = F.struct(*rest) if rest else F.lit(None).cast("boolean")
     rows = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), other.alias("other"))
-    spans = repeated_spans(rows, hot_contexts)
+    spans = repeated_spans(rows, hot_contexts, Reach(length))
+    if over_words is not None:
+        spans = spans.unionByName(repeated_passages(rows, over_words, hot_contexts))
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
     schema = f"doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary, other {rows.schema['other'].dataType.simpleString()}"
     return rows.join(spans, ROW, "left").mapInArrow(_remove, schema)
 
 
-def cleaned_documents(docs: DataFrame) -> DataFrame:
+def cleaned_documents(docs: DataFrame, over_words: int | None = None) -> DataFrame:
     """The rows of `docs` with what is left of their texts; bytes of characters that a cut splits go as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +376,7 @@ def cleaned_documents(docs: DataFrame) -> DataFrame:
             texts = [t.decode("utf-8", "ignore") for t in batch.column("kept").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("other")], names=["doc_id", "text", "other"])
 
-    cut = remove_repeats(docs).select("doc_id", "kept", "other")
+    cut = remove_repeats(docs, over_words=over_words).select("doc_id", "kept", "other")
     plain = cut.mapInArrow(run, f"doc_id long, text string, other {cut.schema['other'].dataType.simpleString()}")
     names = {"doc_id": "doc_id", "text": "text"}
     return plain.select(*(F.col(names[c]) if c in names else F.col("other").getField(c).alias(c) for c in docs.columns))
