@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -35,6 +36,12 @@ def row_keys() -> tuple[Column, Column]:
     return F.xxhash64("doc_id", text, F.lit(1)).alias("row1"), F.xxhash64(text, "doc_id", F.lit(2)).alias("row2")
 
 
+def one_of_equal(joined: DataFrame) -> DataFrame:
+    """One of the rows that share (row1, row2); right after a shuffled join by them this needs no other shuffle or sort."""
+    copy = F.row_number().over(Window.partitionBy(*ROW).orderBy(*ROW))
+    return joined.withColumn("copy_number", copy).where("copy_number = 1").drop("copy_number")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; a temporary one only where it is unset on a one-machine master."""
     path = spark.conf.get("spark.checkpoint.dir", None)

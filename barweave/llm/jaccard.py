@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, small_batches, stored, table, whole_texts, word_hashes
+from barweave.llm.common import ROW, mix64, one_of_equal, row_keys, shuffle_parts, small_batches, stored, table, whole_texts, word_hashes
 from barweave.llm.components import components
 
 SHINGLE = 5
@@ -215,9 +215,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, links, root) for each class of each unit, from rows in the order of units."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[3])
         cls = np.array([r[3] for r in rows])
-        _, once = np.unique(cls, return_index=True)  # equal rows bring a class twice
-        rows, cls = [rows[k] for k in once], cls[once]
         values = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, HASHES)
         sets = [np.frombuffer(r[7], np.uint64) for r in rows]
         links, root = judge_unit(cls, np.array([r[4] for r in rows]), np.array([r[5] for r in rows]), values, sets)
@@ -241,12 +240,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, names=["label", "chunks", "cls", "docs", "sig", "shingles"])
 
 
+def class_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The shingle set of each class of `wanted`, whose (row1, row2) name a text; equal rows bring it once."""
+    read = one_of_equal(rows.join(wanted, ROW)).select("label", "chunks", "cls", "docs", "sig", "text")
+    return read.mapInArrow(_sets, "label long, chunks int, cls long, docs long, sig binary, shingles binary")
+
+
 def judged_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(cls, links, root) of the classes in `groups`, a row for each unit a class is in."""
     sizes = groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     wanted = groups.join(sizes, "label").withColumnRenamed("node", "cls").join(classes.select("cls", "one.*", "docs", "sig"), "cls")
-    read = rows.join(wanted, ROW).select("label", "chunks", "cls", "docs", "sig", "text")
-    sets = read.mapInArrow(_sets, "label long, chunks int, cls long, docs long, sig binary, shingles binary")
+    sets = class_sets(rows, wanted)
     own = F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")
     units = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ROW, mix64, row_keys, shuffle_parts, small_batches, stored, table
+from barweave.llm.common import ROW, mix64, one_of_equal, row_keys, shuffle_parts, small_batches, stored, table
 from barweave.llm.suffix_sort import deep_shallow_sort
 
 LENGTH = 400
@@ -244,7 +244,7 @@ def count_strings(contexts: DataFrame, reach: Reach = REACH) -> DataFrame:
 
 
 def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) -> DataFrame:
-    """The bytes before and after the wanted anchors of each row of (row1, row2, doc_id, text)."""
+    """The bytes before and after the wanted anchors of (row1, row2, doc_id, text); equal rows send theirs once."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
     names = ["row1", "row2", "pos", "key", "once", "before", "after"]
 
@@ -260,7 +260,7 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) ->
 
     wanted = wanted.groupBy(ROW).agg(F.collect_list(F.struct("pos", "key", "once")).alias("wanted"))  # bounded by one text
     # all columns of the rows are read, so that this join and the last one share one shuffle of the texts
-    return rows.join(wanted, ROW).mapInArrow(run, "row1 long, row2 long, pos long, key long, once boolean, before binary, after binary")
+    return one_of_equal(rows.join(wanted, ROW)).mapInArrow(run, "row1 long, row2 long, pos long, key long, once boolean, before binary, after binary")
 
 
 def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Reach = REACH) -> DataFrame:

@@ -6,9 +6,10 @@ import re
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barweave.llm import suffix
+from barweave.llm import common, jaccard, suffix
 
 DOC = "doc_id long, text string"
 
@@ -62,3 +63,16 @@ def test_repeats_of_another_length(spark):
     plain = [(i, (t or "").encode()) for i, t in rows]
     got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix.remove_repeats(spark.createDataFrame(rows, DOC), length=101).collect()]
     assert sorted(got) == sorted(brute.without_repeats(plain, 101))
+
+
+def test_equal_rows_send_their_contexts_and_sets_once(spark):
+    text = "".join(f"w{i} " for i in range(200))
+    docs = spark.createDataFrame([(1, text)] * 30 + [(2, text[:500])], DOC)
+    rows = docs.select(*common.row_keys(), "doc_id", F.col("text").cast("binary").alias("text"))
+    wanted = rows.distinct().select(*common.ROW, F.lit(450).cast("long").alias("pos"), F.lit(7).cast("long").alias("key"), F.lit(False).alias("once"))
+    got = suffix.fetch_contexts(rows, wanted).collect()
+    assert len(got) == 2 and sorted(bytes(r.before + r.after) for r in got) == sorted(text[251:n].encode() for n in (850, 500))
+    wanted = rows.distinct().select(*common.ROW, F.lit(1).cast("long").alias("label"), F.lit(1).alias("chunks"), F.col("row1").alias("cls"),
+                                    F.lit(30).cast("long").alias("docs"), F.lit(b"").alias("sig"))
+    got = jaccard.class_sets(jaccard.with_row_keys(docs), wanted).collect()
+    assert len(got) == 2 and sorted(len(r.shingles) // 8 for r in got) == sorted(len(brute.shingles(t)) for t in (text, text[:500]))
