@@ -1,9 +1,9 @@
 """Sharding by fixed virtual slots.
 
 Each record hashes into one of `SLOTS` virtual slots for good; bytes and rows are added up per slot, and a versioned
-table maps slots to shards. Maps change, the hash never does: version 0 deals slots out evenly, `balanced` deals them by
-their bytes, `rebalanced` edits a map that has drifted by moving few slots, `grown` gives a new shard slots from the
-others only. What reaches the driver is one row per slot.
+table maps slots to shards. Maps change, the hash never does: version 0 deals slots out evenly, `rebalanced` edits a map
+by moving few slots, `balanced` deals them anew by their bytes where edits do not come near enough to equal (`evened`),
+`grown` gives a new shard slots from the others only. What reaches the driver is one row per slot.
 
 Defined cases: a null text counts no bytes, a null doc_id hashes by the text, repeated doc_ids share a slot and keep
 their own rows. Ties go to the smaller slot or shard. Empty tables give empty results; other columns are ignored.
@@ -82,6 +82,23 @@ def rebalanced(slot_map: dict[int, int], bytes_of: dict[int, int], spread: float
     return out
 
 
+def spread_of(slot_map: dict[int, int], bytes_of: dict[int, int]) -> int:
+    """The bytes between the heaviest and the lightest shard of the map."""
+    load = dict.fromkeys(slot_map.values(), 0)
+    for slot, shard in slot_map.items():
+        load[shard] += bytes_of.get(slot, 0)
+    return max(load.values(), default=0) - min(load.values(), default=0)
+
+
+def evened(slot_map: dict[int, int], bytes_of: dict[int, int], shards: int = SHARDS, spread: float = 0.01) -> dict[int, int]:
+    """The edited map, or one dealt anew where edits end above `spread` of the mean and dealing comes nearer to equal."""
+    edited = rebalanced(slot_map, bytes_of, spread)
+    if spread_of(edited, bytes_of) <= spread * sum(bytes_of.values()) / shards:
+        return edited
+    anew = balanced(slot_map, bytes_of, shards)
+    return anew if spread_of(anew, bytes_of) < spread_of(edited, bytes_of) else edited
+
+
 def grown(slot_map: dict[int, int], bytes_of: dict[int, int], new_shard: int) -> dict[int, int]:
     """A map with one more shard that takes slots only into itself, until it holds its even share of the bytes."""
     out = dict(slot_map)
@@ -133,7 +150,7 @@ def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(placed records, stored map with version 0 uniform and version 1 balanced by bytes) of (doc_id, text)."""
+    """(placed records, stored map with version 0 uniform and version 1 edited from it by bytes) of (doc_id, text)."""
     text = F.col("text").cast("binary")
     records = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
@@ -142,7 +159,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     records = stored(records, "sizes")
     sizes = slot_sizes(records)
     start = uniform(slots, shards)
-    slot_map = map_table(docs.sparkSession, [start, balanced(start, {s: b for s, (b, _) in sizes.items()}, shards)], sizes)
+    slot_map = map_table(docs.sparkSession, [start, evened(start, {s: b for s, (b, _) in sizes.items()}, shards)], sizes)
     return place(records, slot_map.where("version = 1")), slot_map
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barweave.llm import common, jaccard, suffix
+from barweave.llm import common, jaccard, sharding, suffix
 
 DOC = "doc_id long, text string"
 
@@ -76,3 +76,18 @@ def test_equal_rows_send_their_contexts_and_sets_once(spark):
                                     F.lit(30).cast("long").alias("docs"), F.lit(b"").alias("sig"))
     got = jaccard.class_sets(jaccard.with_row_keys(docs), wanted).collect()
     assert len(got) == 2 and sorted(len(r.shingles) // 8 for r in got) == sorted(len(brute.shingles(t)) for t in (text, text[:500]))
+
+
+def test_stored_map_is_edited_not_dealt_anew(spark):
+    docs = spark.createDataFrame([(i, "x" * (500 + i % 300)) for i in range(20_000)], DOC)
+    _, slot_map = sharding.shard_documents(docs)
+    maps = {0: {}, 1: {}}
+    for r in slot_map.collect():
+        maps[r.version][r.slot] = r.shard
+    moved = sum(maps[0][s] != maps[1][s] for s in maps[0])
+    assert 0 < moved < sharding.SLOTS / 8
+    sizes = {r.slot: r.bytes for r in slot_map.where("version = 1").collect()}
+    assert sharding.spread_of(maps[1], sizes) <= 0.01 * sum(sizes.values()) / sharding.SHARDS
+    # edits end early here: the heavy shard holds no slot that is small enough
+    start, uneven = {0: 0, 1: 0, 2: 1, 3: 1}, {0: 9, 1: 8, 2: 6, 3: 5}
+    assert sharding.rebalanced(start, uneven) == start and sharding.spread_of(sharding.evened(start, uneven, 2), uneven) == 0
