@@ -26,7 +26,7 @@ from barweave.llm.common import mix64, small_batches, table, whole_texts, word_h
 
 SLOTS = 1 << 18
 PREFIXES = (0, 4, 5, 6, 7, 8)
-MAX_LABELLED = 8_000
+MAX_LABELLED = 16_000
 MAX_TERMS = 20_000  # slots the machine keeps: all of its size
 FACTORS = 8
 EPOCHS = 12

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barweave.llm import common, jaccard, sharding, suffix
+from barweave.llm import common, jaccard, sharding, suffix, toxicity
 
 DOC = "doc_id long, text string"
 
@@ -65,6 +65,16 @@ def test_repeats_of_another_length(spark):
     assert sorted(got) == sorted(brute.without_repeats(plain, 101))
 
 
+def test_learning_takes_labelled_rows_beyond_the_first_8000(spark):
+    ids = spark.range(19_000).withColumnRenamed("id", "doc_id").where(~toxicity.held_out(F.col("doc_id")))
+    ids = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(12_000).collect()]
+    late = set(ids[8_000::200])  # a rare toxic word that the first rows do not have
+    docs = spark.createDataFrame([(i, "zorgle day" if i in late else "sunny day") for i in ids], DOC)
+    labels = spark.createDataFrame([(i, 1, int(i in late)) for i in ids], "doc_id long, quality int, toxic int")
+    machine = toxicity.learn(docs, labels)
+    assert machine.score(b"zorgle day") > toxicity.CUTOFF > machine.score(b"sunny day")
+
+
 def test_equal_rows_send_their_contexts_and_sets_once(spark):
     text = "".join(f"w{i} " for i in range(200))
     docs = spark.createDataFrame([(1, text)] * 30 + [(2, text[:500])], DOC)
