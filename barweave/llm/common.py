@@ -85,6 +85,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterat
     pa.default_memory_pool().release_unused()  # workers live on for the next stage
 
 
+def byte_chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(first column, texts of the second) in runs of rows that have about `limit` bytes of text; a longer text stays whole."""
+    for batch in batches:
+        texts, first, size = batch.column(1).to_pylist(), 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= limit or i + 1 == len(texts):
+                yield batch.column(0).slice(first, i + 1 - first), texts[first : i + 1]
+                first, size = i + 1, 0
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -117,6 +129,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fold_bytes(text: bytes) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _FOLD[np.frombuffer(text, np.uint8)]
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and the byte after the last of each word of lower-cased bytes."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = _IS_WORD[raw]
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
 def word_hashes(text: bytes, prefixes: tuple[int, ...] = (0,)) -> list[np.ndarray]:
     """64-bit hashes of the words of a UTF-8 text in order, one array for each of `prefixes`.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barweave.llm import ann, bpe, exact, jaccard, licenses, packing, sharding, suffix, toxicity, urls
+from barweave.llm import ann, bpe, exact, jaccard, licenses, packing, sharding, suffix, toxicity, urls, winnowing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_winnowing": winnowing.op11_winnowing,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_license_scan": licenses.ORACLE,
     "op6_exact_dedup": exact.ORACLE,
     "op7_nearest_neighbours": ann.ORACLE,
+    "op11_winnowing": winnowing.ORACLE,
 }
