@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barweave.llm import ann, bpe, exact, jaccard, licenses, packing, sharding, suffix, toxicity, urls, winnowing
+from barweave.llm import ann, bpe, collocations, exact, jaccard, licenses, merkle, packing, sharding, suffix, toxicity, urls, winnowing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_winnowing": winnowing.op11_winnowing,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op6_exact_dedup": exact.ORACLE,
     "op7_nearest_neighbours": ann.ORACLE,
     "op11_winnowing": winnowing.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
