@@ -253,7 +253,8 @@ def graph(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     buckets = shuffle_parts(docs.sparkSession)
     blobs = stored(texts.mapInArrow(_local_items(buckets), BLOB), "items")
     shares = F.ceil(F.sum("n_items") / F.lit(GROUP_ITEMS)).cast("int").alias("shares")
-    large = blobs.groupBy("lang", "bucket").agg(shares).where("shares > 1")
+    # as a written table its size is known to the planner, which need not shuffle the blobs to join a few rows
+    large = stored(blobs.groupBy("lang", "bucket").agg(shares).where("shares > 1"), "large-buckets")
     dealt = blobs.join(large, ["lang", "bucket"]).select(*blobs.columns, "shares").mapInArrow(_deal, BLOB)
     groups = blobs.join(large, ["lang", "bucket"], "left_anti").select(*blobs.columns).unionByName(dealt)
     counts = groups.groupBy("lang", "bucket", "share").applyInArrow(_merged(least), COUNT)
