@@ -38,7 +38,7 @@ from barweave.llm.common import fold_bytes, mix64, shuffle_parts, small_batches,
 LONGEST = 4
 LEAST_COUNT = 30
 PER_LANG = 2000
-FLUSH_BYTES = 24 << 20  # of texts whose items a task sums before it passes them on
+FLUSH_BYTES = 12 << 20  # of texts whose items a task sums before it passes them on
 CHUNK_BYTES = 4 << 20
 GROUP_ITEMS = 2_000_000
 _KIND = np.zeros(256, np.uint8)  # 0 in words, 1 between words, 2 between pieces
@@ -83,16 +83,19 @@ class Items:
         new = np.ones(len(high), bool)
         new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         at = np.flatnonzero(new)
-        self.columns = [c[order][at] for c in columns]
-        self.first = None if first is None else first[order][at]
+        chosen = order[at]
+        self.columns = [c[chosen] for c in columns]
+        self.first = None if first is None else first[chosen]
         self.weights = np.diff(np.append(at, len(high))) if weights is None else np.add.reduceat(weights[order], at) if len(at) else weights
         self.words = words
 
 
 def pack(columns: list[np.ndarray], words: pa.BinaryArray, weights: np.ndarray) -> tuple[int, int, bytes]:
     """Number of items, size before compression and compressed bytes of items with the words that they use."""
-    used = np.unique(np.concatenate(columns))
-    used = used[used > 0]
+    marked = np.zeros(len(words) + 1, bool)
+    for column in columns:
+        marked[column] = True
+    used = np.flatnonzero(marked[1:]) + 1
     number = np.zeros(len(words) + 1, np.uint32)
     number[used] = np.arange(1, len(used) + 1)
     own = words.take(pa.array(used - 1))
@@ -115,7 +118,7 @@ def unpack(size: int, blob: bytes) -> tuple[list[np.ndarray], pa.BinaryArray, np
     kind = np.dtype(np.uint16 if n_words < 1 << 16 else np.uint32)
     columns = []
     for _ in range(LONGEST):
-        columns.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+        columns.append(np.frombuffer(raw, kind, n, at).astype(np.int32))
         at += kind.itemsize * n
     words = pa.BinaryArray.from_buffers(pa.binary(), n_words, [None, pa.py_buffer(offsets), pa.py_buffer(raw[at : at + n_text])])
     return columns, words, weights
@@ -150,13 +153,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 def _local_items(buckets: int):
     def flush(lang: str, chunks: list[tuple[pa.BinaryArray, np.ndarray]]) -> Iterator[tuple]:
         words = pa.concat_arrays([c for c, _ in chunks]).dictionary_encode()
-        left, number = np.concatenate([n for _, n in chunks]), words.indices.to_numpy().astype(np.int64) + 1
+        left, number = np.concatenate([n for _, n in chunks]), words.indices.to_numpy() + np.int32(1)
         columns = [number]
         for i in range(1, LONGEST):
             later = np.zeros_like(number)
             later[:-i] = number[i:]
-            columns.append(np.where(left > i, later, 0))
-        bucket = (_hash_of(words.dictionary, columns[:2]) % np.uint64(buckets)).astype(np.int64)
+            later[left <= i] = 0
+            columns.append(later)
+        bucket = (_hash_of(words.dictionary, columns[:2]) % np.uint64(buckets)).astype(np.int32)
         items = Items(columns, words.dictionary, first=bucket)
         ends = np.append(np.flatnonzero(np.diff(items.first)) + 1, len(items.first))
         first = 0
@@ -172,6 +176,7 @@ def _local_items(buckets: int):
             for lang, chunks in kept.items():
                 yield _batch(flush(lang, chunks))
             kept.clear()
+            pa.default_memory_pool().release_unused()
 
         for lang, text in _chunks(batches):
             words, left = words_of(text)
@@ -182,7 +187,6 @@ def _local_items(buckets: int):
                 yield from out()
                 size = 0
         yield from out()
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -213,9 +217,9 @@ def _merged(least: int):
         parts = [unpack(s, b) for s, b in zip(group["size"].to_pylist(), group["blob"].to_pylist(), strict=True)]
         lang, whole = group["lang"][0].as_py(), group["share"][0].as_py() == 0
         words = pa.concat_arrays([w for _, w, _ in parts]).dictionary_encode()
-        number, columns, first = words.indices.to_numpy().astype(np.int64) + 1, [[] for _ in range(LONGEST)], 0
+        number, columns, first = words.indices.to_numpy() + np.int32(1), [[] for _ in range(LONGEST)], 0
         for own, w, _ in parts:
-            lookup = np.concatenate([[0], number[first : first + len(w)]])
+            lookup = np.concatenate([np.zeros(1, np.int32), number[first : first + len(w)]])
             first += len(w)
             for column, c in zip(columns, own, strict=True):
                 column.append(lookup[c])
@@ -238,6 +242,7 @@ def _merged(least: int):
             counts += flow.tolist()
             sizes += [k] * len(at)
         n = len(names)
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array([lang] * n, pa.string()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "f"])
 
     return run
