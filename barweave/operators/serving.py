@@ -84,9 +84,9 @@ def latest_quotes(quotes: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> Dat
     return quotes.groupBy(*keys).agg(newest, *counted).select(*keys, "q.*", "last_update", "tick_count")
 
 
-def price_tick_direction(prices: DataFrame, bucket: str = "hour") -> DataFrame:
+def price_tick_direction(prices: DataFrame, segment_rows: int = params.SEGMENT_ROWS) -> DataFrame:
     """up / down against the symbol's previous price, NULL for equal or first."""
-    df = carry_last(prices, "symbol", "ts", "seq", "ltp", "prev_ltp", bucket)
+    df = carry_last(prices, "symbol", "ts", "seq", "ltp", "prev_ltp", segment_rows=segment_rows)
     return df.withColumn(
         "tick_direction",
         F.when(C("ltp") > C("prev_ltp"), "up").when(C("ltp") < C("prev_ltp"), "down"),

@@ -300,7 +300,7 @@ def persistence(
     threshold: float = params.PERSISTENCE_THRESHOLD,
     hold_threshold: float = params.HOLD_THRESHOLD,
     state: DataFrame | None = None,
-    bucket: str = "hour",
+    segment_rows: int = params.SEGMENT_ROWS,
 ) -> DataFrame:
     """Gate direction changes by confidence, per symbol in (ts, seq) order.
 
@@ -313,7 +313,7 @@ def persistence(
     df = decisions.withColumn("_code", code.cast("int")).withColumn(
         "_commit", F.when(C("confidence") >= threshold, C("_code"))
     )
-    df = carry_last(df, "symbol", "ts", "seq", "_commit", "_last", bucket)
+    df = carry_last(df, "symbol", "ts", "seq", "_commit", "_last", segment_rows=segment_rows)
     if state is not None:
         df = df.join(state.select("symbol", "committed"), "symbol", "left").withColumn(
             "_last", F.coalesce("_last", "committed")
@@ -475,7 +475,7 @@ def unified_signal(
     portfolio: float = params.PORTFOLIO_VALUE,
     risk_pct: float = params.RISK_PCT,
     state: DataFrame | None = None,
-    bucket: str = "hour",
+    segment_rows: int = params.SEGMENT_ROWS,
     single_cycle: bool = False,
 ) -> DataFrame:
     """One signal per (symbol, cycle) from component snapshots.
@@ -488,7 +488,7 @@ def unified_signal(
     if single_cycle:
         kept = persist_cycle(decided, persistence_threshold, hold_threshold, state)
     else:
-        kept = persistence(decided, persistence_threshold, hold_threshold, state, bucket)
+        kept = persistence(decided, persistence_threshold, hold_threshold, state, segment_rows)
     return finish(kept, portfolio, risk_pct)
 
 
@@ -585,11 +585,13 @@ def bootstrap_snapshot(bars: DataFrame) -> DataFrame:
     )
 
 
-def asof_context(signals: DataFrame, context: DataFrame, value: str, out: str, bucket: str = "day") -> DataFrame:
+def asof_context(
+    signals: DataFrame, context: DataFrame, value: str, out: str, segment_rows: int = params.SEGMENT_ROWS
+) -> DataFrame:
     """Latest context value at or before each signal: an as-of join.
 
-    Both sides are stacked and the value is carried forward inside time buckets, so
-    a symbol with a long history spreads over many tasks. Context rows sort before
+    Both sides are stacked and the value is carried forward inside segments, so a
+    symbol with a long history spreads over many tasks. Context rows sort before
     signals of the same instant.
     """
     left = signals.withColumns({"_side": F.lit(1), "_value": F.lit(None).cast(context.schema[value].dataType)})
@@ -601,5 +603,5 @@ def asof_context(signals: DataFrame, context: DataFrame, value: str, out: str, b
     rows = rows.withColumn(
         "_pos", F.when(C("_side") == 0, F.lit(-1).cast("bigint")).otherwise(C("seq"))
     )
-    carried = carry_last(rows, "symbol", "ts", "_pos", "_value", out, bucket)
+    carried = carry_last(rows, "symbol", "ts", "_pos", "_value", out, segment_rows=segment_rows)
     return carried.where(C("_side") == 1).drop("_side", "_value", "_pos")

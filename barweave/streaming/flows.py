@@ -119,7 +119,7 @@ def run_persistence(
 
     The committed direction per symbol is a small table carried from batch to batch;
     inside a batch the rule runs as the batch operator, so no keyed Python state is
-    needed and a busy symbol still spreads over time buckets.
+    needed and a busy symbol still spreads over segments.
     """
     out, state = out or shared_dir(spark, "decisions"), state or shared_dir(spark, "committed")
 

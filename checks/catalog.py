@@ -23,6 +23,7 @@ from barweave.streaming import flows
 
 C = F.col
 AS_OF = "2001-11-05 04:30:00"
+MONTH_START, HOUR_START = 1_704_067_200_000_000, 1_704_880_800_000_000  # 2024-01-01 00:00 and 2024-01-10 10:00 UTC
 EVENTS_END = "2024-01-31 00:00:00"
 TRADE_ORDER = ("ts", "trade_seq")
 
@@ -448,6 +449,32 @@ def persistence_hot(s, d):
     return flat(un.persistence(rows), "symbol", "seq", "direction", "persistence_reason")
 
 
+def one_hour(df: DataFrame) -> DataFrame:
+    """The events' month squeezed into one hour, and nine symbols in ten made one."""
+    micros = F.lit(HOUR_START) + F.expr(f"(unix_micros(ts) - {MONTH_START}) div 744")
+    symbol = F.when(C("symbol").endswith("7"), C("symbol")).otherwise("HOT")
+    return df.withColumns({"ts": F.timestamp_micros(micros), "symbol": symbol})
+
+
+def price_tick_direction_hour(s, d):
+    """One hour of one symbol, dealt out over segments."""
+    rows = sv.price_tick_direction(one_hour(m.ticks(s, d)), segment_rows=512)
+    return flat(rows, "symbol", "seq", "ltp", "prev_ltp", "tick_direction")
+
+
+def persistence_hour(s, d):
+    rows = un.persistence(one_hour(decided(s, d)), segment_rows=512)
+    return flat(rows, "symbol", "seq", "direction", "persistence_reason")
+
+
+def asof_context_hour(s, d):
+    """The newest error value at or before each tick of the hour."""
+    ticks = one_hour(m.ticks(s, d))
+    errors = ticks.where(C("seq") % 13 == 0).select("symbol", "ts", C("ltp").alias("mark"))
+    rows = un.asof_context(ticks, errors, "mark", "mark", segment_rows=512)
+    return flat(rows, "symbol", "seq", "ltp", "mark")
+
+
 def recent_bars_hot(s, d):
     """The newest rows of a symbol that holds nine rows in ten."""
     ticks = hot_ticks(s, d).select("symbol", "ts", "seq", "ltp")
@@ -992,6 +1019,9 @@ QUERIES = {
     "price_tick_direction_hot": price_tick_direction_hot,
     "persistence_hot": persistence_hot,
     "recent_bars_hot": recent_bars_hot,
+    "price_tick_direction_hour": price_tick_direction_hour,
+    "persistence_hour": persistence_hour,
+    "asof_context_hour": asof_context_hour,
     "percentile_rank_score": percentile_rank_score,
     "trend_fit": trend_fit,
     "autocorr_lag1": autocorr_lag1,

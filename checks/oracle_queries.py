@@ -349,6 +349,10 @@ _OPEN = f"({_WD} AND {_SEC} >= 33300 AND ({_SEC} < 55800 OR ({_SEC} = 55800 AND
 _STORED = BARS + ", stored AS (SELECT * FROM bars WHERE ts < TIMESTAMP '2001-06-01')"
 _PRICE_SRC = f"WITH {FEED}, {LAST_SIG}"
 
+# the events' month squeezed into one hour, and nine symbols in ten made one
+ONE_HOUR = """CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol,
+  make_timestamp(1704880800000000 + (epoch_us(ts) - 1704067200000000) // 744) AS ts"""
+
 ORACLES = {
     "read_instruments": f"SELECT instrument_key, name AS symbol, replace(replace(name, ' ', '_'), '&', 'and') AS clean_name FROM ({_NAMES})",
     "read_bars": f"WITH {BARS} SELECT {_BAR_COLS} FROM bars WHERE ts BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1999-06-30'",
@@ -598,6 +602,17 @@ l AS (SELECT *, coalesce(last_value(CASE WHEN raw_direction <> 'HOLD' AND confid
 SELECT symbol, seq, CASE WHEN raw_direction <> committed AND confidence < 0.6 THEN 'HOLD' ELSE raw_direction END AS direction,
   CASE WHEN raw_direction = 'HOLD' AND confidence < 0.2 THEN 'Confidence dropped below actionable range'
     WHEN raw_direction <> 'HOLD' AND raw_direction <> committed AND confidence < 0.6 THEN 'Direction change gated by persistence rule (<0.60 confidence)' END AS persistence_reason FROM l""",
+    "price_tick_direction_hour": f"""WITH {TICKS}, h AS (SELECT {ONE_HOUR}, seq, ltp FROM ticks),
+l AS (SELECT *, lag(ltp) OVER (PARTITION BY symbol ORDER BY ts, seq) AS prev_ltp FROM h)
+SELECT symbol, seq, {rs('ltp', 'prev_ltp')}, CASE WHEN ltp > prev_ltp THEN 'up' WHEN ltp < prev_ltp THEN 'down' END AS tick_direction FROM l""",
+    "persistence_hour": f"""WITH {UNIFIED}, h AS (SELECT {ONE_HOUR}, seq, raw_direction, confidence FROM sig),
+l AS (SELECT *, coalesce(last_value(CASE WHEN raw_direction <> 'HOLD' AND confidence >= 0.6 THEN raw_direction END IGNORE NULLS)
+  OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HOLD') AS committed FROM h)
+SELECT symbol, seq, CASE WHEN raw_direction <> committed AND confidence < 0.6 THEN 'HOLD' ELSE raw_direction END AS direction,
+  CASE WHEN raw_direction = 'HOLD' AND confidence < 0.2 THEN 'Confidence dropped below actionable range'
+    WHEN raw_direction <> 'HOLD' AND raw_direction <> committed AND confidence < 0.6 THEN 'Direction change gated by persistence rule (<0.60 confidence)' END AS persistence_reason FROM l""",
+    "asof_context_hour": f"""WITH {TICKS}, h AS (SELECT {ONE_HOUR}, seq, ltp FROM ticks)
+SELECT symbol, seq, {r('ltp', 'ltp')}, {r('(SELECT arg_max(e.ltp, e.ts) FROM h e WHERE e.symbol = h.symbol AND e.seq % 13 = 0 AND e.ts <= h.ts)', 'mark')} FROM h""",
     "recent_bars_hot": f"""WITH {TICKS}, h AS (SELECT CASE WHEN ends_with(symbol, '7') THEN symbol ELSE 'HOT' END AS symbol, ts, seq, ltp FROM ticks),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM h) SELECT symbol, {ts('ts', 'ts')}, seq, {r('ltp', 'ltp')}, rn FROM k WHERE rn <= 250""",
     **{

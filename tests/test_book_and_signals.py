@@ -89,9 +89,9 @@ def test_persistence_equals_the_sequential_rule(spark):
             else:
                 last[sym] = direction
         want[seq] = out
-    for bucket in ("hour", "day", "year"):
-        got = {r.seq: r.direction for r in un.persistence(df, bucket=bucket).collect()}
-        assert got == want, bucket
+    for segment_rows in (64, 300, 10_000):
+        got = {r.seq: r.direction for r in un.persistence(df, segment_rows=segment_rows).collect()}
+        assert got == want, segment_rows
     state = {r.symbol: r.committed for r in un.commitments(df).collect()}
     assert state == {k: 1 if v == "BUY" else -1 for k, v in last.items()}
 
@@ -99,7 +99,7 @@ def test_persistence_equals_the_sequential_rule(spark):
 def test_carry_last_crosses_buckets_and_nulls(spark):
     rows = [("A", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i * 5), i, None if i % 3 else float(i)) for i in range(40)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, seq bigint, v double")
-    got = {r.seq: r.prev for r in carry_last(df, "k", "ts", "seq", "v", "prev", "day").collect()}
+    got = {r.seq: r.prev for r in carry_last(df, "k", "ts", "seq", "v", "prev", segment_rows=1).collect()}
     prev = None
     for _, _, i, v in rows:
         assert got[i] == prev

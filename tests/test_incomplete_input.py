@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from barweave.functions.carry import carry_last
+from barweave.functions.carry import carry_last, segment_marks
 from barweave.functions.topn import latest_n
 from barweave.operators import bars as b, serving as sv, unified as un
 from barweave.sources import files
@@ -32,6 +32,24 @@ def test_carry_keeps_rows_without_key_or_time(spark):
     assert got == {1: None, 2: None, 3: 1.0, 4: None, 5: 5.0, 6: None}
 
 
+@pytest.mark.parametrize("segment_rows", [1, 200, 4_000_000])
+def test_a_hot_key_is_carried_over_segments(spark, segment_rows):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+        F.when(F.col("id") % 97 > 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 900))).alias("ts"),
+        F.col("id").alias("seq"), F.when(F.col("id") % 501 == 0, F.col("id") * 1.0).alias("v"),
+    )
+    last = {}
+    for r in sorted(rows.where("ts is not null").collect(), key=lambda r: (r.ts, r.seq)):
+        last[r.seq] = last.get((r.k,))
+        if r.v is not None:
+            last[(r.k,)] = r.v
+    got = carry_last(rows, "k", "ts", "seq", "v", "before", segment_rows=segment_rows)
+    assert {r.seq: r.before for r in got.collect()} == {r.seq: last.get(r.seq) for r in rows.collect()}
+    marks = {(r._key, r._keyless): len(r._marks) for r in segment_marks(rows, "k", "ts", "seq", segment_rows).collect()}
+    assert (marks.get(("hot", False), 0) > 10) == (segment_rows < 1000)
+
+
 def test_splits_do_not_change_the_newest(spark):
     df = spark.range(4000).select((F.col("id") % 3).alias("k"), "id").repartition(7)
     for splits in (1, 4, 50):
