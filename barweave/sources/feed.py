@@ -23,7 +23,9 @@ def explode_feed(messages: DataFrame) -> DataFrame:
     dropped. Works on batch and streaming input.
     """
     others = [c for c in messages.columns if c not in ("feeds", "type")]
-    rows = messages.select(*others, F.explode("feeds").alias("instrument_key", "feed"))
+    # the outer form: from the inner one the optimizer infers a filter on the size of the map, for which every
+    # message would be decoded two more times; the filter on the price drops messages without feeds as well
+    rows = messages.select(*others, F.explode_outer("feeds").alias("instrument_key", "feed"))
     market = F.col("feed.fullFeed.marketFF")
     return rows.where(market["ltpc"]["ltp"].isNotNull()).select(
         *others, "instrument_key", market.alias("market")
