@@ -1,13 +1,13 @@
 """Rolling and recursive series as native window expressions.
 
-All functions assume one row per (symbol, ts), a zero-based row index ``i`` and a
-bounded lookback per symbol (see ``recent_bars``): every frame shares one window
-specification, so stacking them adds no shuffle.
+All functions assume one row per (symbol, ts) and a zero-based row index ``i``: every
+frame shares one window specification, so stacking them adds no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
 
 def by_time():
     return Window.partitionBy("symbol").orderBy("ts")
@@ -47,31 +47,53 @@ def deviation(x: Column, n: int) -> Column:
     return full(F.stddev_samp(x).over(last_rows(n)), x, n)
 
 
-def _power(base: float, exponent: Column) -> Column:
-    return F.pow(F.lit(base), exponent)
+# rows up to which the powers of the closed form stay far inside double range
+CLOSED_FORM_ROWS = 1000
+# weight below which an older row no longer changes a double
+NEGLIGIBLE = 1e-20
+
+Terms = dict[str, tuple[Column, float]]
 
 
-def ema(x: Column, n: int) -> Column:
-    """Exponential mean seeded with the first value, alpha = 2 / (n + 1).
+def linear(df: DataFrame, terms: Terms, rows: int) -> DataFrame:
+    """Adds v_t = d v_(t-1) + u_t, from v = 0, for every term name -> (u, d); NULL inputs count as 0.
 
-    Unrolled recursion: value_t = sum_i c_i x_i (1-a)^(t-i) with c_0 = 1, c_i = a.
+    Up to ``CLOSED_FORM_ROWS`` rows per symbol the sum of u_t d^-t is taken at once. Beyond
+    them the powers overflow, so the recurrence is scanned by doubling: after k steps a row
+    holds the terms of its last 2^k rows, and a step is one ``lag`` over the same windows.
+    Doubling ends when older rows weigh less than ``NEGLIGIBLE``.
     """
+    if rows <= CLOSED_FORM_ROWS:
+        i = F.col("i")
+        return df.withColumns(
+            {n: F.sum(F.coalesce(u, F.lit(0.0)) * F.pow(F.lit(d), -i)).over(running()) * F.pow(F.lit(d), i) for n, (u, d) in terms.items()}
+        )
+    df = df.withColumns({n: F.coalesce(u, F.lit(0.0)).cast("double") for n, (u, _) in terms.items()})
+    step = 1
+    while open_terms := {n: d**step for n, (_, d) in terms.items() if d**step >= NEGLIGIBLE}:
+        df = df.withColumns({n: F.col(n) + weight * F.coalesce(lag(n, step), F.lit(0.0)) for n, weight in open_terms.items()})
+        step *= 2
+    return df
+
+
+def ema(x: Column, n: int, first: Column | None = None) -> tuple[Column, float]:
+    """Term of the exponential mean seeded with the first value, alpha = 2 / (n + 1)."""
     a = 2.0 / (n + 1)
-    i = F.col("i")
-    weight = F.when(i == 0, 1.0).otherwise(a)
-    return F.sum(weight * x * _power(1 - a, -i)).over(running()) * _power(1 - a, i)
+    return F.when(F.col("i") == 0 if first is None else first, x).otherwise(a * x), 1 - a
 
 
-def adjusted_ema(x: Column, alpha: float) -> Column:
-    """Exponential mean with normalised weights; NULL rows carry no weight."""
-    decay = _power(1 - alpha, -F.col("i"))
-    seen = F.when(x.isNotNull(), decay)
-    return F.try_divide(F.sum(x * decay).over(running()), F.sum(seen).over(running()))
+def adjusted_ema(name: str, x: Column, alpha: float) -> tuple[Terms, Column]:
+    """Terms and value of the exponential mean with normalised weights; NULL rows carry no weight."""
+    up, down = f"_{name}_sum", f"_{name}_weight"
+    terms = {up: (x, 1 - alpha), down: (F.when(x.isNotNull(), 1.0), 1 - alpha)}
+    return terms, F.when(F.count(x).over(running()) > 0, F.try_divide(F.col(up), F.col(down)))
 
 
-def seeded_ema(x: Column, alpha: float, start: int, seed: Column) -> Column:
-    """Recursion ``v += alpha (x - v)`` from row ``start``, where it equals ``seed``."""
+def seeded_ema(x: Column, alpha: float, start: int, seed: Column) -> tuple[Column, float]:
+    """Term of the recursion ``v += alpha (x - v)`` from row ``start``, where it equals ``seed``; valid from there on."""
     i = F.col("i")
-    step = F.when(i == start, seed).when(i > start, alpha * x)
-    grown = F.sum(step * _power(1 - alpha, F.lit(start) - i)).over(running())
-    return F.when(i >= start, grown * _power(1 - alpha, i - start))
+    return F.when(i == start, seed).when(i > start, alpha * x), 1 - alpha
+
+
+def from_row(name: str, start: int) -> Column:
+    return F.when(F.col("i") >= start, F.col(name))

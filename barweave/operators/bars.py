@@ -120,8 +120,6 @@ def recent_bars(bars: DataFrame, n: int = params.LOOKBACK, splits: int = params.
     A symbol is ranked in ``splits`` parts first, so that a hot one does not send the
     newest rows of every task to a single task.
     """
-    if n > params.MAX_LOOKBACK:
-        raise ValueError(f"lookback {n} is above {params.MAX_LOOKBACK}")
     return latest_n(bars, ["symbol"], [F.col("ts").desc()], n, splits=splits)
 
 

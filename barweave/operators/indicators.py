@@ -31,8 +31,8 @@ def with_position(recent: DataFrame) -> DataFrame:
     )
 
 
-def indicator_series(recent: DataFrame, method: str = "simple") -> DataFrame:
-    """All indicator series for every recent bar.
+def indicator_series(recent: DataFrame, method: str = "simple", lookback: int = params.LOOKBACK) -> DataFrame:
+    """All indicator series for every recent bar, of which a symbol has at most ``lookback``.
 
     ``simple``: rolling means and first-value seeded EMAs, fully determined by the
     window. ``wilder``: the classic charting definitions (SMA-seeded EMA, Wilder
@@ -69,7 +69,7 @@ def indicator_series(recent: DataFrame, method: str = "simple") -> DataFrame:
             ),
         }
     )
-    df = _simple(df) if method == "simple" else _wilder(df)
+    df = _simple(df, lookback) if method == "simple" else _wilder(df, lookback)
     return df.withColumns(
         {
             "macd_hist": C("macd") - C("macd_signal"),
@@ -78,24 +78,24 @@ def indicator_series(recent: DataFrame, method: str = "simple") -> DataFrame:
     )
 
 
-def _simple(df: DataFrame) -> DataFrame:
+def _simple(df: DataFrame, lookback: int) -> DataFrame:
     rising = F.when(C("up_move") < 0, 0.0).otherwise(C("up_move"))
     falling = F.when(C("low_move") > 0, 0.0).otherwise(C("low_move"))
     close, volume = C("close"), C("volume")
     df = df.withColumns(
         {
             **{f"sma_{n}": s.mean(close, n, partial=True) for n in (5, 10, 20, 50)},
-            **{f"ema_{n}": s.ema(close, n) for n in (5, 10, 20)},
-            "macd": s.ema(close, 12) - s.ema(close, 26),
             "volume_sma_20": s.mean(volume, 20, partial=True),
             "band": s.deviation(close, 20) * 2,
             "avg_gain": s.mean(C("gain"), 14),
             "avg_loss": s.mean(C("loss"), 14),
             "atr": s.mean(C("tr"), 14),
-            "plus_dm": s.adjusted_ema(rising, 1 / 14),
-            "minus_dm": s.adjusted_ema(falling, 1 / 14),
         }
     )
+    up, plus_dm = s.adjusted_ema("plus_dm", rising, 1 / 14)
+    down, minus_dm = s.adjusted_ema("minus_dm", falling, 1 / 14)
+    df = s.linear(df, {**{f"ema_{n}": s.ema(close, n) for n in (5, 10, 12, 20, 26)}, **up, **down}, lookback)
+    df = df.withColumns({"macd": C("ema_12") - C("ema_26"), "plus_dm": plus_dm, "minus_dm": minus_dm})
     plus_di = 100 * ratio(C("plus_dm"), C("atr"))
     minus_di = F.abs(100 * ratio(C("minus_dm"), C("atr")))
     df = df.withColumns(
@@ -107,26 +107,23 @@ def _simple(df: DataFrame) -> DataFrame:
             "dx": ratio(F.abs(plus_di - minus_di), F.abs(plus_di + minus_di)) * 100,
         }
     )
-    df = df.withColumns({"macd_signal": s.ema(C("macd"), 9), "prev_dx": s.lag("dx")})
-    df = df.withColumn("smooth_dx", (C("prev_dx") * 13 + C("dx")) / 14)
-    return df.withColumn("adx", s.adjusted_ema(C("smooth_dx"), 1 / 14))
+    df = df.withColumn("smooth_dx", (s.lag("dx") * 13 + C("dx")) / 14)
+    terms, adx = s.adjusted_ema("adx", C("smooth_dx"), 1 / 14)
+    return s.linear(df, {"macd_signal": s.ema(C("macd"), 9), **terms}, lookback).withColumn("adx", adx)
 
 
-def _wilder(df: DataFrame) -> DataFrame:
+def _wilder(df: DataFrame, lookback: int) -> DataFrame:
     close, volume, i = C("close"), C("volume"), C("i")
     down_move = -C("low_move")
     plus = F.when((C("up_move") > 0) & (C("up_move") > down_move), C("up_move")).otherwise(0.0)
     minus = F.when((down_move > 0) & (down_move > C("up_move")), down_move).otherwise(0.0)
     df = df.withColumns({"plus_raw": plus, "minus_raw": minus})
 
-    def seeded(x: Column, n: int, start: int) -> Column:
-        return s.seeded_ema(x, 2.0 / (n + 1), start, F.avg(x).over(s.last_rows(n)))
-
-    def inner(x: Column, n: int, seed: str) -> Column:
+    def inner(n: int, seed: str) -> tuple[Column, float]:
         """EMA from row 25, where both MACD legs start."""
-        return s.seeded_ema(x, 2.0 / (n + 1), 25, C(seed))
+        return s.seeded_ema(close, 2.0 / (n + 1), 25, C(seed))
 
-    def smoothed(x: Column, seed: str) -> Column:
+    def smoothed(x: Column, seed: str) -> tuple[Column, float]:
         return s.seeded_ema(x, 1 / 14, 14, C(seed))
 
     means = {
@@ -144,21 +141,26 @@ def _wilder(df: DataFrame) -> DataFrame:
     }
     df = df.withColumns(means)
 
-    def wilder_sum(x: Column, seed: str) -> Column:
+    def wilder_sum(x: Column, seed: str) -> tuple[Column, float]:
         """S_t = S_(t-1) * 13/14 + x_t from row 13."""
-        step = F.when(i == 13, C(seed)).when(i > 13, x)
-        total = F.sum(step * F.pow(F.lit(13 / 14), 13 - i)).over(s.running())
-        return F.when(i >= 14, total * F.pow(F.lit(13 / 14), i - 13))
-
+        return F.when(i == 13, C(seed)).when(i > 13, x), 13 / 14
+
+    terms = {
+        **{f"ema_{n}": s.seeded_ema(close, 2.0 / (n + 1), n - 1, C(f"_m{n}")) for n in (5, 10, 20)},
+        "_leg_12": inner(12, "_m12"),
+        "_leg_26": inner(26, "_m26"),
+        "avg_gain": smoothed(C("gain"), "_gain"),
+        "avg_loss": smoothed(C("loss"), "_loss"),
+        "atr": smoothed(C("tr"), "_tr"),
+        "_p": wilder_sum(C("plus_raw"), "_dm_seed_p"),
+        "_m": wilder_sum(C("minus_raw"), "_dm_seed_m"),
+    }
+    df = s.linear(df, terms, lookback)
     df = df.withColumns(
         {
-            **{f"ema_{n}": s.seeded_ema(close, 2.0 / (n + 1), n - 1, C(f"_m{n}")) for n in (5, 10, 20)},
-            "macd_line": inner(close, 12, "_m12") - inner(close, 26, "_m26"),
-            "avg_gain": smoothed(C("gain"), "_gain"),
-            "avg_loss": smoothed(C("loss"), "_loss"),
-            "atr": smoothed(C("tr"), "_tr"),
-            "_p": wilder_sum(C("plus_raw"), "_dm_seed_p"),
-            "_m": wilder_sum(C("minus_raw"), "_dm_seed_m"),
+            **{f"ema_{n}": s.from_row(f"ema_{n}", n - 1) for n in (5, 10, 20)},
+            **{c: s.from_row(c, 14) for c in ("avg_gain", "avg_loss", "atr", "_p", "_m")},
+            "macd_line": F.when(i >= 25, C("_leg_12") - C("_leg_26")),
         }
     )
     df = df.withColumns(
@@ -176,13 +178,12 @@ def _wilder(df: DataFrame) -> DataFrame:
             "_adx_seed": F.avg("dx").over(s.last_rows(14)),
         }
     )
-    df = df.withColumns(
-        {
-            "macd_signal": s.seeded_ema(C("macd_line"), 0.2, 33, C("_signal_seed")),
-            "adx": s.seeded_ema(C("dx"), 1 / 14, 27, C("_adx_seed")),
-        }
-    )
-    return df.withColumn("macd", F.when(i >= 33, C("macd_line")))
+    terms = {
+        "macd_signal": s.seeded_ema(C("macd_line"), 0.2, 33, C("_signal_seed")),
+        "adx": s.seeded_ema(C("dx"), 1 / 14, 27, C("_adx_seed")),
+    }
+    df = s.linear(df, terms, lookback)
+    return df.withColumns({"macd_signal": s.from_row("macd_signal", 33), "adx": s.from_row("adx", 27), "macd": s.from_row("macd_line", 33)})
 
 
 def regime(adx: Column) -> Column:
@@ -208,7 +209,7 @@ def latest_of(*names: str) -> dict[str, Column]:
     return {n: F.max(F.when(C("rn") == 1, C(n))) for n in names}
 
 
-def newest_series(positioned: DataFrame) -> DataFrame:
+def newest_series(positioned: DataFrame, lookback: int = params.LOOKBACK) -> DataFrame:
     """The few running series that the newest values need: MACD and smoothed DX.
 
     Everything else of the newest bar is an aggregate over its last rows (see
@@ -216,7 +217,6 @@ def newest_series(positioned: DataFrame) -> DataFrame:
     """
     delta = C("close") - C("prev_close")
     up, low = C("high") - C("prev_high"), C("low") - C("prev_low")
-    decay = F.pow(F.lit(1 - 1 / 14), -C("i"))
     df = positioned.withColumns(
         {
             "gain": F.when(delta > 0, delta).otherwise(0.0),
@@ -224,8 +224,8 @@ def newest_series(positioned: DataFrame) -> DataFrame:
             "tr": F.greatest(
                 C("high") - C("low"), F.abs(C("high") - C("prev_close")), F.abs(C("low") - C("prev_close"))
             ),
-            "plus_raw": F.when(up < 0, 0.0).otherwise(up) * decay,
-            "minus_raw": F.when(low > 0, 0.0).otherwise(low) * decay,
+            "plus_raw": F.when(up < 0, 0.0).otherwise(up),
+            "minus_raw": F.when(low > 0, 0.0).otherwise(low),
             "signed_volume": F.when(C("i") == 0, C("volume"))
             .when(delta > 0, C("volume"))
             .when(delta < 0, -C("volume"))
@@ -233,14 +233,10 @@ def newest_series(positioned: DataFrame) -> DataFrame:
         }
     )
     # the common weight of both sides and the ATR cancel in DX; only a zero ATR voids it
-    df = df.withColumns(
-        {
-            "macd": s.ema(C("close"), 12) - s.ema(C("close"), 26),
-            "_plus": F.sum("plus_raw").over(s.running()),
-            "_minus": F.sum("minus_raw").over(s.running()),
-            "_moved": F.max(F.when(C("tr") > 0, C("i"))).over(s.running()),
-        }
-    )
+    df = df.withColumn("_moved", F.max(F.when(C("tr") > 0, C("i"))).over(s.running()))
+    terms = {f"_ema_{n}": s.ema(C("close"), n) for n in (12, 26)}
+    df = s.linear(df, terms | {f"_{c}": (C(f"{c}_raw"), 1 - 1 / 14) for c in ("plus", "minus")}, lookback)
+    df = df.withColumn("macd", C("_ema_12") - C("_ema_26"))
     live = (C("i") >= 13) & (C("_moved") > C("i") - 14)
     plus, minus = C("_plus"), F.abs("_minus")
     df = df.withColumn("dx", F.when(live, ratio(F.abs(plus - minus), plus + minus) * 100))
@@ -296,6 +292,90 @@ def newest_aggregates() -> dict[str, Column]:
     }
 
 
+def wilder_newest_series(positioned: DataFrame) -> DataFrame:
+    """The running series that the newest classic values need: the MACD line and DX."""
+    i, delta = C("i"), C("close") - C("prev_close")
+    up, down = C("high") - C("prev_high"), C("prev_low") - C("low")
+    df = positioned.withColumns(
+        {
+            "gain": F.when(delta > 0, delta).otherwise(0.0),
+            "loss": F.when(delta < 0, -delta).otherwise(0.0),
+            "tr": F.greatest(
+                C("high") - C("low"), F.abs(C("high") - C("prev_close")), F.abs(C("low") - C("prev_close"))
+            ),
+            "plus_raw": F.when((up > 0) & (up > down), up).otherwise(0.0),
+            "minus_raw": F.when((down > 0) & (down > up), down).otherwise(0.0),
+            "signed_volume": F.when(i == 0, C("volume"))
+            .when(delta > 0, C("volume"))
+            .when(delta < 0, -C("volume"))
+            .otherwise(0),
+            **{f"_m{n}": F.avg(F.when(i.between(26 - n, 25), C("close"))).over(s.whole()) for n in (12, 26)},
+        }
+    )
+    df = df.withColumns({f"_{c}_seed": F.sum(F.when(i.between(1, 13), C(f"{c}_raw"))).over(s.whole()) for c in ("plus", "minus")})
+    terms = {f"_leg_{n}": s.seeded_ema(C("close"), 2.0 / (n + 1), 25, C(f"_m{n}")) for n in (12, 26)}
+    terms |= {f"_{c}": (F.when(i == 13, C(f"_{c}_seed")).when(i > 13, C(f"{c}_raw")), 13 / 14) for c in ("plus", "minus")}
+    df = s.linear(df, terms, params.LOOKBACK)
+    apart, both = F.abs(C("_plus") - C("_minus")), C("_plus") + C("_minus")
+    return df.withColumns(
+        {
+            "macd_line": F.when(i >= 25, C("_leg_12") - C("_leg_26")),
+            "dx": F.when(i >= 14, F.coalesce(100 * ratio(apart, both), F.lit(0.0))),
+        }
+    )
+
+
+def wilder_newest_aggregates() -> dict[str, Column]:
+    """Newest classic values, equal to the last row of ``indicator_series``.
+
+    A recursion's newest value is one weighted sum: its seed and every later row, each
+    by the decay from there to the newest row, which cannot overflow.
+    """
+    rn, i, n_rows = C("rn"), C("i"), F.max("n_rows")
+
+    def last(n: int, x: str) -> Column:
+        return F.when(rn <= n, C(x))
+
+    def enough(n: int, value: Column) -> Column:
+        return F.when(n_rows >= n, value)
+
+    def newest(x: Column) -> Column:
+        return F.max(F.when(rn == 1, x))
+
+    def recursion(x: str, alpha: float, start: int, n: int) -> Column:
+        """Newest value of a recursion that starts at row ``start`` with the mean of the last ``n`` rows."""
+        seed = F.avg(F.when(i.between(start - n + 1, start), C(x)))
+        later = F.sum(F.when(i > start, alpha * C(x) * F.pow(F.lit(1 - alpha), rn - 1)))
+        return enough(start + 1, F.coalesce(later, F.lit(0.0)) + seed * F.pow(F.lit(1 - alpha), n_rows - 1 - start))
+
+    middle = enough(20, F.avg(last(20, "close")))
+    band = enough(20, F.stddev_pop(last(20, "close"))) * 2
+    gain, loss = recursion("gain", 1 / 14, 14, 14), recursion("loss", 1 / 14, 14, 14)
+    macd, signal = enough(34, newest(C("macd_line"))), recursion("macd_line", 0.2, 33, 9)
+    volume_mean = enough(20, F.avg(last(20, "volume")))
+    return {
+        **{n: newest(C(n)) for n in ("ts", "open", "high", "low", "close", "volume")},
+        **{f"sma_{n}": enough(n, F.avg(last(n, "close"))) for n in (5, 10, 20, 50)},
+        **{f"ema_{n}": recursion("close", 2.0 / (n + 1), n - 1, n) for n in (5, 10, 20)},
+        "rsi": 100 * ratio(gain, gain + loss),
+        "macd": macd,
+        "macd_signal": signal,
+        "macd_hist": macd - signal,
+        "bb_upper": middle + band,
+        "bb_middle": middle,
+        "bb_lower": middle - band,
+        "atr": recursion("tr", 1 / 14, 14, 14),
+        "adx": recursion("dx", 1 / 14, 27, 14),
+        "volume_sma_20": volume_mean,
+        "volume_roc": newest((ratio(C("volume"), C("prev_volume")) - 1) * 100),
+        "obv": F.sum("signed_volume"),
+        "vwap": F.try_divide(
+            F.sum((C("high") + C("low") + C("close")) / 3 * C("volume")), F.sum("volume")
+        ),
+        "volume_ratio": ratio(newest(C("volume")), volume_mean),
+    }
+
+
 def swing_aggregates(window: int = 10) -> dict[str, Column]:
     """Extremes of the centred window read ``window`` rows before the end: rows -14..-5."""
     newest, oldest = window - window // 2 + 1, window + window // 2
@@ -344,15 +424,18 @@ def latest_inputs(
 ) -> tuple[DataFrame, list[dict[str, Column]]]:
     """Series and aggregate families of the newest indicators.
 
-    Full series are computed only where something reads them: the other method, the
-    adaptive levels of a long lookback, or the caller.
+    Full series are computed only where something reads them: the adaptive levels of a
+    long lookback, or the caller.
     """
     adaptive = lookback >= params.ADAPTIVE_PERIODS
-    if method == "simple" and not adaptive and not with_series:
+    if not adaptive and not with_series:
         fixed = {"rsi_oversold": 30.0, "rsi_overbought": 70.0, "volume_high": 1.5, "volume_low": 0.5}
         levels = {k: F.lit(v) for k, v in fixed.items()}
-        return newest_series(with_position(recent)), [newest_aggregates(), swing_aggregates(), levels]
-    return indicator_series(recent, method), [latest_of(*LATEST), swing_aggregates(), adaptive_aggregates()]
+        positioned = with_position(recent)
+        if method == "simple":
+            return newest_series(positioned), [newest_aggregates(), swing_aggregates(), levels]
+        return wilder_newest_series(positioned), [wilder_newest_aggregates(), swing_aggregates(), levels]
+    return indicator_series(recent, method, lookback), [latest_of(*LATEST), swing_aggregates(), adaptive_aggregates()]
 
 
 def indicator_record(latest: DataFrame) -> DataFrame:
@@ -389,12 +472,12 @@ def swing_points(bars: DataFrame, lookback: int = params.LOOKBACK) -> DataFrame:
 
 
 def adaptive_levels(bars: DataFrame, periods: int = params.ADAPTIVE_PERIODS) -> DataFrame:
-    series = indicator_series(recent_bars(bars, periods))
+    series = indicator_series(recent_bars(bars, periods), lookback=periods)
     return aggregate_symbols(series, adaptive_aggregates(periods))
 
 
 def market_regime(bars: DataFrame, lookback: int = params.LOOKBACK) -> DataFrame:
-    series = newest_series(with_position(recent_bars(bars, lookback)))
+    series = newest_series(with_position(recent_bars(bars, lookback)), lookback)
     adx = {"adx": newest_aggregates()["adx"]}
     return aggregate_symbols(series, adx).withColumn("market_regime", regime(C("adx")))
 
@@ -403,7 +486,7 @@ def indicator_history(
     bars: DataFrame, n: int = params.INDICATOR_HISTORY_LIMIT, lookback: int = params.LOOKBACK
 ) -> DataFrame:
     """Last ``n`` rows of the series that trajectories are fitted on."""
-    series = indicator_series(recent_bars(bars, lookback))
+    series = indicator_series(recent_bars(bars, lookback), lookback=lookback)
     return series.where(C("rn") <= n).select(
         "symbol", "ts", "rn", "rsi", "macd", "macd_signal", "sma_5", "sma_20", "volume_ratio"
     )

@@ -280,7 +280,7 @@ MOMENTUM = (
 
 
 def momentum_trajectory(bars: DataFrame, lookback: int = params.LOOKBACK) -> DataFrame:
-    rows = momentum_series(indicator_series(recent_bars(bars, lookback)))
+    rows = momentum_series(indicator_series(recent_bars(bars, lookback), lookback=lookback))
     return add_momentum_composite(aggregate_symbols(rows, momentum_aggregates())).select("symbol", *MOMENTUM)
 
 

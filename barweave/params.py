@@ -7,7 +7,6 @@ LOOKBACK = 250
 ADAPTIVE_PERIODS = 252
 HOT_KEY_SPLITS = 8  # parts in which a key is ranked before its best rows meet
 SEGMENT_ROWS = 4_000_000  # rows of a key that one task carries values through
-MAX_LOOKBACK = 1000  # keeps the closed-form EMA factors inside double range
 
 # Sector name parts, matched in this order.
 SECTORS = {

@@ -526,6 +526,43 @@ def swing_points(s, d):
     return flat(ind.swing_points(calm(s, d)))
 
 
+WHOLE = 1_000_000  # a lookback above every history, and above the rows of the closed form
+
+
+def whole_series(*columns: str, method: str = "simple"):
+    """Series of whole histories."""
+
+    def run(s, d):
+        rows = b.recent_bars(calm(s, d), WHOLE)
+        return flat(ind.indicator_series(rows, method, WHOLE), "symbol", "ts", *columns)
+
+    return run
+
+
+def recent_bars_whole(s, d):
+    return flat(b.recent_bars(bars_of(s, d), WHOLE))
+
+
+WILDER_LATEST = ("sma_20", "ema_20", "bb_upper", "bb_lower", "rsi", "atr", "macd", "macd_signal", "adx")
+
+
+def indicators_latest_wilder(s, d):
+    return flat(ind.indicators_latest(calm(s, d), "wilder"), "symbol", "ts", *WILDER_LATEST, "market_regime")
+
+
+def record_query(method: str):
+    """The nested record, read back field by field."""
+
+    def run(s, d):
+        record = ind.indicator_record(ind.indicators_latest(calm(s, d), method))
+        return flat(record.select(
+            "symbol", "timestamp", "current_price", "ohlcv.high", "sma.sma_20", "ema.ema_20", "rsi", "macd.macd", "macd.signal",
+            "bollinger.upper", "bollinger.lower", "atr", "adx", "market_regime",
+        ))
+
+    return run
+
+
 def indicators_latest(s, d):
     return flat(ind.indicators_latest(calm(s, d)))
 
@@ -1042,6 +1079,14 @@ QUERIES = {
     "vwap": series_query("vwap"),
     "volume_ratio": series_query("volume_sma_20", "volume_ratio"),
     "indicators_latest": indicators_latest,
+    "indicators_latest_wilder": indicators_latest_wilder,
+    "indicator_record": record_query("simple"),
+    "indicator_record_wilder": record_query("wilder"),
+    "recent_bars_whole": recent_bars_whole,
+    "whole_means": whole_series("sma_20", "ema_5", "ema_20"),
+    "whole_macd": whole_series("macd", "macd_signal"),
+    "whole_adx": whole_series("rsi", "adx"),
+    "whole_wilder": whole_series("rsi", "atr", "macd", "macd_signal", "adx", method="wilder"),
     "wilder_means": series_query("sma_20", "ema_20", "bb_upper", "bb_lower", method="wilder"),
     "wilder_rsi_atr": series_query("rsi", "atr", method="wilder"),
     "wilder_macd": series_query("macd", "macd_signal", method="wilder"),

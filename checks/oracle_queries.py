@@ -6,7 +6,8 @@ from barweave import params
 from checks.oracles import (
     AS_OF, BARS, CALM, EVENTS_END, LATEST_COLS, MINUTES, QUOTES, TICKS, TRADES, TREND, _BUYING, _ENTRY, _POS, _QTY,
     _SIZE, _TARGET, big, clamp, div, fmt, high_vol, ist, joined, latest, mom_query, momentum, q, quant, r, recent, rs,
-    series, series_query, session_factor, traj_query, trajectory, ts, wilder_query, _ensemble, fit,
+    record_query, series, series_query, session_factor, traj_query, trajectory, ts, wilder, wilder_latest, wilder_query,
+    _ensemble, fit,
 )
 
 # --- feed ------------------------------------------------------------------------------------
@@ -448,6 +449,14 @@ SELECT symbol, {ts('ts0', 'ts')}, {rs('open', 'high', 'low', 'close')}, volume F
     "vwap": series_query("vwap"),
     "volume_ratio": series_query("volume_sma_20", "volume_ratio"),
     "indicators_latest": f"WITH {latest(CALM)} SELECT symbol, {big('n_rows', 'n_rows')}, {ts('ts', 'ts')}, CAST(volume AS BIGINT) AS volume, CAST(obv AS BIGINT) AS obv, {rs(*LATEST_COLS)}, market_regime FROM ind",
+    "indicators_latest_wilder": wilder_latest("sma_20", "ema_20", "bb_upper", "bb_lower", "rsi", "atr", "macd", "macd_signal", "adx"),
+    "indicator_record": record_query(series(CALM), "ser WHERE rn = 1"),
+    "indicator_record_wilder": record_query(wilder(), "wil WHERE rn = 1"),
+    "recent_bars_whole": f"WITH {BARS} SELECT {_BAR_COLS}, row_number() OVER (PARTITION BY symbol ORDER BY bars.ts DESC) AS rn FROM bars",
+    "whole_means": series_query("sma_20", "ema_5", "ema_20", n=1_000_000),
+    "whole_macd": series_query("macd", "macd_signal", n=1_000_000),
+    "whole_adx": series_query("rsi", "adx", n=1_000_000),
+    "whole_wilder": wilder_query("rsi", "atr", "macd", "macd_signal", "adx", n=1_000_000),
     "wilder_means": wilder_query("sma_20", "ema_20", "bb_upper", "bb_lower"),
     "wilder_rsi_atr": wilder_query("rsi", "atr"),
     "wilder_macd": wilder_query("macd", "macd_signal"),

@@ -164,8 +164,8 @@ ser AS (
   FROM s4)"""
 
 
-def series_query(*columns: str) -> str:
-    return f"WITH {series(CALM)} SELECT symbol, {ts('ts', 'ts')}, {rs(*columns)} FROM ser"
+def series_query(*columns: str, n: int = 250) -> str:
+    return f"WITH {series(CALM, n)} SELECT symbol, {ts('ts', 'ts')}, {rs(*columns)} FROM ser"
 
 
 _LEVEL = """CASE WHEN max(n_rows) >= 252 AND count({x}) >= 201.6 THEN quantile_cont({x}, {p}) ELSE {f} END"""
@@ -207,7 +207,7 @@ def wilder_ema(x: str, n: int, start: int, seed_from: int, alpha: float) -> str:
       lambda acc, v: acc + {alpha!r} * (v - acc)) END"""
 
 
-def wilder() -> str:
+def wilder(n: int = 250) -> str:
     """Series ``wil`` of the classic definitions."""
     def wsum(x: str) -> str:
         lst = f"(list({x}) OVER {RUN})"
@@ -215,7 +215,7 @@ def wilder() -> str:
           list_concat([list_sum(list_slice({lst}, 2, 14))], list_slice({lst}, 15, i + 1)),
           lambda acc, v: acc - acc / 14 + v) END"""
 
-    return recent(CALM) + f""", w0 AS (
+    return recent(CALM, n) + f""", w0 AS (
   SELECT *, coalesce(gain0, 0.0) AS gain, coalesce(loss0, 0.0) AS loss,
     CASE WHEN high - ph > 0 AND high - ph > pl - low THEN high - ph ELSE 0.0 END AS up,
     CASE WHEN pl - low > 0 AND pl - low > high - ph THEN pl - low ELSE 0.0 END AS down FROM r0),
@@ -232,14 +232,27 @@ w2 AS (
   SELECT *, sma_20 + 2 * sd AS bb_upper, sma_20 - 2 * sd AS bb_lower, 100 * {div('ag', 'ag + al')} AS rsi,
     CASE WHEN i >= 14 THEN coalesce(100 * {div('abs(p - m)', 'p + m')}, 0.0) END AS dx FROM w1),
 wil AS (
-  SELECT symbol, ts, sma_20, ema_20, bb_upper, bb_lower, rsi, atr,
+  SELECT symbol, ts, rn, high, close, sma_20, ema_20, bb_upper, bb_lower, rsi, atr,
     CASE WHEN i >= 33 THEN macd_line END AS macd,
     {wilder_ema('macd_line', 9, 33, 25, 0.2)} AS macd_signal,
     {wilder_ema('dx', 14, 27, 14, 1 / 14)} AS adx FROM w2)"""
 
 
-def wilder_query(*columns: str) -> str:
-    return f"WITH {wilder()} SELECT symbol, {ts('ts', 'ts')}, {rs(*columns)} FROM wil"
+def wilder_query(*columns: str, n: int = 250) -> str:
+    return f"WITH {wilder(n)} SELECT symbol, {ts('ts', 'ts')}, {rs(*columns)} FROM wil"
+
+
+REGIME = "CASE WHEN adx > 25 THEN 'TRENDING' WHEN adx < 20 THEN 'RANGING' WHEN adx IS NULL THEN 'UNKNOWN' ELSE 'WEAK' END AS market_regime"
+
+
+def wilder_latest(*columns: str) -> str:
+    return f"WITH {wilder()} SELECT symbol, {ts('ts', 'ts')}, {rs(*columns)}, {REGIME} FROM wil WHERE rn = 1"
+
+
+def record_query(with_sql: str, source: str) -> str:
+    fields = {"close": "current_price", "high": "high", "sma_20": "sma_20", "ema_20": "ema_20", "rsi": "rsi", "macd": "macd",
+              "macd_signal": "signal", "bb_upper": "upper", "bb_lower": "lower", "atr": "atr", "adx": "adx"}
+    return f"WITH {with_sql} SELECT symbol, {ts('ts', 'timestamp')}, {', '.join(r(x, name) for x, name in fields.items())}, {REGIME} FROM {source}"
 
 
 # --- quant ---------------------------------------------------------------------------------------

@@ -112,3 +112,41 @@ def test_result_does_not_depend_on_layout(make_bars):
     one, two = (q.quant_score(x).select(*cols).orderBy("symbol").collect() for x in (bars, shuffled))
     for x, y in zip(one, two):
         assert x.recommendation == y.recommendation and x.final_score == pytest.approx(y.final_score, abs=1e-12)
+
+
+@pytest.mark.parametrize("method", ["simple", "wilder"])
+def test_newest_values_equal_the_series(make_bars, method):
+    """The aggregates give the last row of the full series, at every number of rows that switches a rule on."""
+    counts = (1, 3, 13, 14, 15, 19, 20, 21, 25, 26, 27, 28, 29, 33, 34, 35, 60, 249, 250)
+    bars = make_bars({f"n{n}": WALK[:n] for n in counts})
+    names = [c for c in ind.LATEST if c != "ts"]
+    series = ind.indicator_series(b.recent_bars(bars), method).where("rn = 1").select("symbol", *names).collect()
+    latest = ind.indicators_latest(bars, method).select("symbol", *names).collect()
+    assert len(series) == len(counts)
+    wanted = {r.symbol: r for r in series}
+    for row in latest:
+        for name in names:
+            x, y = row[name], wanted[row.symbol][name]
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-9, abs=1e-9)), (row.symbol, name)
+
+
+def test_both_code_paths_of_the_newest_values_agree(make_bars):
+    """From a lookback of 252 bars on the full series are read; the same 240 bars give the same values."""
+    bars = make_bars({"A": WALK[:240]})
+    names = [c for c in ind.LATEST if c != "ts"]
+    found = [ind.indicators_latest(bars, lookback=n).select(*names).first() for n in (251, 252, 253)]
+    for name in names:
+        assert found[0][name] == pytest.approx(found[1][name], rel=1e-9) and found[1][name] == pytest.approx(found[2][name], rel=1e-9), name
+
+
+def test_recursions_of_long_histories(make_bars):
+    closes = [WALK[i % len(WALK)] + (i % 17) for i in range(2600)]
+    series = ind.indicator_series(b.recent_bars(make_bars({"A": closes}), 5000), lookback=5000).orderBy("ts")
+    got = [(r.ema_5, r.macd, r.macd_signal) for r in series.collect()]
+    e5 = e12 = e26 = closes[0]
+    signal = 0.0
+    for i, x in enumerate(closes):
+        if i:
+            e5, e12, e26 = e5 + (x - e5) / 3, e12 + (x - e12) * 2 / 13, e26 + (x - e26) * 2 / 27
+            signal += (e12 - e26 - signal) * 0.2
+        assert got[i] == pytest.approx((e5, e12 - e26, signal), rel=1e-9, abs=1e-9)
