@@ -15,6 +15,7 @@ from barweave.operators import bars as b, orderbook, unified
 from barweave.operators.serving import latest_quotes
 from barweave.plans import cycle
 from barweave.session import shared_dir
+from barweave.sources.keyed_log import KeyedLog, newest_rows
 
 C = F.col
 
@@ -137,6 +138,8 @@ def run_persistence(
 
 
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume")
+BAR_LOG = "symbol string, ts timestamp, open double, high double, low double, close double, volume bigint"
+COMPACT_EVERY = 60  # batches
 
 
 def bar_quotes(recent: DataFrame) -> DataFrame:
@@ -203,28 +206,29 @@ def run_signal_cycles(
 
     A batch only carries bars: each new bar is a cycle of its own, so the signals do not
     depend on how the source is cut into batches, and a backlog loses no cycle. For a live
-    feed pass ``trigger={"processingTime": "60 seconds"}``. The last ``lookback`` bars per
-    symbol and the committed directions are small tables carried from batch to batch, of
-    which the last three versions are kept.
+    feed pass ``trigger={"processingTime": "60 seconds"}``. Bars and commitments are logs
+    by symbol: a batch reads what is kept of the symbols that ticked and writes their new
+    bars and commitments only; every ``COMPACT_EVERY`` batches the logs are folded to the
+    last ``lookback`` bars and the last commitment of each symbol.
     """
     base = base or shared_dir(spark, "cycles")
-    recent_path, state_path, out = f"{base}/recent", f"{base}/committed", f"{base}/signals"
+    recent = KeyedLog(spark, f"{base}/recent", BAR_LOG)
+    commits = KeyedLog(spark, f"{base}/committed", "symbol string, committed int")
+    out = f"{base}/signals"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         bars = batch.select(*BAR_COLUMNS).persist()
-        before = _versioned(spark, recent_path, batch_id)
-        committed = _versioned(spark, state_path, batch_id)
+        ticking = bars.select("symbol").distinct()
+        before = b.recent_bars(recent.read(batch_id).join(ticking, "symbol", "left_semi"), lookback).select(*BAR_COLUMNS)
+        committed = commits.newest(batch_id, "symbol").join(ticking, "symbol", "left_semi")
         decided = cycle_decisions(cycle_frames(before, bars, lookback), lookback).persist()
         signals = unified.finish(unified.persistence(decided, state=committed))
         signals.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        rows = bars if before is None else before.unionByName(bars)
-        kept = b.recent_bars(rows, lookback).select(*BAR_COLUMNS)
-        kept.write.mode("overwrite").parquet(f"{recent_path}/batch={batch_id}")
-        after = _merge_state(committed, unified.commitments(decided))
-        after.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-        for path in (recent_path, state_path):
-            expire(spark, path, batch_id)
+        recent.write(bars, batch_id)
+        commits.write(unified.commitments(decided), batch_id)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            recent.compact(batch_id, lambda rows: b.recent_bars(rows, lookback))
+            commits.compact(batch_id, newest_rows("symbol"))
         decided.unpersist()
         bars.unpersist()
 

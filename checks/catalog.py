@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from barweave import params
 from barweave.functions import scalar
 from barweave.operators import (
-    actionable, bars as b, indicators as ind, orderbook as ob, quant as q, serving as sv, trajectory as tr,
+    actionable, bars as b, history, indicators as ind, orderbook as ob, quant as q, serving as sv, trajectory as tr,
     unified as un,
 )
 from barweave.functions.topn import latest_n
@@ -539,6 +539,24 @@ def whole_series(*columns: str, method: str = "simple"):
     return run
 
 
+APPEND_CUTS = ("1995-10-01", "1997-01-01", "1998-06-01", "1998-07-01", "2000-01-01", "2100-01-01")
+
+
+def indicator_append(s, d):
+    """Bars that arrive in six cycles; the symbols ending in 7 miss the third and catch up in the fourth."""
+    log = history.IndicatorLog(s, shared_dir(s, "indicators"))
+    rows = calm(s, d)
+    for k, (first, last) in enumerate(zip(("1900-01-01", *APPEND_CUTS), APPEND_CUTS, strict=False)):
+        behind = C("symbol").endswith("7")
+        part = (C("ts") >= F.lit(first).cast("timestamp")) & (C("ts") < F.lit(last).cast("timestamp"))
+        if k == 2:
+            part &= ~behind
+        if k == 3:
+            part |= behind & (C("ts") >= F.lit(APPEND_CUTS[1]).cast("timestamp")) & (C("ts") < F.lit(last).cast("timestamp"))
+        log.append(rows.where(part), k)
+    return flat(log.read(len(APPEND_CUTS)), "symbol", "ts", "rsi", "macd", "macd_signal", "sma_5", "sma_20", "volume_ratio", "rn")
+
+
 def recent_bars_whole(s, d):
     return flat(b.recent_bars(bars_of(s, d), WHOLE))
 
@@ -1083,6 +1101,7 @@ QUERIES = {
     "indicator_record": record_query("simple"),
     "indicator_record_wilder": record_query("wilder"),
     "recent_bars_whole": recent_bars_whole,
+    "indicator_append": indicator_append,
     "whole_means": whole_series("sma_20", "ema_5", "ema_20"),
     "whole_macd": whole_series("macd", "macd_signal"),
     "whole_adx": whole_series("rsi", "adx"),

@@ -266,9 +266,9 @@ basic AS (
     CASE WHEN trend_score >= 2 THEN round(swing_high, 2) WHEN trend_score <= -2 THEN round(swing_low, 2) END AS basic_target FROM b0)"""
 
 
-def components() -> str:
+def components(base: str = CALM, quotes: str = QUOTES[len(BARS) + 2:]) -> str:
     """Component blocks of the calm bars as ``comp``."""
-    sql = basic(CALM, 250) + quant(CALM).replace("{stop}", _ensemble())[len(recent(CALM)):] + trajectory(CALM) + ", " + QUOTES[len(BARS) + 2:]
+    sql = basic(base, 250) + quant(base).replace("{stop}", _ensemble())[len(recent(base)):] + trajectory(base) + ", " + quotes
     return sql + f""", comp AS (
   SELECT book.symbol, basic.ts AS ts,
     {clamp('(sma_5 - sma_20) / sma_20')} AS t_score, least(1.0, signal_confidence) AS t_conf, overall_signal AS t_dir, array_to_string(list_slice(basic.reasons, 1, 3), '; ') AS t_reason,
@@ -280,7 +280,7 @@ def components() -> str:
     CASE WHEN overall_trajectory LIKE '%BULLISH' THEN least(1.0, trend_consistency) WHEN overall_trajectory LIKE '%BEARISH' THEN -least(1.0, trend_consistency) ELSE 0.0 END AS p_score,
     CASE WHEN overall_trajectory LIKE '%BULLISH' THEN 'BUY' WHEN overall_trajectory LIKE '%BEARISH' THEN 'SELL' ELSE 'HOLD' END AS p_dir,
     overall_trajectory || ' with consistency ' || {fmt('trend_consistency', 2)} AS p_reason, acceleration,
-    (sma_20 - sma_50) / sma_50 AS bias, book.ltp, book.ltq, best_bid, best_ask, book.spp AS spread_pct, basic.atr, basic.close, basic.high, basic.low
+    (sma_20 - sma_50) / sma_50 AS bias, q.n AS n_bars, trajectory_status = 'ok' AS p_ok, basic.market_regime AS regime, book.ltp, book.ltq, best_bid, best_ask, book.spp AS spread_pct, basic.atr, basic.close, basic.high, basic.low
   FROM book JOIN basic ON basic.symbol = book.symbol JOIN q ON q.symbol = book.symbol JOIN traj ON traj.symbol = book.symbol),
 comp2 AS (SELECT *, least(1.0, abs(p_score) + abs(acceleration)) AS p_conf FROM comp)"""
 
@@ -311,6 +311,46 @@ SELECT symbol, direction, {rs('confidence', 'score', 'entry_price', 'stop_loss',
   persistence_reason FROM d4"""
 
 
+# every closed minute bar ends a frame of its symbol's last 250 bars, quoted from its last bar
+FRAMES = MINUTES + """, closed AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM minutes WHERE ts + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks)),
+src AS (
+  SELECT e.symbol || chr(1) || epoch_us(e.ts) AS symbol, b.ts, b.open, b.high, b.low, b.close, b.volume
+  FROM closed e JOIN closed b ON b.symbol = e.symbol AND b.k BETWEEN e.k - 249 AND e.k)"""
+FRAME_QUOTES = """trades AS (SELECT symbol, ts, 0 AS seq, close AS ltp, volume AS ltq, 0 AS bid_size, 0 AS ask_size FROM src),
+quotes AS (
+  SELECT symbol, max(ts) AS ts, arg_max(close, ts) AS ltp, arg_max(volume, ts) AS ltq, arg_max(close, ts) AS best_bid, arg_max(close, ts) AS best_ask,
+    NULL::BIGINT AS tb, NULL::BIGINT AS ta, NULL::DOUBLE AS bv, NULL::DOUBLE AS av, NULL::BIGINT AS b1, NULL::BIGINT AS a1, 0 AS nb, 0 AS na,
+    NULL::DOUBLE AS isup, NULL::DOUBLE AS ires, NULL::DOUBLE AS ssup, NULL::DOUBLE AS sres
+  FROM src GROUP BY symbol HAVING arg_max(close, ts) > 0),
+""" + QUOTES[QUOTES.index("book0 AS ("):]
+
+
+def minute_cycles() -> str:
+    """One signal per symbol and closed minute, gated by the symbol's commitments before it."""
+    parts = [("p", 0.25), ("q", 0.2), ("t", 0.2), ("o", 0.15), ("r", 0.2)]
+
+    def sc(p):
+        return f"(CASE WHEN {p}_dir = 'SELL' AND {p}_score > 0 THEN -{p}_score ELSE {p}_score END)"
+
+    ss = " + ".join(f"{p}_weight * coalesce({sc(p)}, 0)" for p, _ in parts)
+    cs = " + ".join(f"{p}_weight * coalesce(CASE WHEN {p}_conf > 0 THEN {p}_conf ELSE abs({sc(p)}) END, 0)" for p, _ in parts)
+    weights = ", ".join(f"CASE WHEN {'p_ok' if p == 'p' else 'true'} THEN {w} ELSE 0.0 END AS {p}_weight" for p, w in parts)
+    return f"""WITH {components(FRAMES, FRAME_QUOTES)}, w0 AS (
+  SELECT * EXCLUDE (r_score, r_conf), {weights}, CASE WHEN n_bars >= 50 THEN r_score WHEN regime = 'TRENDING' THEN 0.6 WHEN regime = 'RANGING' THEN 0.2 ELSE 0.0 END AS r_score FROM comp2),
+w1 AS (SELECT *, least(1.0, r_score) AS r_conf, {" + ".join(f"{p}_weight" for p, _ in parts)} AS weight FROM w0),
+d0 AS (SELECT *, ({ss}) / weight AS score, ({cs}) / weight AS cs FROM w1),
+d1 AS (SELECT *, greatest(0.0, least(1.0, (cs * 0.6 + abs(score) * 0.4) * (1 + 0.15 * coalesce(bias, 0)))) AS confidence FROM d0),
+d2 AS (SELECT * EXCLUDE (symbol), split_part(symbol, chr(1), 1) AS symbol, make_timestamp(split_part(symbol, chr(1), 2)::BIGINT) AS bar_ts,
+  CASE WHEN confidence < 0.2 THEN 'HOLD' WHEN score >= 0.05 THEN 'BUY' WHEN score <= -0.05 THEN 'SELL' ELSE 'HOLD' END AS raw FROM d1),
+d3 AS (SELECT *, coalesce(last_value(CASE WHEN raw <> 'HOLD' AND confidence >= 0.6 THEN raw END IGNORE NULLS)
+  OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'HOLD') AS committed FROM d2)
+SELECT symbol, {ts("bar_ts", "updated_at")}, CASE WHEN raw <> committed AND confidence < 0.6 THEN 'HOLD' ELSE raw END AS direction,
+  {rs('confidence', 'score')}, {r('ltp', 'entry_price')},
+  CASE WHEN raw <> 'HOLD' AND raw <> committed AND confidence < 0.6 THEN 'Direction change gated by persistence rule (<0.60 confidence)'
+    WHEN raw = 'HOLD' AND confidence < 0.2 THEN 'Confidence dropped below actionable range' END AS persistence_reason FROM d3"""
+
+
 _INTRA = BARS + """, intraday AS (SELECT symbol, ts, open, high, low, close + 0.01 AS close, volume FROM bars WHERE ts >= TIMESTAMP '2000-06-01')"""
 _NAMES = "SELECT CASE WHEN p_size > 25 THEN p_name || ' & ' || p_type ELSE p_name END AS name, 'P' || p_partkey AS instrument_key FROM part"
 _DEDUP = _INTRA + """, ded AS (
@@ -453,6 +493,7 @@ SELECT symbol, {ts('ts0', 'ts')}, {rs('open', 'high', 'low', 'close')}, volume F
     "indicator_record": record_query(series(CALM), "ser WHERE rn = 1"),
     "indicator_record_wilder": record_query(wilder(), "wil WHERE rn = 1"),
     "recent_bars_whole": f"WITH {BARS} SELECT {_BAR_COLS}, row_number() OVER (PARTITION BY symbol ORDER BY bars.ts DESC) AS rn FROM bars",
+    "indicator_append": f"WITH {series(CALM, 1_000_000)} SELECT symbol, {ts('ts', 'ts')}, {rs('rsi', 'macd', 'macd_signal', 'sma_5', 'sma_20', 'volume_ratio')}, rn FROM ser WHERE rn <= 100",
     "whole_means": series_query("sma_20", "ema_5", "ema_20", n=1_000_000),
     "whole_macd": series_query("macd", "macd_signal", n=1_000_000),
     "whole_adx": series_query("rsi", "adx", n=1_000_000),
@@ -547,6 +588,7 @@ FROM (SELECT 'S' || s_suppkey AS symbol FROM supplier) s LEFT JOIN cs ON cs.symb
     "stream_ohlcv_1m": _CLOSED,
     "stream_late_data": _CLOSED,
     "stream_latest_quotes": f"WITH {TICKS} SELECT symbol, {r('arg_max(ltp, ts)', 'ltp')}, arg_max(ltq, ts) AS ltq, {ts('max(ts)', 'last_update')}, count(*) AS tick_count FROM ticks GROUP BY symbol",
+    "stream_signals": minute_cycles(),
     "stream_persistence": sig("symbol, seq, direction, persistence_reason"),
     "stream_dedup": f"WITH {TICKS} SELECT symbol, {ts('ts', 'ts')}, {r('ltp', 'ltp')}, ltq FROM ticks",
 }
