@@ -129,10 +129,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Machi
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    labelled = whole_texts(docs).select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
+    # at most `most` pairs of numbers; without the hint all texts would be shuffled to meet them
+    labelled = whole_texts(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = [terms((t or "").encode()).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "slots"])
 
@@ -168,7 +169,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = pickle.loads(sent.value).score
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = [score((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64())], schema=SCORED)
 
