@@ -16,8 +16,9 @@ bytes: the anchor's key. The steps:
 Counts and joins combine or split hot keys; no task holds more than a bounded part of a key.
 
 Other lengths than `LENGTH` go through `Reach`. `over_words` besides removes repeated passages of more than so many words,
-however few bytes they have: byte strings of the shortest such passage are sorted as above, and inside the runs that
-they cover each passage of one word more is counted, from the start of its first word to the end of its last.
+however few bytes they have: parts of texts whose word fingerprints repeat are cut out, byte strings of the shortest such
+passage are sorted in them as above, and inside the runs that they cover each passage of one word more is counted, from
+the start of its first word to the end of its last.
 
 Defined cases: a null or empty text has no bytes and loses none; texts of any length are read whole. A repeated row
 counts as another place, so equal rows lose everything they repeat. Empty tables give empty results; other columns are
@@ -38,8 +39,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ROW, mix64, one_of_equal, row_keys, shuffle_parts, small_batches, stored, table
+from barweave.llm.common import ROW, fold_bytes, mix64, one_of_equal, row_keys, shuffle_parts, small_batches, stored, table, word_hashes, word_spans
 from barweave.llm.suffix_sort import deep_shallow_sort
+from barweave.llm.winnowing import winnow
 
 LENGTH = 400
 GRAM = 32
@@ -310,25 +312,64 @@ def passages_of(text: bytes, spans: list[dict], words: int) -> dict[tuple[int, i
     return found
 
 
+def passage_segments(rows: DataFrame, words: int) -> DataFrame:
+    """row1, row2, text, source1 and base of every part of a text that may hold a repeated passage of so many words.
+
+    Equal passages choose the same fingerprint among their words, so a part whose fingerprints occur once holds none.
+    """
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            parts = []
+            for row1, row2, text in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text")), strict=True):
+                place, least = winnow(word_hashes(text)[0], words)
+                if not len(place):
+                    continue
+                start, end = word_spans(fold_bytes(text))
+                run = np.flatnonzero(np.append(True, np.diff(place) != 0))  # windows in a row with one fingerprint
+                last = np.append(run[1:], len(place)) - 1
+                parts.append((np.full(len(run), row1), np.full(len(run), row2), least[run].view(np.int64), start[run], end[last + words - 1]))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row1", "row2", "fp", "first", "last"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            out = []
+            for row1, row2, text, ranges in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "spans")), strict=True):
+                for first, last in merged(ranges):
+                    name = xxhash.xxh3_64_intdigest(struct.pack("<qq", row1, first)) - (1 << 63)
+                    out.append((name, row2, text[first:last], row1, first))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "text", "source1", "base"])
+
+    found = stored(rows.select(*ROW, "text").mapInArrow(spots, "row1 long, row2 long, fp long, first long, last long"), "spots")
+    often = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    ranges = found.join(often, "fp", "left_semi").groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
+    texts = rows.select(*ROW, "text").join(ranges, ROW)
+    return stored(texts.mapInArrow(cut, "row1 long, row2 long, text binary, source1 long, base long"), "segments")
+
+
 def repeated_passages(rows: DataFrame, over_words: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(row1, row2, first, last) of the passages of more than `over_words` words that occur more than once."""
     words = over_words + 1
-    spans = repeated_spans(rows, hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
+    segments = passage_segments(rows, words)
+    spans = repeated_spans(segments.select(*ROW, "text"), hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = []
-            for row1, row2, text, ranges in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "spans")), strict=True):
+            for row1, row2, base, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("source1", "row2", "base", "text", "spans")), strict=True):
                 for name, entry in passages_of(text, ranges, words).items():
-                    ends = [{"first": a, "last": b} for a, b in zip(entry[1::2], entry[2::2], strict=True)]
+                    ends = [{"first": base + a, "last": base + b} for a, b in zip(entry[1::2], entry[2::2], strict=True)]
                     out.append((row1, row2, *name, entry[0], ends))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(),) * 5 + (SPANS,)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "h1", "h2", "n", "ranges"])
 
     schema = "row1 long, row2 long, h1 long, h2 long, n long, ranges array<struct<first: long, last: long>>"
-    found = stored(rows.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, schema), "passages")
+    found = stored(segments.join(spans, ROW).mapInArrow(run, schema), "passages")
     often = found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     return found.join(often, ["h1", "h2"], "left_semi").select(*ROW, F.inline("ranges"))
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from test_llm_whole import without_passages
 from barweave.llm import exact, jaccard, suffix, toxicity
 from barweave.llm.common import stored
 from barweave.llm.components import components
@@ -187,7 +188,7 @@ def test_pipeline_equals_plain_stages(spark):
         largest[key] = max(largest.get(key, -1), doc_id)
     rows = [(i, t) for i, t in rows if largest[t.translate(brute.LOWER)] == i]
     stay = {i for i, first, _ in brute.near_duplicates(rows) if i == first}
-    left = brute.without_repeats([(i, t.encode()) for i, t in rows if i in stay])
+    left = without_passages([(i, t.encode()) for i, t in rows if i in stay], corpus_pipeline.OVER_WORDS)
     got = corpus_pipeline.run(spark, SF).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
     assert {r.doc_id for r in got} == {i for i, *_ in left}
