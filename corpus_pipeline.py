@@ -16,8 +16,8 @@ from barweave.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
-# 50 also cuts repeated passages of more than 50 words that are shorter than suffix.LENGTH bytes; None leaves them
-OVER_WORDS: int | None = None
+# repeated passages of more words than this are cut, also where they have fewer bytes than suffix.LENGTH; None leaves those
+OVER_WORDS: int | None = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
