@@ -29,6 +29,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands in expressions: names may hold dots, spaces and backquotes."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 ROW = ["row1", "row2"]
 
 

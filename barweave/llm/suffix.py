@@ -38,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barweave.llm.common import ROW, fold_bytes, mix64, one_of_equal, row_keys, shuffle_parts, small_batches, stored, table, word_hashes, word_spans
+from barweave.llm.common import ROW, fold_bytes, mix64, one_of_equal, quoted, row_keys, shuffle_parts, small_batches, stored, table, word_hashes, word_spans
 from barweave.llm.suffix_sort import deep_shallow_sort
 from barweave.llm.winnowing import winnow
 
@@ -398,14 +399,14 @@ def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, length: in
     Removed are repeated strings of `length` bytes and, if given, repeated passages of more than `over_words` words.
     `other` is a struct of the columns besides doc_id and text.
     """
-    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
     other = F.struct(*rest) if rest else F.lit(None).cast("boolean")
     rows = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), other.alias("other"))
     spans = repeated_spans(rows, hot_contexts, Reach(length))
     if over_words is not None:
         spans = spans.unionByName(repeated_passages(rows, over_words, hot_contexts))
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
-    schema = f"doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary, other {rows.schema['other'].dataType.simpleString()}"
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary").add(rows.schema["other"])
     return rows.join(spans, ROW, "left").mapInArrow(_remove, schema)
 
 
@@ -418,7 +419,7 @@ def cleaned_documents(docs: DataFrame, over_words: int | None = None) -> DataFra
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("other")], names=["doc_id", "text", "other"])
 
     cut = remove_repeats(docs, over_words=over_words).select("doc_id", "kept", "other")
-    plain = cut.mapInArrow(run, f"doc_id long, text string, other {cut.schema['other'].dataType.simpleString()}")
+    plain = cut.mapInArrow(run, T.StructType.fromDDL("doc_id long, text string").add(cut.schema["other"]))
     names = {"doc_id": "doc_id", "text": "text"}
     return plain.select(*(F.col(names[c]) if c in names else F.col("other").getField(c).alias(c) for c in docs.columns))
 

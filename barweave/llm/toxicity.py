@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,9 +184,12 @@ def clean_documents(docs: DataFrame, machine: Machine, cutoff: float = CUTOFF) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = pickle.loads(sent.value).score
         for batch in small_batches(batches):
-            yield batch.filter(pa.array([score((t or "").encode()) < cutoff for t in batch.column("text").to_pylist()], pa.bool_()))
+            texts = pc.struct_field(batch.column(0), "text").to_pylist()
+            yield batch.filter(pa.array([score((t or "").encode()) < cutoff for t in texts], pa.bool_()))
 
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    # rows go as one struct: its fields may have any names
+    rows = whole_texts(docs).select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

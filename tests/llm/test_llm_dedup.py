@@ -200,6 +200,17 @@ def test_pipeline_equals_plain_stages(spark):
     assert [sizes[i] for i, *_ in left] == [len(ids) // 4 + 1 for ids in tokenizer.encode(texts)]
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["doc_id", "text", "n_chars", "a b", "a.b", "n-chars", "x`y", "other", "row"]
+    docs = spark.createDataFrame([(i, f"{i} " + "one two three " * 40, 1, i, i + 1, i + 2, i + 3, i + 4, None) for i in range(4)], "doc_id long, text string, n_chars long, c long, d long, e long, f long, g long, h string").toDF(*names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == names, name
+        rows = got.collect()
+        assert rows and all([*r[3:8]] == list(range(r[0], r[0] + 5)) for r in rows), name
+
+
 def test_pipeline_takes_odd_rows(spark, tmp_path):
     rows = [(1, None, None, None, None, 1), (None, "", "en", "s", 0, 2), (3, "a b c d e", "en", "s", 9, 3), (3, "a b c d e", "en", "s", 9, 3), (4, "w " * 5000, None, "s", 1, 4)]
     columns = "doc_id long, text string, lang string, source string, n_chars long, piece int"
