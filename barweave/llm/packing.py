@@ -13,6 +13,7 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -31,8 +32,11 @@ from barweave.llm.common import small_batches, stored, table, whole_texts
 CAPACITY = 4096
 END_ID = 1
 RANK_PARTS = 64
+PART_ROWS = 100_000  # pieces of one length that a task orders, about
 CACHED_WORDS = 300_000
 CHUNK_CHARS = 2_000_000
+JOINED_WORDS = 4096
+WORD_END = "</w>"  # fixed value: how the vocabulary file marks the last token of a word
 # fixed value: the pattern by which the vocabulary file splits a normalized text
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 # the same words for texts of ASCII and Latin letters, which the standard library finds faster
@@ -62,6 +66,9 @@ class WordTokenizer:
         self.find_latin = re.compile(LATIN_PATTERN).findall
         self.beyond_latin = re.compile(rf"[^\x00-\x1b\x20-\x7f{LATIN}]").search
         self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _find_words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).lower()
@@ -70,6 +77,18 @@ class WordTokenizer:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word: many words go as one text, whose ids are split behind each token that ends a word."""
+        for first in range(0, len(words), JOINED_WORDS):
+            part = words[first : first + JOINED_WORDS]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+            if len(ends) != len(part) or ends[-1] != ids.nbytes:  # a character that the file splits otherwise
+                yield from self._direct(part)
+                continue
+            packed, bounds = ids.tobytes(), [0, *ends.tolist()]
+            yield from (packed[a:b] for a, b in itertools.pairwise(bounds))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         done = 0
@@ -82,11 +101,11 @@ class WordTokenizer:
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
         split = [None if "<|" in t or "Σ" in t else self._find_words(t) for t in texts]
-        missing = list({w for words in split if words for w in words} - self.words.keys())
+        occurring: set[str] = set().union(*filter(None, split))
+        missing = [w for w in occurring if w not in self.words]
         if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words = {}
-            missing = list({w for words in split if words for w in words})
-        self.words.update(zip(missing, self._direct(missing), strict=True))
+            self.words, missing = {}, list(occurring)
+        self.words.update(zip(missing, self._encode_words(missing), strict=True))
         for text, words in zip(texts, split, strict=True):
             yield self._direct([text])[0] if words is None else b"".join(map(self.words.__getitem__, words))
 
@@ -187,7 +206,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if len(runs) <= BROADCAST_RUNS:
         plan = F.broadcast(plan)
     fits = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("pieces"))
-    return with_ranks(cut).join(plan, "length").where(fits).select(
+    parts = max(RANK_PARTS, -(-max(counts.values(), default=0) // PART_ROWS))
+    return with_ranks(cut, parts).join(plan, "length").where(fits).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.floor(slot / F.col("each"))).alias("sequence_id"),
         (F.col("offset0") + (slot % F.col("each")) * F.col("length")).alias("offset"),
     )

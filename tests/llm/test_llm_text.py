@@ -100,6 +100,29 @@ def test_word_tokenizer_equals_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == w.ids, text
 
 
+def test_unseen_words_go_as_one_text(monkeypatch):
+    cached = packing.WordTokenizer(WORD_FILE)
+    words = ["''", "s", "'s", "~'", "abc", "7", "\u00e9", "\u4e2d\u6587", "unbelievableness"] * 3
+    wanted = [np.frombuffer(w, "<u4").tolist() for w in cached._direct(words)]
+    for joined in (1, 4, 4096):
+        monkeypatch.setattr(packing, "JOINED_WORDS", joined)
+        assert [np.frombuffer(w, "<u4").tolist() for w in cached._encode_words(words)] == wanted
+    odd = ["a b", "c"]  # not a word of the file: the count of word ends tells
+    assert list(cached._encode_words(odd)) == cached._direct(odd)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)  # forgets between texts
+    texts = odd_texts(400, "<|startoftext|>")
+    assert [np.frombuffer(i, "<u4").tolist() for i in cached.encode(texts)] == [e.ids for e in cached.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ranks_of_a_frequent_length_take_more_parts(spark, monkeypatch):
+    cut = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(8).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    seen, ranks = [], packing.with_ranks
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
+    monkeypatch.setattr(packing, "with_ranks", lambda cut, parts: seen.append(parts) or ranks(cut, parts))
+    places = [(r.sequence_id, r.offset) for r in packing.pack(cut, 16).collect()]
+    assert seen == [167] and sorted(places) == [(i, o) for i in range(250) for o in (0, 8)]
+
+
 def test_plan_is_best_fit_decreasing():
     random.seed(2)
     for _ in range(150):
