@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barweave import params, schemas
 from barweave.functions.scalar import clean_name
 from barweave.functions.topn import latest_n
-
-MONTH = "yyyyMM"
+from barweave.sources.keyed_log import VERSION
+from barweave.sources.monthly_log import MONTH, MonthlyLog
 
 
 def read_instruments(spark: SparkSession, path: str) -> DataFrame:
@@ -112,20 +112,18 @@ def upsert_bars(existing: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "ts").agg(*[F.max_by(f, "_load").alias(f) for f in fields])
 
 
-def store_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Upsert into the stored table, rewriting only the months the new bars touch.
+def store_bars(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """Upsert into a stored log of bars: the load is added, later loads win when the log is read.
 
-    The touched months are matched by a semi join on the partition column, so that
-    partition pruning at run time skips the other months.
+    Nothing that is stored is touched, so a job that fails while writing or committing
+    loses no bar. Returns the number of the load; see ``MonthlyLog.compact``.
     """
-    new = new.select(*[f.name for f in schemas.BAR.fields])
-    months = new.select(F.date_format("ts", MONTH).alias("month")).distinct()
-    stored = (
-        spark.read.parquet(path)
-        .join(months, "month", "left_semi")
-        .select(*[f.name for f in schemas.BAR.fields])
-    )
-    write_bars(upsert_bars(stored, new), path)
+    return MonthlyLog(spark, path).append(new)
+
+
+def read_stored_bars(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """Time range of a stored log of bars; months outside the range are pruned."""
+    return MonthlyLog(spark, path).read(None, start, end).drop(VERSION)
 
 
 def append_signal_history(signals: DataFrame, path: str, batch: str) -> None:

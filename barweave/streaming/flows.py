@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from barweave import params
+from barweave.functions.scalar import order_key
 from barweave.operators import bars as b, orderbook, unified
 from barweave.operators.serving import latest_quotes
 from barweave.plans import cycle
 from barweave.session import shared_dir
-from barweave.sources.keyed_log import KeyedLog, newest_rows
+from barweave.sources.keyed_log import VERSION, KeyedLog, newest_rows
+from barweave.sources.monthly_log import MonthlyLog
 
 C = F.col
 
@@ -32,15 +34,80 @@ def read_stream(
     return reader.parquet(path)
 
 
-def stream_bars(ticks: DataFrame, width: str = "1 minute", delay: str = "0 seconds") -> DataFrame:
+def stream_bars(ticks: DataFrame, width: str = "1 minute", *, delay: str) -> DataFrame:
     """Bars of closed windows: a window closes when a tick ``delay`` past its end arrives.
 
-    Later ticks of a closed window are dropped by the watermark. The tick that closes
-    a window counts in the next one.
+    Later ticks of a closed window are dropped by the watermark; ``run_corrected_bars`` counts
+    them and corrects their bars. The tick that closes a window counts in the next one.
     """
     return b.ohlcv_bars(ticks.withWatermark("ts", delay), width)
 
 
+PART_BAR = (
+    "symbol string, ts timestamp, open double, high double, low double, close double, volume bigint, tick_count bigint, "
+    "first_tick_time timestamp, last_tick_time timestamp, first_order decimal(38,0), last_order decimal(38,0), end_time timestamp"
+)
+LATE_LOG = "ticks bigint, late_ticks bigint, late_bars bigint, newest timestamp"
+
+
+def part_bars(ticks: DataFrame, width: str) -> DataFrame:
+    """What some ticks add to their bars, in a form that ``merge_parts`` joins in any cut and order."""
+    order = order_key(C("ts"), C("seq"))
+    bars = ticks.groupBy("symbol", F.window("ts", width).alias("w")).agg(
+        F.min_by("ltp", order).alias("open"), F.max("ltp").alias("high"), F.min("ltp").alias("low"), F.max_by("ltp", order).alias("close"),
+        F.sum("ltq").alias("volume"), F.count("*").alias("tick_count"), F.min("ts").alias("first_tick_time"), F.max("ts").alias("last_tick_time"),
+        F.min(order).alias("first_order"), F.max(order).alias("last_order"),
+    )
+    return bars.select(C("w.start").alias("ts"), C("w.end").alias("end_time"), "*").drop("w")
+
+
+def merge_parts(rows: DataFrame) -> DataFrame:
+    """One row per bar; buffers of fixed width keep the aggregation hash-based."""
+    return rows.groupBy("symbol", "ts").agg(
+        F.min_by("open", "first_order").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "last_order").alias("close"), F.sum("volume").alias("volume"), F.sum("tick_count").alias("tick_count"),
+        F.min("first_tick_time").alias("first_tick_time"), F.max("last_tick_time").alias("last_tick_time"),
+        F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"), F.max("end_time").alias("end_time"),
+        F.max(VERSION).alias(VERSION),
+    )
+
+
+def run_corrected_bars(
+    spark: SparkSession, ticks: DataFrame, width: str = "1 minute", *, delay: str, base: str | None = None,
+    trigger: dict | None = None, checkpoint: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Bars that late ticks correct, and per batch how many ticks came late.
+
+    A batch adds the parts of the bars that it touched to a log by month; a reader merges the
+    parts of a bar, so a tick may come at any time and costs one row. Nothing is kept in
+    memory between batches. Late is a tick of a window that ``stream_bars`` with this ``delay``
+    has closed: the window ended at least ``delay`` before the newest tick of earlier batches.
+    Ticks without a time belong to no bar and are not counted.
+    """
+    base = base or shared_dir(spark, "corrected")
+    parts, counts = MonthlyLog(spark, f"{base}/parts", PART_BAR, merge_parts), KeyedLog(spark, f"{base}/late", LATE_LOG)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        added = part_bars(batch, width).persist()
+        parts.write(added, batch_id)
+        closed = C("end_time") <= F.lit(counts.read(batch_id).agg(F.max("newest")).first()[0]).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        counts.write(
+            added.agg(
+                F.coalesce(F.sum("tick_count"), F.lit(0)).alias("ticks"), F.coalesce(F.sum(F.when(closed, C("tick_count"))), F.lit(0)).alias("late_ticks"),
+                F.count_if(closed).alias("late_bars"), F.max("last_tick_time").alias("newest"),
+            ),
+            batch_id,
+        )
+        added.unpersist()
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            parts.compact(batch_id)
+            counts.compact(batch_id, lambda rows: rows)
+
+    run_batches(spark, ticks, handle, "corrected", trigger=trigger, checkpoint=checkpoint)
+    bars = parts.read().drop("first_order", "last_order", "end_time", VERSION)
+    return bars, counts.read(1 << 62).withColumnRenamed(VERSION, "batch")
+
+
 def stream_dedup(
     ticks: DataFrame, keys: tuple[str, ...] = ("symbol", "ts", "ltp", "ltq"), delay: str = "10 minutes"
 ) -> DataFrame:
@@ -232,5 +299,5 @@ def run_signal_cycles(
         decided.unpersist()
         bars.unpersist()
 
-    run_batches(spark, stream_bars(ticks, width, delay), handle, "signals", trigger=trigger, checkpoint=checkpoint)
+    run_batches(spark, stream_bars(ticks, width, delay=delay), handle, "signals", trigger=trigger, checkpoint=checkpoint)
     return spark.read.parquet(out).drop("batch")

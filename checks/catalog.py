@@ -19,6 +19,7 @@ from barweave.operators.quantiles import percentiles
 from barweave.plans import cycle
 from barweave.session import shared_dir
 from barweave.sources import feed, files, market_tables as m
+from barweave.sources.monthly_log import MonthlyLog, month_of
 from barweave.streaming import flows
 
 C = F.col
@@ -141,9 +142,21 @@ def upsert_bars(s, d):
 
 def store_bars(s, d):
     path = shared_dir(s, "store")
-    files.write_bars(bars_of(s, d), path)
+    files.store_bars(s, path, bars_of(s, d))
     files.store_bars(s, path, new_bars(s, d))
-    return flat(files.read_bars(s, path))
+    return flat(files.read_stored_bars(s, path))
+
+
+def compacted_bars(s, d):
+    """Three loads, two compactions, and a load that a stopped job left incomplete."""
+    path = shared_dir(s, "compacted")
+    log = MonthlyLog(s, path)
+    log.append(bars_of(s, d))
+    log.compact(log.append(new_bars(s, d).withColumn("close", C("close") + 1)))
+    log.compact(log.append(new_bars(s, d)))
+    bars_of(s, d).withColumns({"close": C("close") + 9, "version": F.lit(7), "month": month_of()}).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy("month").parquet(f"{path}/version=7")
+    return flat(files.read_stored_bars(s, path, "1999-01-01 00:00:00", "2001-06-30 00:00:00"))
 
 
 def intraday(s, d):
@@ -842,7 +855,7 @@ def stream_ticks(s, d) -> DataFrame:
 
 
 def stream_ohlcv_1m(s, d):
-    return flat(flows.run_to_table(s, flows.stream_bars(stream_ticks(s, d)), "stream-bars"))
+    return flat(flows.run_to_table(s, flows.stream_bars(stream_ticks(s, d), delay="0 seconds"), "stream-bars"))
 
 
 def stream_late_data(s, d):
@@ -852,11 +865,30 @@ def stream_late_data(s, d):
     late = on_time.where(C("ts") < F.lit("2024-01-10").cast("timestamp")).withColumn("ltp", C("ltp") + 1000)
     for part in (on_time, late):
         part.write.mode("append").parquet(src)
-        bars = flows.stream_bars(flows.read_stream(s, src, on_time.schema))
+        bars = flows.stream_bars(flows.read_stream(s, src, on_time.schema), delay="0 seconds")
         table = flows.run_to_table(s, bars, "late", out, checkpoint)
     return flat(table)
 
 
+def corrected(s, d) -> tuple[DataFrame, DataFrame]:
+    """All ticks but every fifth, then those and the first days once more at other prices."""
+    src, base, checkpoint = (shared_dir(s, f"corrected-{n}") for n in ("in", "out", "state"))
+    ticks = m.ticks(s, d)
+    again = ticks.where(C("ts") < F.lit("2024-01-10").cast("timestamp")).withColumns({"ltp": C("ltp") + 1000, "seq": C("seq") + 10_000_000_000})
+    for part in (ticks.where("seq % 5 <> 0"), ticks.where("seq % 5 = 0").unionByName(again)):
+        part.write.mode("append").parquet(src)
+        found = flows.run_corrected_bars(s, flows.read_stream(s, src, ticks.schema), delay="30 seconds", base=base, checkpoint=checkpoint)
+    return found
+
+
+def stream_corrected_bars(s, d):
+    return flat(corrected(s, d)[0])
+
+
+def stream_late_ticks(s, d):
+    return flat(corrected(s, d)[1])
+
+
 def stream_latest_quotes(s, d):
     quotes = stream_ticks(s, d).select("symbol", "ts", "seq", "ltp", "ltq")
     return flat(flows.run_latest_quotes(s, quotes))
@@ -1021,6 +1053,7 @@ QUERIES = {
     "explode_feed": explode_feed,
     "upsert_bars": upsert_bars,
     "store_bars": store_bars,
+    "compacted_bars": compacted_bars,
     "bar_metadata": bar_metadata,
     "append_signal_history": append_signal_history,
     "signal_payload": signal_payload,
@@ -1184,6 +1217,8 @@ QUERIES = {
     # streams
     "stream_ohlcv_1m": stream_ohlcv_1m,
     "stream_late_data": stream_late_data,
+    "stream_corrected_bars": stream_corrected_bars,
+    "stream_late_ticks": stream_late_ticks,
     "latest_quotes": latest_quotes,
     "stream_latest_quotes": stream_latest_quotes,
     "stream_signals": stream_signals,

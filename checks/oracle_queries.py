@@ -376,6 +376,8 @@ def resample_query(width_min: int) -> str:
 
 _MINUTE_SEL = f"""symbol, {ts('ts', 'ts')}, {rs('open', 'high', 'low', 'close')}, volume, tick_count, {ts('first_tick_time', 'first_tick_time')}, {ts('last_tick_time', 'last_tick_time')}"""
 _CLOSED = f"WITH {MINUTES} SELECT {_MINUTE_SEL} FROM minutes WHERE ts + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks)"
+_TWICE = MINUTES.replace("ticks AS (", "once AS (", 1).replace(", minutes AS (", """, ticks AS (
+  SELECT * FROM once UNION ALL SELECT symbol, ts, seq + 10000000000, ltp + 1000, ltq, event_type FROM once WHERE ts < TIMESTAMP '2024-01-10'), minutes AS (""")
 _UP_NEW = BARS + """, new AS (SELECT symbol, ts, open, high, low, close + 1 AS close, volume FROM bars WHERE ts >= TIMESTAMP '2001-01-01'),
 up AS (SELECT * FROM new UNION ALL SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts < TIMESTAMP '2001-01-01')"""
 
@@ -405,6 +407,7 @@ SELECT symbol, {ts('ts', 'ts')}, {r('p', 'open')}, {r("CAST(printf('%.2f', c + 1
     "explode_feed": f"WITH {FEED} SELECT instrument_key, {ts('ts', 'ts')}, {r('ltp', 'ltp')}, ltq, CAST(len(lv) AS BIGINT) AS n_levels FROM feed",
     "upsert_bars": f"WITH {_UP_NEW} SELECT symbol, {ts('ts', 'ts')}, f AS field, {r('v', 'value')} FROM (" + " UNION ALL ".join(f"SELECT symbol, ts, '{f}' AS f, CAST({f} AS DOUBLE) AS v FROM up" for f in ("open", "high", "low", "close", "volume")) + ")",
     "store_bars": f"WITH {_UP_NEW} SELECT {_BAR_COLS} FROM up",
+    "compacted_bars": f"WITH {_UP_NEW} SELECT {_BAR_COLS} FROM up WHERE ts BETWEEN TIMESTAMP '1999-01-01' AND TIMESTAMP '2001-06-30'",
     "bar_metadata": f"WITH {_LOADED} SELECT symbol, count(*) AS candles_count, {ts('min(ts)', 'oldest_time')}, {ts('max(ts)', 'newest_time')}, "
     + joined("CASE WHEN bool_or(source = 'intraday') THEN 'intraday' END", "CASE WHEN bool_or(source = 'historical') THEN 'historical' END") + " AS strategies FROM kept GROUP BY symbol",
     "append_signal_history": f"WITH {UNIFIED} SELECT symbol, {ts('ts', 'updated_at')}, seq, direction, {r('confidence', 'confidence')}, {big('rn', 'rn')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC, seq DESC) AS rn FROM sig) WHERE rn <= 20",
@@ -587,6 +590,12 @@ FROM (SELECT 'S' || s_suppkey AS symbol FROM supplier) s LEFT JOIN cs ON cs.symb
     "dedup_bars": f"WITH {_DEDUP} SELECT {_BAR_COLS}, {big('source_rank', 'source_rank')}, source FROM ded",
     "stream_ohlcv_1m": _CLOSED,
     "stream_late_data": _CLOSED,
+    "stream_corrected_bars": f"WITH {_TWICE} SELECT {_MINUTE_SEL} FROM minutes",
+    "stream_late_ticks": f"""WITH {TICKS}, cut AS (
+  SELECT *, CASE WHEN seq % 5 <> 0 THEN 0 ELSE 1 END AS batch FROM ticks UNION ALL SELECT *, 1 FROM ticks WHERE ts < TIMESTAMP '2024-01-10'),
+seen AS (SELECT *, batch = 1 AND date_trunc('minute', ts) + INTERVAL 90 SECOND <= (SELECT max(ts) FROM cut WHERE batch = 0) AS late FROM cut)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS ticks, count(*) FILTER (WHERE late) AS late_ticks,
+  count(DISTINCT (symbol, date_trunc('minute', ts))) FILTER (WHERE late) AS late_bars, {ts('max(ts)', 'newest')} FROM seen GROUP BY batch""",
     "stream_latest_quotes": f"WITH {TICKS} SELECT symbol, {r('arg_max(ltp, ts)', 'ltp')}, arg_max(ltq, ts) AS ltq, {ts('max(ts)', 'last_update')}, count(*) AS tick_count FROM ticks GROUP BY symbol",
     "stream_signals": minute_cycles(),
     "stream_persistence": sig("symbol, seq, direction, persistence_reason"),
