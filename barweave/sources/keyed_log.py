@@ -52,9 +52,7 @@ class KeyedLog:
 
     def newest(self, before: int, key: str) -> DataFrame:
         """The newest row of each key, where a version holds one row of a key at most."""
-        rows = self.read(before)
-        latest = rows.groupBy(key).agg(F.max(VERSION).alias(VERSION))
-        return rows.join(latest, [key, VERSION], "left_semi").drop(VERSION)
+        return newest_rows(key)(self.read(before)).drop(VERSION)
 
     def compact(self, version: int, kept: Callable[[DataFrame], DataFrame]) -> None:
         """Folds everything up to ``version`` into a base of the rows that ``kept`` leaves."""
@@ -71,10 +69,10 @@ class KeyedLog:
 
 
 def newest_rows(key: str) -> Callable[[DataFrame], DataFrame]:
-    """For ``compact``: the newest version's row of each key."""
+    """For ``compact``: the newest version's row of each key; rows without a key are one key."""
 
     def kept(rows: DataFrame) -> DataFrame:
-        latest = rows.groupBy(key).agg(F.max(VERSION).alias(VERSION))
-        return rows.join(latest, [key, VERSION], "left_semi")
+        latest = rows.groupBy(F.col(key).alias("_key")).agg(F.max(VERSION).alias("_newest"))
+        return rows.join(latest, F.col(key).eqNullSafe(F.col("_key")) & (F.col(VERSION) == F.col("_newest")), "left_semi")
 
     return kept

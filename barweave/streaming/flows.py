@@ -20,6 +20,8 @@ from barweave.sources.keyed_log import VERSION, KeyedLog, newest_rows
 from barweave.sources.monthly_log import MonthlyLog
 
 C = F.col
+COMPACT_EVERY = 60  # batches
+ALL_VERSIONS = 1 << 62
 
 
 def read_stream(
@@ -105,7 +107,7 @@ def run_corrected_bars(
 
     run_batches(spark, ticks, handle, "corrected", trigger=trigger, checkpoint=checkpoint)
     bars = parts.read().drop("first_order", "last_order", "end_time", VERSION)
-    return bars, counts.read(1 << 62).withColumnRenamed(VERSION, "batch")
+    return bars, counts.read(ALL_VERSIONS).withColumnRenamed(VERSION, "batch")
 
 
 def stream_dedup(
@@ -146,25 +148,24 @@ def run_batches(spark: SparkSession, stream: DataFrame, handle, label: str, mode
     return query
 
 
-def run_latest_quotes(spark: SparkSession, quotes: DataFrame, out: str | None = None) -> DataFrame:
+def run_latest_quotes(
+    spark: SparkSession, quotes: DataFrame, out: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
+) -> DataFrame:
     """Last quote per symbol, kept by streaming aggregation in update mode.
 
-    Each batch writes only the symbols it changed; the reader takes a symbol's row
-    from its newest batch.
+    Each batch writes only the symbols it changed to a log by symbol, which is folded to one
+    row a symbol every ``COMPACT_EVERY`` batches; the reader takes a symbol's newest row.
     """
-    out = out or shared_dir(spark, "quotes")
     latest = latest_quotes(quotes)
+    log = KeyedLog(spark, out or shared_dir(spark, "quotes"), latest.schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    run_batches(spark, latest, handle, "quotes", mode="update")
-    return newest_version(spark.read.parquet(out), "symbol")
-
+        log.write(batch, batch_id)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            log.compact(batch_id, newest_rows("symbol"))
 
-def newest_version(table: DataFrame, key: str, version: str = "batch") -> DataFrame:
-    fields = [c for c in table.columns if c not in (key, version)]
-    return table.groupBy(key).agg(*[F.max_by(c, version).alias(c) for c in fields])
+    run_batches(spark, latest, handle, "quotes", mode="update", trigger=trigger, checkpoint=checkpoint)
+    return log.newest(ALL_VERSIONS, "symbol")
 
 
 def _versioned(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -206,7 +207,6 @@ def run_persistence(
 
 BAR_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume")
 BAR_LOG = "symbol string, ts timestamp, open double, high double, low double, close double, volume bigint"
-COMPACT_EVERY = 60  # batches
 
 
 def bar_quotes(recent: DataFrame) -> DataFrame:

@@ -50,6 +50,17 @@ def test_latest_quotes_over_batches(spark, tmp_path):
     assert sorted(map(str, got.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
 
 
+def test_latest_quotes_are_compacted_and_keep_rows_without_symbol(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "COMPACT_EVERY", 1)
+    rows = m.ticks(spark, SF).select(F.when(F.col("symbol") != "U2", F.col("symbol")).alias("symbol"), "ts", "seq", "ltp", "ltq")
+    src = f"{tmp_path}/src"
+    list(in_parts(rows, src, BOUNDS))
+    got = flows.run_latest_quotes(spark, flows.read_stream(spark, src, rows.schema, files_per_batch=1), f"{tmp_path}/out")
+    wanted = sv.latest_quotes(rows)
+    assert sorted(map(str, got.select(wanted.columns).collect())) == sorted(map(str, wanted.collect()))
+    assert len(list((tmp_path / "out").glob("*=*"))) <= 4 and got.where("symbol is null").count() == 1
+
+
 def test_signals_do_not_depend_on_the_cut(spark, tmp_path):
     rows = m.ticks(spark, SF).where("symbol in ('U1', 'U2')").select("symbol", "ts", "seq", "ltp", "ltq")
     columns = ["symbol", "updated_at", "direction", "confidence", "score", "entry_price", "persistence_reason"]
