@@ -4,8 +4,10 @@ A text is cut into blocks of `BLOCK` words that overlap by half. A block holds a
 the template's distinct words are in it. Template words are ordered by how many documents hold them, rarest first; a
 block can reach the threshold only if it has a word of the template's prefix in this order (prefix filter), enough
 template words at all (length filter), and enough of them from the first common word on (positional filter). Pairs that
-pass are verified by counting the common words. Templates are a short fixed list; only counts of their words, one row
-per word, reach the driver.
+pass are verified by counting the common words and by the words that name the license, which must stand one after
+another in the block: notices that differ in the name alone share all other words. A notice of up to half a block and
+one word lies whole in some block. Templates are a short fixed list; only counts of their words, one row per word,
+reach the driver.
 
 Besides, given phrases are looked up word by word (base labels).
 
@@ -23,18 +25,23 @@ from pyspark.sql import functions as F
 from barweave.llm.common import SEPARATORS, lower_ascii, table
 
 PHRASES = {"mit": "mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+# label, words of the template, the words among them that name the license: a block must hold these one after another
 TEMPLATES = (
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache license"),
+    ("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used", "nor the names of its contributors"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    ("mit", "released under the mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", "this permission notice shall be included"),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
 THRESHOLD = 0.8
 BLOCK = 32
+IndexRow = tuple[str, str, list[str], int, int, str]
 
 
 def words_of(text: Column) -> Column:
@@ -64,31 +71,31 @@ def places(words: Column, phrase: str) -> Column:
 
 def word_order(worded: DataFrame, templates=TEMPLATES) -> list[str]:
     """The template words by the number of documents that hold them, rarest first; ties by the word."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()})
     held = worded.select(F.explode(F.array_intersect(F.col("words"), _strings(vocabulary))).alias("word"))
     counts = {r.word: r.n for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def prefix_index(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tuple[str, str, list[str], int, int]]:
-    """(prefix word, label, tokens, needed, place of the word among the tokens) for each template and prefix word."""
+def prefix_index(order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[IndexRow]:
+    """(prefix word, label, tokens, needed, place of the word among the tokens, name) for each template and prefix word."""
     rows = []
-    for label, text in templates:
+    for label, text, name in templates:
         tokens = sorted(set(text.split()), key=order.index)
         needed = math.ceil(threshold * len(tokens) - 1e-9)
-        rows += [(word, label, tokens, needed, at) for at, word in enumerate(tokens[: len(tokens) - needed + 1])]
+        rows += [(word, label, tokens, needed, at, name) for at, word in enumerate(tokens[: len(tokens) - needed + 1])]
     return rows
 
 
-def index_table(spark: SparkSession, index: list[tuple[str, str, list[str], int, int]]) -> DataFrame:
+def index_table(spark: SparkSession, index: list[IndexRow]) -> DataFrame:
     rows = [
-        F.struct(F.lit(word).alias("word"), F.lit(label).alias("label"), _strings(tokens).alias("tokens"), F.lit(needed).alias("needed"), F.lit(at).alias("at"))
-        for word, label, tokens, needed, at in index
+        F.struct(F.lit(word).alias("word"), F.lit(label).alias("label"), _strings(tokens).alias("tokens"), F.lit(needed).alias("needed"), F.lit(at).alias("at"), F.lit(name).alias("name"))
+        for word, label, tokens, needed, at, name in index
     ]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def block_matches(worded: DataFrame, order: list[str], index: list[tuple[str, str, list[str], int, int]], block: int = BLOCK) -> DataFrame:
+def block_matches(worded: DataFrame, order: list[str], index: list[IndexRow], block: int = BLOCK) -> DataFrame:
     """row_key, label, containment of every (block, template) that meets the threshold, of (row_key, words)."""
     words, half = F.col("words"), block // 2
     prefix_words = sorted({row[0] for row in index})
@@ -99,15 +106,19 @@ def block_matches(worded: DataFrame, order: list[str], index: list[tuple[str, st
     none = F.array().cast("array<int>")
     starts = F.when(F.arrays_overlap(words, _strings(prefix_words)), starts).otherwise(none)
     blocks = worded.select("row_key", "words", F.explode(starts).alias("block"))
-    ordered = F.array_intersect(_strings(order), F.slice(words, F.col("block") * half + 1, block))
-    blocks = blocks.select("row_key", "block", ordered.alias("held"))
-    pairs = blocks.select("row_key", "block", "held", F.posexplode("held").alias("q", "word")).join(
+    blocks = blocks.select("row_key", F.slice(words, F.col("block") * half + 1, block).alias("words"))
+    blocks = blocks.select("row_key", "words", F.array_intersect(_strings(order), "words").alias("held"))
+    pairs = blocks.select("row_key", "words", "held", F.posexplode("held").alias("q", "word")).join(
         F.broadcast(index_table(worded.sparkSession, index)), "word"
     )
     left = F.least(F.size("tokens") - F.col("at"), F.size("held") - F.col("q"))
     pairs = pairs.where((F.size("held") >= F.col("needed")) & (left >= F.col("needed")))
     common = F.size(F.array_intersect("held", "tokens"))
-    return pairs.where(common >= F.col("needed")).select("row_key", "label", (common / F.size("tokens")).alias("containment"))
+    # words hold no blanks, so the joined block holds the name between blanks where its words follow each other
+    spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    named = F.contains(spaced, F.concat(F.lit(" "), "name", F.lit(" ")))
+    pairs = pairs.where(common >= F.col("needed")).where(named)
+    return pairs.select("row_key", "label", (common / F.size("tokens")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -142,12 +153,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     phrases = ", ".join(f"('{label}', {phrase.split()!r})" for label, phrase in PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(text.split()))!r}, '{name}')" for label, text, name in TEMPLATES)
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
-), phrases(label, parts) AS (VALUES {phrases}), templates(label, tokens) AS (VALUES {templates}),
+), phrases(label, parts) AS (VALUES {phrases}), templates(label, tokens, name) AS (VALUES {templates}),
 spots AS (
   SELECT row_id, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(parts)] = parts)) AS spot
   FROM d JOIN phrases ON list_has_all(words, parts)
@@ -158,6 +169,7 @@ spots AS (
   FROM (SELECT row_id, words, unnest(range(len(words) // {BLOCK // 2} + 1)) AS k FROM d)
 ), matches AS (
   SELECT row_id, label, len(list_intersect(list_distinct(block), tokens)) / len(tokens) AS containment FROM blocks, templates
+  WHERE contains(' ' || array_to_string(block, ' ') || ' ', ' ' || name || ' ')
 ), matched AS (
   SELECT row_id, list(DISTINCT label) AS matched, max(containment) AS containment FROM matches WHERE containment >= {THRESHOLD} GROUP BY row_id
 )
