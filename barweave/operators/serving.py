@@ -66,22 +66,42 @@ def live_symbols(quotes: DataFrame) -> DataFrame:
     )
 
 
-def latest_quotes(quotes: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Last quote and number of ticks of each key; batch and streaming (update mode).
+def _in_place(kind: T.DataType) -> bool:
+    """Values of fixed width, which an aggregation buffer can replace in place (hash aggregation)."""
+    return isinstance(kind, T.NumericType | T.DatetimeType | T.BooleanType)
 
-    Quotes of the same instant are ordered by ``seq`` where the feed brings it: exchange
-    times are whole seconds or milliseconds, so ties are normal.
+
+def latest_quotes(quotes: DataFrame, keys: tuple[str, ...] = ("symbol",), fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Last quote and number of ticks of each key, all fields or those named; batch and streaming (update mode).
+
+    Quotes of the same instant are ordered by ``seq`` where the feed brings it (exchange
+    times are whole seconds or milliseconds, so ties are normal), else by a hash of their
+    values: which row wins never depends on the layout of files. A key without any time has
+    no newest quote: its fields are NULL.
+
+    Fields of fixed width come from one hash aggregation. Where a text or an array is asked
+    for, the aggregation finds the newest order key only and a join on (key, order key)
+    fetches the row, so the feed is never sorted and a hot key spreads over its order keys.
     """
-    fields = [c for c in quotes.columns if c not in (*keys, "ts", "seq")]
-    order = order_key(C("ts"), C("seq")) if "seq" in quotes.columns else C("ts")
+    fields = list(fields or [c for c in quotes.columns if c not in (*keys, "ts", "seq")])
+    tie = C("seq") if "seq" in quotes.columns else F.xxhash64(*fields)
+    order = order_key(C("ts"), F.coalesce(tie, F.lit(0)))
     counted = [F.max("ts").alias("last_update"), F.count("*").alias("tick_count")]
-    if all(isinstance(quotes.schema[c].dataType, T.NumericType | T.DatetimeType) for c in fields):
-        # the same ordering picks the same row for every field, and buffers of fixed width
-        # keep the aggregation hash-based
+    if quotes.isStreaming or all(_in_place(quotes.schema[c].dataType) for c in fields):
+        # the same ordering picks the same row for every field
         newest = [F.max_by(c, order).alias(c) for c in fields]
         return quotes.groupBy(*keys).agg(*newest, *counted).select(*keys, *fields, "last_update", "tick_count")
-    newest = F.max_by(F.struct(*fields), order).alias("q")
-    return quotes.groupBy(*keys).agg(newest, *counted).select(*keys, "q.*", "last_update", "tick_count")
+    rows = quotes.withColumn("_order", order)
+    newest = rows.groupBy(*keys).agg(F.max("_order").alias("_newest"), *counted)
+    newest = newest.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = C("_order").eqNullSafe(C("_newest"))
+    for k in keys:
+        same &= C(k).eqNullSafe(C(f"_key_{k}"))
+    # few rows are left; repeated deliveries of the newest quote count once
+    wide = rows.join(newest, same).withColumn("_tie", F.xxhash64(*fields))
+    wide = latest_n(wide, list(keys), [C("_tie").desc()], 1)
+    shown = [F.when(C("_newest").isNotNull(), C(c)).alias(c) for c in fields]
+    return wide.select(*keys, *shown, "last_update", "tick_count")
 
 
 def price_tick_direction(prices: DataFrame, segment_rows: int = params.SEGMENT_ROWS) -> DataFrame:

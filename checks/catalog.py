@@ -297,7 +297,7 @@ def named_quotes(s, d):
 
 
 def live_symbols(s, d):
-    latest = sv.latest_quotes(named_quotes(s, d).drop("levels"), ("symbol", "instrument_key"))
+    latest = sv.latest_quotes(named_quotes(s, d), ("symbol", "instrument_key"), ("ltp",))
     return flat(sv.live_symbols(latest))
 
 
@@ -340,7 +340,7 @@ def latest_event_signals(s, d):
 
 
 def live_prices(s, d):
-    latest = sv.latest_quotes(feed.feed_quotes(market_feed(s, d)).drop("levels"), ("instrument_key",))
+    latest = sv.latest_quotes(feed.feed_quotes(market_feed(s, d)), ("instrument_key",), sv.PRICE_FIELDS)
     return flat(sv.live_prices(latest.withColumnRenamed("instrument_key", "symbol"), latest_event_signals(s, d)))
 
 

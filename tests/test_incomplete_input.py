@@ -65,6 +65,23 @@ def test_latest_quote_takes_the_last_message_of_an_instant(spark):
         assert sv.latest_quotes(df.withColumn("levels", F.array("ltp"))).collect()[0].levels == [2.0]
 
 
+def test_latest_quote_does_not_depend_on_the_order_of_rows(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("s", at, 2.0, "b"), ("s", at, 1.0, "a"), ("s", at, 3.0, "c"), ("s", at, 3.0, "c"), (None, at, 4.0, "d"), ("t", None, 5.0, "e"), ("t", None, 6.0, "f")]
+    seen = set()
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(given, "symbol string, ts timestamp, ltp double, venue string").coalesce(1)
+        for fields in (("ltp",), ("ltp", "venue")):
+            got = {r.symbol: r for r in sv.latest_quotes(df, fields=fields).collect()}
+            assert {k: r.tick_count for k, r in got.items()} == {"s": 4, None: 1, "t": 2}
+            assert got[None].ltp == 4.0 and got["t"].ltp is None and got["t"].last_update is None
+            seen.add((fields, got["s"].ltp))
+        assert (got["s"].ltp, got["s"].venue) in {(2.0, "b"), (1.0, "a"), (3.0, "c")}
+        plan = sv.latest_quotes(df)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+    assert len(seen) == 2  # one winner for each list of fields, whatever the order
+
+
 def test_candle_volumes_and_prices(spark):
     text = '[["2024-01-01T00:00:00Z",1,2,1,2,5.7],["2024-01-02T00:00:00Z",1,2,1,2,5.0],["2024-01-03T00:00:00Z","NaN",2,1,2,5],["2024-01-04T00:00:00Z",1,2,1,2,"x"]]'
     docs = spark.createDataFrame([("s", text)], "symbol string, candles string")
