@@ -1,4 +1,8 @@
-"""Connected components of an edge table by minimum labels with pointer jumping."""
+"""Connected components of an edge table by minimum labels with pointer jumping.
+
+Defined cases: edges with a null end and from a node to itself are left out, repeated edges count once, extra columns are
+ignored, no edges give no rows. Nodes may be of any ordered type.
+"""
 
 from __future__ import annotations
 

@@ -101,3 +101,24 @@ def test_stored_map_is_edited_not_dealt_anew(spark):
     # edits end early here: the heavy shard holds no slot that is small enough
     start, uneven = {0: 0, 1: 0, 2: 1, 3: 1}, {0: 9, 1: 8, 2: 6, 3: 5}
     assert sharding.rebalanced(start, uneven) == start and sharding.spread_of(sharding.evened(start, uneven, 2), uneven) == 0
+
+
+def test_stages_on_incomplete_rows(spark):
+    long = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, None), (2, ""), (3, long), (3, long), (4, long), (None, "only one of its kind"), (None, long), (5, "...")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `a b` string, `a.b` int"
+    docs = spark.createDataFrame([(*r, None, None, None, "x", 1) for r in rows], kinds)
+    empty = docs.limit(0)
+
+    def ids(df):
+        assert df.columns == docs.columns
+        return sorted((-1 if r.doc_id is None else r.doc_id for r in df.collect()))
+
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert ids(once) == [-1, 2, 4, 5]
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id is not null"), "")) == [1, 2, 3, 3, 5]
+    cut = corpus_pipeline.cut_repeats(spark, docs, "").collect()
+    assert sorted((r.text, r.n_chars) for r in cut) == sorted([("", 0)] * 6 + [("...", 3), ("only one of its kind", 20)])
+    assert len(corpus_pipeline.pack(spark, docs, "").collect()) == len(rows)
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
+        assert ids(stage(spark, empty, "")) == []
