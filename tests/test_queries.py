@@ -17,7 +17,7 @@ SAMPLE = (
 
 def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"stream_signals"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
