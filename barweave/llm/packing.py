@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 RANK_PARTS = 64
 PART_ROWS = 100_000  # pieces of one length that a task orders, about
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CHUNK_CHARS = 2_000_000
 JOINED_WORDS = 4096
 WORD_END = "</w>"  # fixed value: how the vocabulary file marks the last token of a word
@@ -42,6 +43,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}
 # the same words for texts of ASCII and Latin letters, which the standard library finds faster
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\t-\r {LATIN}0-9]+"
+# and for lower-case texts of ASCII alone; no two branches but those of the quote start alike
+ASCII_PATTERN = r"[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9]+"
 BROADCAST_RUNS = 200_000
 PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -64,6 +67,7 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.find_any = regex.compile(WORD_PATTERN).findall
         self.find_latin = re.compile(LATIN_PATTERN).findall
+        self.find_ascii = re.compile(ASCII_PATTERN).findall
         self.beyond_latin = re.compile(rf"[^\x00-\x1b\x20-\x7f{LATIN}]").search
         self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -72,7 +76,9 @@ class WordTokenizer:
 
     def _find_words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).lower()
-        return self.find_any(text) if self.beyond_latin(text) else self.find_latin(text)
+        if self.beyond_latin(text):
+            return self.find_any(text)
+        return self.find_ascii(text) if text.isascii() else self.find_latin(text)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -89,6 +95,16 @@ class WordTokenizer:
             packed, bounds = ids.tobytes(), [0, *ends.tolist()]
             yield from (packed[a:b] for a, b in itertools.pairwise(bounds))
 
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the ids of words; printable ASCII is the same in the file's byte mapping, so such words are merged at once."""
+        merge = self.tokenizer.model.tokenize
+        plain = [w for w in words if w.isascii() and w.isprintable()]
+        for word in plain:
+            ids = [token.id for token in merge(word)]
+            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        others = list(words.difference(plain))
+        self.words.update(zip(others, self._encode_words(others), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         done = 0
@@ -101,13 +117,19 @@ class WordTokenizer:
 
     def _chunk(self, texts: list[str]) -> Iterator[bytes]:
         split = [None if "<|" in t or "Σ" in t else self._find_words(t) for t in texts]
-        occurring: set[str] = set().union(*filter(None, split))
-        missing = [w for w in occurring if w not in self.words]
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words, missing = {}, list(occurring)
-        self.words.update(zip(missing, self._encode_words(missing), strict=True))
-        for text, words in zip(texts, split, strict=True):
-            yield self._direct([text])[0] if words is None else b"".join(map(self.words.__getitem__, words))
+        ids = [None if words is None else list(map(self.words.get, words)) for words in split]
+        unseen = [[] if found is None else [k for k, x in enumerate(found) if x is None] for found in ids]
+        missing = {words[k] for words, at in zip(split, unseen, strict=True) for k in at}
+        if len(self.words) + len(missing) > CACHED_WORDS:  # those of this chunk stay
+            self.words = {w: x for words, found in zip(split, ids, strict=True) if words for w, x in zip(words, found, strict=True) if x is not None}
+        self._learn(missing)
+        for text, words, found, at in zip(texts, split, ids, unseen, strict=True):
+            if found is None:
+                yield self._direct([text])[0]
+                continue
+            for k in at:
+                found[k] = self.words[words[k]]
+            yield b"".join(found)
 
 
 @lru_cache(maxsize=2)

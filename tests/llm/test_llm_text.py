@@ -121,6 +121,20 @@ def test_unseen_words_go_as_one_text(monkeypatch):
     assert [np.frombuffer(i, "<u4").tolist() for i in cached.encode(texts)] == [e.ids for e in cached.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_are_merged_without_the_tokenizer(monkeypatch):
+    cached = packing.WordTokenizer(WORD_FILE)
+    encoded = []
+    whole = cached._encode_words
+    monkeypatch.setattr(cached, "_encode_words", lambda words: encoded.extend(words) or whole(words))
+    texts = ["The Caf\u00e9's 42 ~'x' \x00\x7f don't", "unbelievableness ''s'S the"]
+    wanted = [e.ids for e in cached.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in cached.encode(texts)] == wanted
+    assert sorted(encoded) == ["\x00\x7f", "caf\u00e9"]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    assert [np.frombuffer(i, "<u4").tolist() for i in cached.encode(texts[1:])] == wanted[1:]
+    assert "the" in cached.words and "caf\u00e9" not in cached.words  # what the text in hand needs is not forgotten
+
+
 def test_ranks_of_a_frequent_length_take_more_parts(spark, monkeypatch):
     cut = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(8).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
     seen, ranks = [], packing.with_ranks
