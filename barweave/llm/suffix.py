@@ -40,7 +40,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barweave.llm.common import ROW, fold_bytes, mix64, one_of_equal, quoted, row_keys, shuffle_parts, small_batches, stored, table, word_hashes, word_spans
+from barweave.llm.common import (
+    ROW, discard, fold_bytes, mix64, one_of_equal, quoted, row_keys, shuffle_parts, small_batches, stored, stored_at, table, word_hashes, word_spans,
+)
 from barweave.llm.suffix_sort import deep_shallow_sort
 from barweave.llm.winnowing import winnow
 
@@ -266,11 +268,15 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) ->
     return one_of_equal(rows.join(wanted, ROW)).mapInArrow(run, "row1 long, row2 long, pos long, key long, once boolean, before binary, after binary")
 
 
-def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Reach = REACH) -> DataFrame:
-    """(row1, row2, first, last) of byte ranges that repeated strings cover; ranges of a row may overlap."""
-    found = stored(anchor_table(rows, reach), "anchors")
+def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Reach = REACH) -> tuple[DataFrame, str]:
+    """(row1, row2, first, last) of byte ranges that repeated strings cover, and the stored table that this reads.
+
+    Ranges of a row may overlap.
+    """
+    found, every_anchor = stored_at(anchor_table(rows, reach), "anchors")
     often = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    shared = stored(found.join(often, "key", "left_semi"), "shared-anchors")
+    shared, folder = stored_at(found.join(often, "key", "left_semi"), "shared-anchors")
+    discard(rows.sparkSession, every_anchor)
     kinds = shared.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct(*ROW, "pos")).alias("one"))
     per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("singles"))
     whole = shared.join(kinds.where("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
@@ -279,7 +285,15 @@ def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Rea
     wanted = kinds.join(open_keys, "key").select("one.*", "key", (F.col("n") == 1).alias("once"), "hot")
     cold, hot = (fetch_contexts(rows, wanted.where(which), reach) for which in ("not hot", "hot"))
     cold = cold.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key")
-    return decided.unionByName(cold.mapInArrow(partial(_sort_contexts, reach=reach), SPAN)).unionByName(count_strings(hot, reach))
+    return decided.unionByName(cold.mapInArrow(partial(_sort_contexts, reach=reach), SPAN)).unionByName(count_strings(hot, reach)), folder
+
+
+def stored_spans(rows: DataFrame, hot_contexts: int, reach: Reach) -> DataFrame:
+    """`repeated_spans` as a small stored table; what it was made of goes."""
+    spans, folder = repeated_spans(rows, hot_contexts, reach)
+    spans = stored(spans, "spans")
+    discard(rows.sparkSession, folder)
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -313,8 +327,8 @@ def passages_of(text: bytes, spans: list[dict], words: int) -> dict[tuple[int, i
     return found
 
 
-def passage_segments(rows: DataFrame, words: int) -> DataFrame:
-    """row1, row2, text, source1 and base of every part of a text that may hold a repeated passage of so many words.
+def passage_segments(rows: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """row1, row2, text, source1 and base of every part of a text that may hold a repeated passage of so many words, and their folder.
 
     Equal passages choose the same fingerprint among their words, so a part whose fingerprints occur once holds none.
     """
@@ -344,18 +358,20 @@ def passage_segments(rows: DataFrame, words: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "text", "source1", "base"])
 
-    found = stored(rows.select(*ROW, "text").mapInArrow(spots, "row1 long, row2 long, fp long, first long, last long"), "spots")
+    found, every_spot = stored_at(rows.select(*ROW, "text").mapInArrow(spots, "row1 long, row2 long, fp long, first long, last long"), "spots")
     often = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     ranges = found.join(often, "fp", "left_semi").groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
     texts = rows.select(*ROW, "text").join(ranges, ROW)
-    return stored(texts.mapInArrow(cut, "row1 long, row2 long, text binary, source1 long, base long"), "segments")
+    segments = stored_at(texts.mapInArrow(cut, "row1 long, row2 long, text binary, source1 long, base long"), "segments")
+    discard(rows.sparkSession, every_spot)
+    return segments
 
 
 def repeated_passages(rows: DataFrame, over_words: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(row1, row2, first, last) of the passages of more than `over_words` words that occur more than once."""
     words = over_words + 1
-    segments = passage_segments(rows, words)
-    spans = repeated_spans(segments.select(*ROW, "text"), hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
+    segments, folder = passage_segments(rows, words)
+    spans = stored_spans(segments.select(*ROW, "text"), hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,9 +386,12 @@ def repeated_passages(rows: DataFrame, over_words: int, hot_contexts: int = HOT_
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "h1", "h2", "n", "ranges"])
 
     schema = "row1 long, row2 long, h1 long, h2 long, n long, ranges array<struct<first: long, last: long>>"
-    found = stored(segments.join(spans, ROW).mapInArrow(run, schema), "passages")
+    found, every_passage = stored_at(segments.join(spans, ROW).mapInArrow(run, schema), "passages")
+    discard(rows.sparkSession, folder)
     often = found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    return found.join(often, ["h1", "h2"], "left_semi").select(*ROW, F.inline("ranges"))
+    spans = stored(found.join(often, ["h1", "h2"], "left_semi").select(*ROW, F.inline("ranges")), "spans")
+    discard(rows.sparkSession, every_passage)
+    return spans
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -402,9 +421,10 @@ def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, length: in
     rest = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
     other = F.struct(*rest) if rest else F.lit(None).cast("boolean")
     rows = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), other.alias("other"))
-    spans = repeated_spans(rows, hot_contexts, Reach(length))
-    if over_words is not None:
-        spans = spans.unionByName(repeated_passages(rows, over_words, hot_contexts))
+    if over_words is None:
+        spans, _ = repeated_spans(rows, hot_contexts, Reach(length))
+    else:  # one after the other, so that their files never lie on the disks together
+        spans = stored_spans(rows, hot_contexts, Reach(length)).unionByName(repeated_passages(rows, over_words, hot_contexts))
     spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary").add(rows.schema["other"])
     return rows.join(spans, ROW, "left").mapInArrow(_remove, schema)

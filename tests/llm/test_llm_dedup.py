@@ -2,14 +2,17 @@
 
 import collections
 import random
+import re
+import time
 
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from test_llm_whole import without_passages
-from barweave.llm import exact, jaccard, suffix, toxicity
+from barweave.llm import common, exact, jaccard, suffix, toxicity
 from barweave.llm.common import stored
 from barweave.llm.components import components
 from barweave.llm.suffix_sort import common_prefix, deep_shallow_sort
@@ -220,3 +223,29 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, folder)
         assert len({r.doc_id for r in got.collect()}) == len({r[0] for r in part} - {1})
+
+
+def test_cutting_passages_leaves_no_files_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    shared = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"before {shared} here"), (2, f"other {shared} there"), (3, "x" * 500), (4, "x" * 500)], "doc_id long, text string")
+    cut = {r.doc_id: r.text for r in suffix.cleaned_documents(docs, 50).collect()}
+    assert cut == {1: "before  here", 2: "other  there", 3: "", 4: ""}
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"spans"}
+
+
+def test_a_stored_table_keeps_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+
+    def files() -> set[str]:
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",")
+        return set(re.findall(r"shuffle_\d+", found))
+
+    before, rows = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert len(common.stored(rows, "counts").collect()) == 7
+    assert spark.conf.get(common.SHUFFLE_CLEANUP, "false") == "false"
+    for _ in range(50):  # the files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
