@@ -28,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import fold_bytes, mix64, shuffle_parts, small_batches, stored, table, whole_texts
+from barweave.llm.common import fold_bytes, mix64, release_memory, shuffle_parts, small_batches, stored, table, whole_texts
 
 LONGEST = 4
 LEAST_COUNT = 30
 PER_LANG = 2000
 FLUSH_BYTES = 12 << 20  # of texts whose items a task sums before it passes them on
 CHUNK_BYTES = 4 << 20
+SLICE = 1 << 18  # items whose 64-bit hashes are in memory at once
 GROUP_ITEMS = 2_000_000
 _KIND = np.zeros(256, np.uint8)  # 0 in words, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
@@ -73,20 +75,20 @@ def words_of(text: bytes) -> tuple[pa.BinaryArray, np.ndarray]:
 class Items:
     """Distinct items: columns of word numbers (0: none), the words, and weights; sorted by the columns."""
 
-    def __init__(self, columns: list[np.ndarray], words: pa.BinaryArray, weights: np.ndarray | None = None, first: np.ndarray | None = None):
+    def __init__(self, columns: list[np.ndarray], words: pa.BinaryArray, weights: np.ndarray | None = None):
         bits = np.uint64(max(1, len(words).bit_length()))
         high, low = (columns[i].astype(np.uint64) << bits | columns[i + 1].astype(np.uint64) for i in (0, 2))
-        if first is not None:  # sorts before all
-            high |= first.astype(np.uint64) << np.uint64(2) * bits
         order = np.lexsort((low, high))
-        high, low = high[order], low[order]
         new = np.ones(len(high), bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        for n, half in enumerate((high, low)):
+            half = half[order]
+            differs = half[1:] != half[:-1]
+            new[1:] = new[1:] | differs if n else differs
+        del high, low, half
         at = np.flatnonzero(new)
         chosen = order[at]
         self.columns = [c[chosen] for c in columns]
-        self.first = None if first is None else first[chosen]
-        self.weights = np.diff(np.append(at, len(high))) if weights is None else np.add.reduceat(weights[order], at) if len(at) else weights
+        self.weights = np.diff(np.append(at, len(order))) if weights is None else np.add.reduceat(weights[order], at) if len(at) else weights
         self.words = words
 
 
@@ -124,15 +126,18 @@ def unpack(size: int, blob: bytes) -> tuple[list[np.ndarray], pa.BinaryArray, np
     return columns, words, weights
 
 
-def _hash_of(words: pa.BinaryArray, columns: list[np.ndarray]) -> np.ndarray:
-    """A hash of each item by the text of its words in the given columns; the same in every task."""
+def _part_of(words: pa.BinaryArray, columns: list[np.ndarray], parts: int, shift: int = 0) -> np.ndarray:
+    """A hash of each item by the text of its words in the given columns, modulo `parts`; the same in every task."""
     digest = xxhash.xxh3_64_intdigest
     each = np.zeros(len(words) + 1, np.uint64)
     each[1:] = np.fromiter(map(digest, words.to_pylist()), np.uint64, len(words))
-    out = np.zeros(len(columns[0]), np.uint64)
-    for odd, column in zip(_ODD, columns, strict=False):
-        out += each[column] * odd
-    return mix64(out)
+    found = np.empty(len(columns[0]), np.uint16 if parts <= 1 << 16 else np.uint32)
+    for first in range(0, len(found), SLICE):
+        sums = np.zeros(len(found[first : first + SLICE]), np.uint64)
+        for odd, column in zip(_ODD, columns, strict=False):
+            sums += each[column[first : first + SLICE]] * odd
+        found[first : first + SLICE] = (mix64(sums) >> np.uint64(shift)) % np.uint64(parts)
+    return found
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -152,22 +157,32 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
 
 def _local_items(buckets: int):
     def flush(lang: str, chunks: list[tuple[pa.BinaryArray, np.ndarray]]) -> Iterator[tuple]:
-        words = pa.concat_arrays([c for c, _ in chunks]).dictionary_encode()
-        left, number = np.concatenate([n for _, n in chunks]), words.indices.to_numpy() + np.int32(1)
+        left = np.concatenate([n for _, n in chunks])
+        words = pa.concat_arrays([c for c, _ in chunks])
+        chunks.clear()
+        words = words.dictionary_encode()
+        number, words = words.indices.to_numpy() + np.int32(1), words.dictionary
         columns = [number]
         for i in range(1, LONGEST):
             later = np.zeros_like(number)
             later[:-i] = number[i:]
             later[left <= i] = 0
             columns.append(later)
-        bucket = (_hash_of(words.dictionary, columns[:2]) % np.uint64(buckets)).astype(np.int32)
-        items = Items(columns, words.dictionary, first=bucket)
-        ends = np.append(np.flatnonzero(np.diff(items.first)) + 1, len(items.first))
+        del left, number
+        bucket = _part_of(words, columns[:2], buckets)
+        order = np.argsort(bucket, kind="stable")
+        if len(order) < 1 << 32:
+            order = order.astype(np.uint32)
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        del bucket
+        # a bucket's items are sorted and summed by themselves: keys and their order are never in memory for all
         first = 0
-        for last in ends.tolist():
-            part = slice(first, last)
-            yield lang, int(items.first[first]), 0, *pack([c[part] for c in items.columns], items.words, items.weights[part])
-            first = last
+        for number, last in enumerate(ends.tolist()):
+            if last > first:
+                mine = order[first:last]
+                items = Items([c[mine] for c in columns], words)
+                yield lang, number, 0, *pack(items.columns, words, items.weights)
+                first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = defaultdict(list), 0
@@ -176,7 +191,7 @@ def _local_items(buckets: int):
             for lang, chunks in kept.items():
                 yield _batch(flush(lang, chunks))
             kept.clear()
-            pa.default_memory_pool().release_unused()
+            release_memory()
 
         for lang, text in _chunks(batches):
             words, left = words_of(text)
@@ -202,7 +217,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, bucket, _, _, size, blob, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             columns, words, weights = unpack(size, blob)
-            share = (_hash_of(words, columns) >> np.uint64(20)) % np.uint64(shares)
+            share = _part_of(words, columns, shares, 20)
             rows = []
             for k in np.unique(share).tolist():
                 mine = share == k
@@ -214,21 +229,27 @@ def _merged(least: int):
     """Counts of a group's phrases; share 0 is a whole bucket, in which rare phrases are known to be rare."""
 
     def run(group: pa.Table) -> pa.Table:
-        parts = [unpack(s, b) for s, b in zip(group["size"].to_pylist(), group["blob"].to_pylist(), strict=True)]
         lang, whole = group["lang"][0].as_py(), group["share"][0].as_py() == 0
-        words = pa.concat_arrays([w for _, w, _ in parts]).dictionary_encode()
-        number, columns, first = words.indices.to_numpy() + np.int32(1), [[] for _ in range(LONGEST)], 0
-        for own, w, _ in parts:
-            lookup = np.concatenate([np.zeros(1, np.int32), number[first : first + len(w)]])
-            first += len(w)
+        n, at, known = sum(group["n_items"].to_pylist()), 0, 0
+        columns, weights, words = [np.empty(n, np.int32) for _ in range(LONGEST)], np.empty(n, np.int64), []
+        for size, blob in zip(group["size"], group["blob"], strict=True):  # one unpacked at a time
+            own, w, counted = unpack(size.as_py(), blob.as_py())
+            part = slice(at, at + len(counted))
             for column, c in zip(columns, own, strict=True):
-                column.append(lookup[c])
-        items = Items([np.concatenate(c) for c in columns], words.dictionary, np.concatenate([w for _, _, w in parts]))
+                column[part] = np.where(c > 0, c + np.int32(known), 0)
+            weights[part] = counted
+            words.append(w)
+            at, known = part.stop, known + len(w)
+        words = pa.concat_arrays(words).dictionary_encode()
+        lookup = np.concatenate([np.zeros(1, np.int32), words.indices.to_numpy() + np.int32(1)])
+        for i, column in enumerate(columns):
+            columns[i] = lookup[column]
+        items = Items(columns, words.dictionary, weights)
+        del columns, column, weights, words, lookup, own, w, counted, c
         total = int(items.weights.sum())
-        names, counts, sizes = [b""], [total], [0]
+        names, counts, sizes = [pa.array([""], pa.string())], [np.array([total])], [np.zeros(1, np.int32)]
         changed = np.zeros(len(items.weights), bool)
         changed[0] = True
-        text = items.words.to_pylist()
         for k in range(1, LONGEST + 1):
             column = items.columns[k - 1]
             changed[1:] |= column[1:] != column[:-1]
@@ -238,12 +259,15 @@ def _merged(least: int):
             if whole and k > 1:
                 keep &= flow >= least
             at, flow = at[keep], flow[keep]
-            names += [b" ".join(text[c - 1] for c in row) for row in zip(*(c[at].tolist() for c in items.columns[:k]), strict=True)]
-            counts += flow.tolist()
-            sizes += [k] * len(at)
-        n = len(names)
-        pa.default_memory_pool().release_unused()
-        return pa.table([pa.array([lang] * n, pa.string()), pa.array(sizes, pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "words", "phrase", "f"])
+            row = [items.words.take(pa.array(c[at] - 1)) for c in items.columns[:k]]
+            # columns of words are joined as such: a share has many phrases, which as Python objects take several times as much
+            names.append(pc.binary_join_element_wise(*row, b" ").cast(pa.string()))
+            counts.append(flow)
+            sizes.append(np.full(len(at), k, np.int32))
+        names, counts, sizes = pa.concat_arrays(names), np.concatenate(counts), np.concatenate(sizes)
+        del items, row
+        release_memory()
+        return pa.table([pa.array([lang] * len(names), pa.string()), pa.array(sizes), names, pa.array(counts)], names=["lang", "words", "phrase", "f"])
 
     return run
 

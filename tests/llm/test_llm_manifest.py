@@ -4,10 +4,12 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import brute
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,23 @@ def test_collocations_equal_sql(spark):
     cur = oracle(collocations.ORACLE, documents=f"{SF}/documents.parquet")
     names = [d[0] for d in cur.description]
     assert lines(got.select(*names).collect()) == lines(cur.fetchall())
+
+
+def test_collocations_keep_small_arrays_for_a_place(monkeypatch):
+    """Bytes that Python and numpy take at most for each word of a flush and for each phrase of a merge."""
+    random.seed(6)
+    n = 300_000
+    text = "".join(f"w{random.randrange(2000)}{' ' if i % 50 else '.'}" for i in range(n)).encode()
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", 1 << 17)
+    tracemalloc.start()
+    try:
+        blobs = pa.Table.from_batches(collocations._local_items(64)(iter([pa.record_batch([pa.array(["en"]), pa.array([text])], names=["lang", "text"])])))
+        local = tracemalloc.get_traced_memory()[1]
+        blobs = blobs.set_column(2, "share", pa.array([1] * len(blobs), pa.int32()))
+        tracemalloc.reset_peak()
+        found = collocations._merged(2)(blobs)
+        merged = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(blobs["n_items"].to_pylist()) <= n < found.num_rows
+    assert local < 60 * n and merged < 60 * found.num_rows, (local / n, merged / found.num_rows)
