@@ -1,6 +1,7 @@
 """State carried from batch to batch: the cut of a source into batches changes nothing."""
 
 import datetime as dt
+import time
 
 from barweave.operators import history, serving as sv, unified as un
 from barweave.sources import market_tables as m
@@ -74,6 +75,39 @@ def test_signals_do_not_depend_on_the_cut(spark, tmp_path):
     assert found[0] == found[1] and len(found[0]) > 50
 
 
+def test_a_backlog_is_decided_in_steps_outside_of_any_broadcast(spark, tmp_path, monkeypatch):
+    rows = m.ticks(spark, SF).where("symbol in ('U1', 'U2')").select("symbol", "ts", "seq", "ltp", "ltq")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/src")
+    columns = ["symbol", "updated_at", "direction", "confidence", "score", "entry_price", "persistence_reason"]
+    decide, steps = flows.cycle_decisions, []
+
+    def slow(batches):
+        for batch in batches:
+            if batch.num_rows:
+                time.sleep(16)
+            yield batch
+
+    def decisions(frames, lookback):
+        decided = decide(frames, lookback)
+        steps.append(1)
+        return decided.coalesce(1).mapInArrow(slow, decided.schema)
+
+    found = []
+    for name in ("plain", "slow"):
+        if name == "slow":
+            monkeypatch.setattr(flows, "cycle_decisions", decisions)
+            monkeypatch.setattr(flows, "FRAME_BARS", 60, raising=False)
+            spark.conf.set("spark.sql.broadcastTimeout", "15")
+        try:
+            stream = flows.read_stream(spark, f"{tmp_path}/src", rows.schema)
+            signals = flows.run_signal_cycles(spark, stream, lookback=20, base=f"{tmp_path}/{name}-out", checkpoint=f"{tmp_path}/{name}-state")
+        finally:
+            spark.conf.unset("spark.sql.broadcastTimeout")
+        found.append(sorted(map(str, signals.select(columns).collect())))
+    assert found[0] == found[1] and len(found[0]) > 60 and len(steps) > 2
+    assert len(list((tmp_path / "slow-out" / "decided").glob("batch=*"))) == 1
+
+
 def test_a_batch_writes_the_state_of_its_own_symbols(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(flows, "COMPACT_EVERY", 2)
     ticks = m.ticks(spark, SF).where("symbol in ('U1', 'U2')").select("symbol", "ts", "seq", "ltp", "ltq")
