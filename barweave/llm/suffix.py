@@ -15,10 +15,11 @@ bytes: the anchor's key. The steps:
 
 Counts and joins combine or split hot keys; no task holds more than a bounded part of a key.
 
-Other lengths than `LENGTH` go through `Reach`. `over_words` besides removes repeated passages of more than so many words,
-however few bytes they have: parts of texts whose word fingerprints repeat are cut out, byte strings of the shortest such
-passage are sorted in them as above, and inside the runs that they cover each passage of one word more is counted, from
-the start of its first word to the end of its last.
+Other lengths than `LENGTH` go through `Reach`. `over_words` besides finds repeated passages of more than so many words,
+however few bytes they have, from the start of the first word to the end of the last. They take the same steps with words
+for bytes (`Passages`): anchors are words by the hash of the `GRAM` bytes from their start, and what is sorted is a row of
+8-byte hashes, one for each word with the bytes between it and the word nearer to the anchor. The pipeline removes them as
+well; op3 removes strings of 400 bytes only and reports the passages in columns of their own.
 
 Defined cases: a null or empty text has no bytes and loses none; texts of any length are read whole. A repeated row
 counts as another place, so equal rows lose everything they repeat. Empty tables give empty results; other columns are
@@ -27,9 +28,8 @@ ignored. Where a cut splits a character, `cleaned_text` leaves out its broken by
 
 from __future__ import annotations
 
-import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -41,26 +41,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barweave.llm.common import (
-    ROW, discard, fold_bytes, mix64, one_of_equal, quoted, row_keys, shuffle_parts, small_batches, stored, stored_at, table, word_hashes, word_spans,
+    ROW, discard, fold_bytes, mix64, one_of_equal, quoted, row_keys, shuffle_parts, small_batches, stored, stored_at, table, word_spans,
 )
 from barweave.llm.suffix_sort import deep_shallow_sort
-from barweave.llm.winnowing import winnow
 
 LENGTH = 400
+OVER_WORDS = 50
 GRAM = 32
 HOT_CONTEXTS = 20_000
 SORTED_TOGETHER = 10_000
 PIECE = 1 << 20  # positions hashed at once
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
-WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")  # as in `common.SEPARATORS`
+
+@dataclass(frozen=True)
+class Places:
+    """The anchors of a text: their positions and keys, and the range of each context, also in bytes."""
+
+    at: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
 
 @dataclass(frozen=True)
 class Reach:
-    """What follows from the length of the strings."""
+    """What follows from the length of the strings, and how they lie in a text."""
 
     length: int = LENGTH
+    unit = 1  # bytes of a position in what is sorted
 
     def __post_init__(self) -> None:
         if self.length < 2 * GRAM:
@@ -80,8 +92,90 @@ class Reach:
         """The least from there to its end."""
         return self.length - self.left
 
+    def places(self, text: bytes) -> Places:
+        at, keys = anchors(text, self)
+        first, last = np.maximum(at - self.left, 0), np.minimum(at + self.length, len(text))
+        return Places(at, keys, first, last, first, last)
+
+    def cuts(self, text: bytes) -> Callable[[int], tuple[bytes, bytes]]:
+        """The bytes before and after an anchor, as far as a string around it can reach."""
+        return lambda p: (text[max(0, p - self.left) : p], text[p : p + self.length])
+
+    def sortable(self, sides: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """The same of many anchors, with `unit` bytes for a position."""
+        return sides
+
 
 REACH = Reach()
+FEWEST = GRAM // 2 + 1  # words that have GRAM bytes at least, with one byte between them
+
+
+@dataclass(frozen=True)
+class Passages(Reach):
+    """Strings of so many words, from the start of the first to the end of the last; positions are words."""
+
+    unit = 8
+
+    def __post_init__(self) -> None:
+        if self.length < FEWEST:
+            raise ValueError(f"passages need at least {FEWEST} words")
+
+    @property
+    def window(self) -> int:
+        return self.length - FEWEST + 1
+
+    def places(self, text: bytes) -> Places:
+        start, end = word_spans(fold_bytes(text))
+        if len(start) < self.length:
+            return Places(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64)))
+        words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+        at = start[: len(start) - FEWEST + 1]
+        short = _short_hashes([words[at + 8 * i] for i in range(GRAM // 8)])
+        at = _least_of_windows(short, self.window)
+        view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+        ends = zip(start[at].tolist(), end[at + self.right - 1].tolist(), strict=True)
+        keys = np.fromiter((digest(view[a:b]) for a, b in ends), np.uint64, len(at))
+        first, last = np.maximum(at - self.left, 0), np.minimum(at + self.length, len(start))
+        return Places(at, keys, first, last, start[first], end[last - 1])
+
+    def cuts(self, text: bytes) -> Callable[[int], tuple[bytes, bytes]]:
+        start, end = word_spans(fold_bytes(text))
+        return lambda p: (text[start[max(0, p - self.left)] : start[p]], text[start[p] : end[min(p + self.length, len(end)) - 1]])
+
+    def sortable(self, sides: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+        """A word left of the anchor takes what follows it, the others what stands before them: sides agree in whole words."""
+        if not sides:
+            return []
+        text = b"\n".join([before + after for before, after in sides])
+        start, end = word_spans(fold_bytes(text))
+        left, right = (np.array([len(side[i]) for side in sides]) for i in (0, 1))
+        base = np.cumsum(left + right + 1) - left - right - 1
+        word = np.searchsorted(start, base + left)  # of each anchor
+        first, last = np.searchsorted(start, base), np.append(np.searchsorted(start, base[1:]), len(start))
+        before = np.zeros(len(start) + 1, np.int64)  # words left of their anchor lie in [first, word)
+        np.add.at(before, first, 1)
+        np.add.at(before, word, -1)
+        is_left = np.cumsum(before[:-1]) > 0
+        low, high = np.append(0, end[:-1]), np.append(start[1:], len(text))
+        low[word] = start[word]
+        low, high = np.where(is_left, start, low), np.where(is_left, high, end)
+        hashes = _hashes_of(text, low, high)
+        return [(hashes[a:p].tobytes(), hashes[p:b].tobytes()) for a, p, b in zip(first.tolist(), word.tolist(), last.tolist(), strict=True)]
+
+
+def _hashes_of(text: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that are not empty; those of up to 8 bytes are told apart by bytes and length."""
+    words = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), strides=(1,))
+    size = high - low
+    h = mix64(words[low] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ODD[0])
+    longer = np.flatnonzero(size > 8)
+    for i in range(1, GRAM // 8):
+        at, rest = low[longer] + 8 * i, size[longer] - 8 * i
+        h[longer] = mix64(h[longer] + (words[at] & _MASKS[np.minimum(rest, 8)]) * _ODD[i])
+        longer = longer[rest > 8]
+    for i in longer.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[low[i] : high[i]])
+    return h
 
 
 def _extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -94,6 +188,21 @@ def _extreme(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _short_hashes(words: list[np.ndarray]) -> np.ndarray:
+    """32 bits of a hash of the `GRAM` bytes of each position, given as 64-bit numbers in order."""
+    h = words[0] * _ODD[0]
+    for word, odd in zip(words[1:], _ODD[1:], strict=True):
+        h += word * odd
+    return (mix64(h) >> np.uint64(32)).astype(np.uint32)
+
+
+def _least_of_windows(short: np.ndarray, window: int) -> np.ndarray:
+    """Where the least hash of some window lies, all places of equal ones."""
+    none = np.zeros(window - 1, np.uint32)
+    least = np.concatenate([none, _extreme(short, window, np.minimum), none])
+    return np.flatnonzero(_extreme(least, window, np.maximum) == short)
+
+
 def anchors(text: bytes, reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors that a string can lie around, and hashes of the `right` bytes from each."""
     window, right = reach.window, reach.right
@@ -106,13 +215,7 @@ def anchors(text: bytes, reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
         part = text[low : high + GRAM - 1]
         words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
         n = high - low
-        h = words[:n] * _ODD[0]
-        for i in range(1, GRAM // 8):
-            h += words[8 * i : 8 * i + n] * _ODD[i]
-        h = mix64(h)
-        short = (h >> np.uint64(32)).astype(np.uint32)
-        least = np.pad(_extreme(short, window, np.minimum), window - 1)
-        chosen = np.flatnonzero(_extreme(least, window, np.maximum) == short)
+        chosen = _least_of_windows(_short_hashes([words[8 * i : 8 * i + n] for i in range(GRAM // 8)]), window)
         chosen = chosen[(chosen + low >= first) & (chosen + low < first + PIECE)]
         at.append(chosen + low)
     where, view, digest = np.concatenate(at), memoryview(text), xxhash.xxh3_64_intdigest
@@ -123,34 +226,45 @@ def anchors(text: bytes, reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
 ANCHOR = "row1 long, row2 long, pos long, key long, ctx long, n long, ranges array<struct<first: long, last: long>>"
 
 
-def contexts_of(text: bytes, reach: Reach = REACH) -> dict[tuple[int, int], list[int]]:
-    """(key, hash) of each distinct context of a text -> [first anchor, anchors, first, last, first, last, ...].
+def contexts_of(text: bytes, reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row (first anchor, key, hash, anchors) per distinct context of a text, its number of ranges, and all ranges in order.
 
-    The pairs are the byte ranges of the contexts that can hold a string; a line that a text repeats over and over is
-    one context with one merged range.
+    The ranges are those that can hold a string; a line that a text repeats over and over is one context with one merged
+    range.
     """
-    where, keys = anchors(text, reach)
+    places = reach.places(text)
     view, digest = memoryview(text), xxhash.xxh3_64_intdigest
+    # the distance to the left end tells cut-off contexts apart
+    spots = zip(places.low.tolist(), places.high.tolist(), np.minimum(places.at, reach.left).tolist(), strict=True)
+    hashes = np.fromiter((digest(view[a:b], seed) for a, b, seed in spots), np.uint64, len(places.at)).view(np.int64)
+    keys, whole = places.keys.view(np.int64), places.last - places.first >= reach.length
+    ordered = np.sort(hashes)
+    if not (ordered[1:] == ordered[:-1]).any():
+        rows, ranges = np.ones((len(hashes), 4), np.int64), np.empty((np.count_nonzero(whole), 2), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2] = places.at, keys, hashes
+        ranges[:, 0], ranges[:, 1] = places.first[whole], places.last[whole]
+        return rows, whole.astype(np.int64), ranges
     found: dict[tuple[int, int], list[int]] = {}
-    for p, key in zip(where.tolist(), keys.view(np.int64).tolist(), strict=True):
-        first, last = max(0, p - reach.left), min(len(text), p + reach.length)
-        # the distance to the left end tells cut-off contexts apart
-        entry = found.setdefault((key, digest(view[first:last], min(p, reach.left))), [p, 0])
+    columns = (places.at, keys, hashes, places.first, places.last, whole)
+    for p, key, ctx, first, last, holds in zip(*(c.tolist() for c in columns), strict=True):
+        entry = found.setdefault((key, ctx), [p, 0])
         entry[1] += 1
-        if len(entry) > 2 and first <= entry[-1]:
+        if len(entry) > 2 and first < entry[-1]:
             entry[-1] = last
-        elif last - first >= reach.length:
+        elif holds:
             entry += first, last
-    return found
-
-
-def _anchor_batch(rows: list[tuple[int, int, tuple[int, int], list[int]]]) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(len(entry) // 2 - 1 for *_, entry in rows)])
-    flat = np.fromiter((x for *_, entry in rows for x in entry[2:]), np.int64, 2 * ends[-1])
-    ranges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat[::2], flat[1::2]], ["first", "last"]))
-    numbers = np.array([(row1, row2, entry[0], name[0], entry[1]) for row1, row2, name, entry in rows], np.int64)
-    hashes = np.array([name[1] for _, _, name, _ in rows], np.uint64).view(np.int64)
-    columns = [*(pa.array(numbers[:, i]) for i in range(4)), pa.array(hashes), pa.array(numbers[:, 4]), ranges]
+    rows = np.array([(entry[0], *name, entry[1]) for name, entry in found.items()], np.int64).reshape(-1, 4)
+    sizes = np.array([len(entry) // 2 - 1 for entry in found.values()], np.int64)
+    return rows, sizes, np.array([x for entry in found.values() for x in entry[2:]], np.int64).reshape(-1, 2)
+
+
+def _anchor_batch(parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    counts = [len(rows) for _, _, rows, _, _ in parts]
+    numbers, sizes, flat = (np.concatenate([part[i] for part in parts]) for i in (2, 3, 4))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    ranges = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["first", "last"]))
+    names = [pa.array(np.repeat(np.array([part[i] for part in parts], np.int64), counts)) for i in (0, 1)]
+    columns = [*names, *(pa.array(numbers[:, i]) for i in range(4)), ranges]
     return pa.record_batch(columns, names=["row1", "row2", "pos", "key", "ctx", "n", "ranges"])
 
 
@@ -158,15 +272,17 @@ def anchor_table(texts: DataFrame, reach: Reach = REACH) -> DataFrame:
     """A row per distinct context of each (row1, row2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, tuple[int, int], list[int]]] = []
+        parts: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for row1, row2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows += [(row1, row2, name, entry) for name, entry in contexts_of(text.as_py(), reach).items()]
-                if len(rows) >= SORTED_TOGETHER:
-                    yield _anchor_batch(rows)
-                    rows = []
-        if rows:
-            yield _anchor_batch(rows)
+                parts.append((row1, row2, *contexts_of(text.as_py(), reach)))
+                held += 1 + len(parts[-1][2])
+                if held >= SORTED_TOGETHER:
+                    yield _anchor_batch(parts)
+                    parts, held = [], 0
+        if parts:
+            yield _anchor_batch(parts)
 
     return texts.select(*ROW, "text").mapInArrow(run, ANCHOR)
 
@@ -181,21 +297,32 @@ def _runs(order: np.ndarray, agree: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _most_agreeing(order: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """For each string the most bytes that any other agrees with it: one of its neighbours."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(np.append(0, agree[1:]), np.append(agree[1:], 0))
+    return out
+
+
 def repeated_range(lefts: list[bytes], rights: list[bytes], reach: Reach = REACH) -> tuple[np.ndarray, np.ndarray]:
     """For each context the least and the largest d whose string has a partner; -1 without any.
 
-    A string starts d bytes left of its anchor; `lefts` are reversed.
+    A string starts d positions left of its anchor; `lefts` are reversed.
     """
     right_order, right_agree = deep_shallow_sort(rights)
     left_order, left_agree = deep_shallow_sort(lefts)
-    right_size, left_size = np.array(list(map(len, rights))), np.array(list(map(len, lefts)))
+    # the d for which both neighbours allow a partner
+    low = reach.length - _most_agreeing(right_order, right_agree) // reach.unit
+    high = np.minimum(_most_agreeing(left_order, left_agree) // reach.unit, reach.left)
     least, most = np.full(len(lefts), -1), np.full(len(lefts), -1)
     for d in range(reach.left + 1):
-        whole = np.flatnonzero((left_size >= d) & (right_size >= reach.length - d))
+        whole = np.flatnonzero((low <= d) & (d <= high))
         if len(whole) < 2:
             continue
-        pair = _runs(left_order, left_agree, d)[whole] * len(lefts) + _runs(right_order, right_agree, reach.length - d)[whole]
-        sort = np.argsort(pair, kind="stable")
+        left_run = _runs(left_order, left_agree, d * reach.unit)
+        right_run = _runs(right_order, right_agree, (reach.length - d) * reach.unit)
+        pair = left_run[whole] * len(lefts) + right_run[whole]
+        sort = np.argsort(pair)
         same = pair[sort][1:] == pair[sort][:-1]
         found = whole[sort[np.append(same, False) | np.append(False, same)]]
         least[found] = np.where(least[found] < 0, d, least[found])
@@ -208,7 +335,8 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch], reach: Reach = REACH) -> I
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        least, most = repeated_range([r[5][::-1] for r in rows], [r[6] for r in rows], reach)
+        sides = reach.sortable([r[5:] for r in rows])
+        least, most = repeated_range([before[::-1] for before, _ in sides], [after for _, after in sides], reach)
         found = [(r[0], r[1], r[2] - m, r[2] - s + reach.length) for r, s, m in zip(rows, least.tolist(), most.tolist(), strict=True) if r[4] and m >= 0]
         columns = list(zip(*found, strict=True)) or [()] * 4
         return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row1", "row2", "first", "last"])
@@ -226,12 +354,13 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch], reach: Reach = REACH) -> I
 def _string_hashes(batches: Iterator[pa.RecordBatch], reach: Reach = REACH) -> Iterator[pa.RecordBatch]:
     """A row per string around an anchor: key, d, two hashes of the string, and whether its context occurs once."""
     for batch in small_batches(batches, 100):
-        rows = []
-        for row1, row2, pos, key, once, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = before + after
-            for d in range(min(reach.left, len(before)) + 1):
-                if len(after) >= reach.length - d:
-                    string = text[len(before) - d : len(before) - d + reach.length]
+        rows, columns = [], [c.to_pylist() for c in batch.columns]
+        sides = reach.sortable(list(zip(*columns[5:], strict=True)))
+        for row1, row2, pos, key, once, (before, after) in zip(*columns[:5], sides, strict=True):
+            text, unit = before + after, reach.unit
+            for d in range(min(reach.left, len(before) // unit) + 1):
+                if len(after) >= (reach.length - d) * unit:
+                    string = text[len(before) - d * unit : len(before) + (reach.length - d) * unit]
                     rows.append((row1, row2, pos, key, once, d, *struct.unpack("<qq", xxhash.xxh3_128_digest(string))))
         columns = list(zip(*rows, strict=True)) or [()] * 8
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
@@ -257,9 +386,8 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) ->
         for batch in small_batches(batches):
             out = []
             for row1, row2, text, anchors_of in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "wanted")), strict=True):
-                for w in anchors_of:
-                    p = w["pos"]
-                    out.append((row1, row2, p, w["key"], w["once"], text[max(0, p - reach.left) : p], text[p : p + reach.length]))
+                cut = reach.cuts(text)
+                out += [(row1, row2, w["pos"], w["key"], w["once"], *cut(w["pos"])) for w in anchors_of]
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -269,7 +397,7 @@ def fetch_contexts(rows: DataFrame, wanted: DataFrame, reach: Reach = REACH) ->
 
 
 def repeated_spans(rows: DataFrame, hot_contexts: int = HOT_CONTEXTS, reach: Reach = REACH) -> tuple[DataFrame, str]:
-    """(row1, row2, first, last) of byte ranges that repeated strings cover, and the stored table that this reads.
+    """(row1, row2, first, last) of ranges that repeated strings cover, in positions, and the stored table that this reads.
 
     Ranges of a row may overlap.
     """
@@ -307,127 +435,51 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def passages_of(text: bytes, spans: list[dict], words: int) -> dict[tuple[int, int], list[int]]:
-    """(h1, h2) of each distinct passage of so many words in the ranges -> [places, first, last, first, last, ...], merged."""
-    found: dict[tuple[int, int], list[int]] = {}
-    for low, high in merged(spans):
-        at = [m.span() for m in WORD.finditer(text, low, high)]
-        # a range may split a word at its ends
-        if at and at[0][0] > 0 and WORD.match(text, at[0][0] - 1):
-            at = at[1:]
-        if at and WORD.match(text, at[-1][1]):
-            at = at[:-1]
-        for (first, _), (_, last) in zip(at, at[words - 1 :], strict=False):
-            entry = found.setdefault(struct.unpack("<qq", xxhash.xxh3_128_digest(text[first:last])), [0])
-            entry[0] += 1
-            if len(entry) > 1 and first <= entry[-1]:
-                entry[-1] = last
-            else:
-                entry += first, last
-    return found
-
-
-def passage_segments(rows: DataFrame, words: int) -> tuple[DataFrame, str]:
-    """row1, row2, text, source1 and base of every part of a text that may hold a repeated passage of so many words, and their folder.
-
-    Equal passages choose the same fingerprint among their words, so a part whose fingerprints occur once holds none.
-    """
-
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            parts = []
-            for row1, row2, text in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text")), strict=True):
-                place, least = winnow(word_hashes(text)[0], words)
-                if not len(place):
-                    continue
-                start, end = word_spans(fold_bytes(text))
-                run = np.flatnonzero(np.append(True, np.diff(place) != 0))  # windows in a row with one fingerprint
-                last = np.append(run[1:], len(place)) - 1
-                parts.append((np.full(len(run), row1), np.full(len(run), row2), least[run].view(np.int64), start[run], end[last + words - 1]))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["row1", "row2", "fp", "first", "last"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            out = []
-            for row1, row2, text, ranges in zip(*(batch.column(n).to_pylist() for n in (*ROW, "text", "spans")), strict=True):
-                for first, last in merged(ranges):
-                    name = xxhash.xxh3_64_intdigest(struct.pack("<qq", row1, first)) - (1 << 63)
-                    out.append((name, row2, text[first:last], row1, first))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "text", "source1", "base"])
-
-    found, every_spot = stored_at(rows.select(*ROW, "text").mapInArrow(spots, "row1 long, row2 long, fp long, first long, last long"), "spots")
-    often = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    ranges = found.join(often, "fp", "left_semi").groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
-    texts = rows.select(*ROW, "text").join(ranges, ROW)
-    segments = stored_at(texts.mapInArrow(cut, "row1 long, row2 long, text binary, source1 long, base long"), "segments")
-    discard(rows.sparkSession, every_spot)
-    return segments
-
-
-def repeated_passages(rows: DataFrame, over_words: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """(row1, row2, first, last) of the passages of more than `over_words` words that occur more than once."""
-    words = over_words + 1
-    segments, folder = passage_segments(rows, words)
-    spans = stored_spans(segments.select(*ROW, "text"), hot_contexts, Reach(2 * words - 1))  # one byte a word and one between
-    spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            out = []
-            for row1, row2, base, text, ranges in zip(*(batch.column(n).to_pylist() for n in ("source1", "row2", "base", "text", "spans")), strict=True):
-                for name, entry in passages_of(text, ranges, words).items():
-                    ends = [{"first": base + a, "last": base + b} for a, b in zip(entry[1::2], entry[2::2], strict=True)]
-                    out.append((row1, row2, *name, entry[0], ends))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(),) * 5 + (SPANS,)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row1", "row2", "h1", "h2", "n", "ranges"])
-
-    schema = "row1 long, row2 long, h1 long, h2 long, n long, ranges array<struct<first: long, last: long>>"
-    found, every_passage = stored_at(segments.join(spans, ROW).mapInArrow(run, schema), "passages")
-    discard(rows.sparkSession, folder)
-    often = found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    spans = stored(found.join(often, ["h1", "h2"], "left_semi").select(*ROW, F.inline("ranges")), "spans")
-    discard(rows.sparkSession, every_passage)
-    return spans
-
-
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], cut_passages: bool) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
-        sizes, removed, kept = [], [], []
-        for text, spans in zip(*(batch.column(n).to_pylist() for n in ("text", "spans")), strict=True):
-            runs, at, parts = merged(spans), 0, []
+        sizes, removed, passages, kept = [], [], [], []
+        for text, spans, words in zip(*(batch.column(n).to_pylist() for n in ("text", "spans", "words")), strict=True):
+            if words:
+                start, end = word_spans(fold_bytes(text))
+                words = [{"first": int(start[w["first"]]), "last": int(end[w["last"] - 1])} for w in words]
+            runs, at, parts = merged([*(spans or []), *(words or [])] if cut_passages else spans), 0, []
             for first, last in runs:
                 parts.append(text[at:first])
                 at = last
             sizes.append(len(text))
             removed.append([{"first": a, "last": b} for a, b in runs])
+            passages.append([{"first": a, "last": b} for a, b in merged(words)])
             kept.append(b"".join([*parts, text[at:]]))
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary()), batch.column("other")]
-        yield pa.record_batch(columns, names=["doc_id", "n_bytes", "spans", "kept", "other"])
+        columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(passages, SPANS), pa.array(kept, pa.binary()), batch.column("other")]
+        yield pa.record_batch(columns, names=["doc_id", "n_bytes", "spans", "passages", "kept", "other"])
 
 
-def remove_repeats(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, length: int = LENGTH, over_words: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, spans (removed byte ranges), kept (the other bytes) and other of each row of `docs`.
+def remove_repeats(
+    docs: DataFrame, hot_contexts: int = HOT_CONTEXTS, length: int = LENGTH, over_words: int | None = None, cut_passages: bool = True
+) -> DataFrame:
+    """doc_id, n_bytes, spans (removed byte ranges), passages (byte ranges), kept (the other bytes) and other of each row of `docs`.
 
-    Removed are repeated strings of `length` bytes and, if given, repeated passages of more than `over_words` words.
-    `other` is a struct of the columns besides doc_id and text.
+    Removed are repeated strings of `length` bytes. If `over_words` is given, the passages are the repeated ones of more than
+    so many words; they are removed as well, unless `cut_passages` is off. `other` is a struct of the columns besides doc_id
+    and text.
     """
     rest = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
     other = F.struct(*rest) if rest else F.lit(None).cast("boolean")
     rows = docs.select(*row_keys(), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), other.alias("other"))
+    in_words = F.lit(False)
     if over_words is None:
         spans, _ = repeated_spans(rows, hot_contexts, Reach(length))
     else:  # one after the other, so that their files never lie on the disks together
-        spans = stored_spans(rows, hot_contexts, Reach(length)).unionByName(repeated_passages(rows, over_words, hot_contexts))
-    spans = spans.groupBy(ROW).agg(F.collect_set(F.struct("first", "last")).alias("spans"))  # bounded by one text
-    schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, kept binary").add(rows.schema["other"])
-    return rows.join(spans, ROW, "left").mapInArrow(_remove, schema)
+        words = stored_spans(rows, hot_contexts, Passages(over_words + 1)).withColumn("in_words", F.lit(True))
+        spans = stored_spans(rows, hot_contexts, Reach(length)) if cut_passages else repeated_spans(rows, hot_contexts, Reach(length))[0]
+        spans, in_words = spans.withColumn("in_words", F.lit(False)).unionByName(words), F.col("in_words")
+    span = F.struct("first", "last")  # both lists are bounded by one text
+    spans = spans.groupBy(ROW).agg(F.collect_set(F.when(~in_words, span)).alias("spans"), F.collect_set(F.when(in_words, span)).alias("words"))
+    schema = "doc_id long, n_bytes long, spans array<struct<first: long, last: long>>, passages array<struct<first: long, last: long>>, kept binary"
+    return rows.join(spans, ROW, "left").mapInArrow(partial(_remove, cut_passages=cut_passages), T.StructType.fromDDL(schema).add(rows.schema["other"]))
 
 
 def cleaned_documents(docs: DataFrame, over_words: int | None = None) -> DataFrame:
@@ -445,8 +497,10 @@ def cleaned_documents(docs: DataFrame, over_words: int | None = None) -> DataFra
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Strings of 400 bytes are removed; repeated passages of more than `OVER_WORDS` words, removed or not, are reported beside them."""
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), over_words=OVER_WORDS, cut_passages=False)
+    passage_bytes = F.aggregate("passages", F.lit(0).cast("long"), lambda sum_, run: sum_ + run["last"] - run["first"])
     return cut.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"), passage_bytes.alias("n_passage_bytes"),
     )

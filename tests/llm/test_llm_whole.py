@@ -5,6 +5,7 @@ import random
 import re
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,56 @@ def test_stages_on_incomplete_rows(spark):
     assert len(corpus_pipeline.pack(spark, docs, "").collect()) == len(rows)
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_duplicates, corpus_pipeline.cut_repeats):
         assert ids(stage(spark, empty, "")) == []
+
+
+def passages_over(rows, over_words):
+    """doc_id and the byte runs of each (doc_id, bytes) that repeated passages of one word more cover."""
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    windows = [[(a.start(), b.end()) for a, b in zip(at, at[over_words:])] for at in (list(word.finditer(t)) for _, t in rows)]
+    seen = collections.Counter(t[a:b] for (_, t), spots in zip(rows, windows, strict=True) for a, b in spots)
+    out = []
+    for (doc_id, t), spots in zip(rows, windows, strict=True):
+        runs = []
+        for a, b in (spot for spot in spots if seen[t[spot[0] : spot[1]]] > 1):
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], b)
+            else:
+                runs.append((a, b))
+        out.append((doc_id, runs))
+    return out
+
+
+def odd_words(n, seed):
+    """Texts of words up to 90 bytes between separators of one to twelve bytes, zero bytes among them, that share their halves."""
+    random.seed(seed)
+    words, gaps = [b"a", b"Bc", "é".encode() * 3, b"x" * 9, b"long" * 9, b"y" * 90], [b" ", b"\0", b" \0", b"-" * 12, b"\n"]
+    halves = [b"".join(random.choice(words) + random.choice(gaps) for _ in range(60)) for _ in range(8)]
+    return [(i, random.choice(halves)[random.randint(0, 9) :].decode("utf-8", "ignore") + random.choice(halves).decode()) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_passages_are_reported_and_stay(spark, hot):
+    rows = [*short_passages(), *((100 + i, t) for i, t in odd_words(30, 5))]
+    plain = [(i, (t or "").encode()) for i, t in rows]
+    cut = suffix.remove_repeats(spark.createDataFrame(rows, DOC), hot, over_words=50, cut_passages=False).collect()
+    assert sorted((r.doc_id, [tuple(p) for p in r.passages]) for r in cut) == sorted(passages_over(plain, 50))
+    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in cut]
+    assert sorted(got) == sorted(brute.without_repeats(plain))
+
+
+def test_suffix_query_reports_repeated_passages(spark, tmp_path):
+    rows = short_passages()
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix.op3_suffix_dedup(spark, str(tmp_path)).collect()
+    wanted = [(i, len(runs), sum(b - a for a, b in runs)) for i, runs in passages_over([(i, (t or "").encode()) for i, t in rows], 50)]
+    assert sorted((r.doc_id, r.n_passages, r.n_passage_bytes) for r in got) == sorted(wanted)
+    assert any(r.n_passages and not r.n_removed for r in got)
+
+
+def test_hashes_tell_words_apart():
+    ranges = [bytes(range(n)) for n in range(1, 80)] + [bytes(n) for n in range(1, 80)] + [b"a", b"a\0", b"a" * 31 + b"b", b"a" * 32 + b"b"]
+    text, ends = b"".join(ranges), [0]
+    for r in ranges:
+        ends.append(ends[-1] + len(r))
+    hashes = suffix._hashes_of(text + b"tail", np.array(ends[:-1]), np.array(ends[1:]))
+    assert len(set(hashes.tolist())) == len(set(ranges))
