@@ -50,6 +50,7 @@ OVER_WORDS = 50
 GRAM = 32
 HOT_CONTEXTS = 20_000
 SORTED_TOGETHER = 10_000
+HASHED_TOGETHER = 500  # contexts whose words are hashed at once
 PIECE = 1 << 20  # positions hashed at once
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -144,6 +145,8 @@ class Passages(Reach):
 
     def sortable(self, sides: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
         """A word left of the anchor takes what follows it, the others what stands before them: sides agree in whole words."""
+        if len(sides) > HASHED_TOGETHER:
+            return [x for i in range(0, len(sides), HASHED_TOGETHER) for x in self.sortable(sides[i : i + HASHED_TOGETHER])]
         if not sides:
             return []
         text = b"\n".join([before + after for before, after in sides])
