@@ -4,10 +4,11 @@ A text is cut into blocks of `BLOCK` words that overlap by half. A block holds a
 the template's distinct words are in it. Template words are ordered by how many documents hold them, rarest first; a
 block can reach the threshold only if it has a word of the template's prefix in this order (prefix filter), enough
 template words at all (length filter), and enough of them from the first common word on (positional filter). Pairs that
-pass are verified by counting the common words and by the words that name the license, which must stand one after
-another in the block: notices that differ in the name alone share all other words. A notice of up to half a block and
-one word lies whole in some block. Templates are a short fixed list; only counts of their words, one row per word,
-reach the driver.
+pass are verified by counting the common words and, where the template names its license, by that name: notices that
+differ in the name alone share all other words. A name is the fewest words that no other license shares, one after
+another in the block; a notice that names no license is held by its words alone. A notice of up to half a block and one
+word lies whole in some block. Templates are a short fixed list; only counts of their words, one row per word, reach
+the driver.
 
 Besides, given phrases are looked up word by word (base labels).
 
@@ -25,19 +26,20 @@ from pyspark.sql import functions as F
 from barweave.llm.common import SEPARATORS, lower_ascii, table
 
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-# label, words of the template, the words among them that name the license: a block must hold these one after another
+# label, words of the template, the words among them that name the license (none: empty): a block must hold these one after
+# another. 'gnu' alone is LGPL's as well, 'sa' that of CC BY-NC-SA, and 'mit' is a word of "Apache License, mit".
 TEMPLATES = (
-    ("apache-2", "licensed under the apache license version 2 0", "apache license"),
-    ("apache-2", "you may not use this file except in compliance with the license", "except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used", "nor the names of its contributors"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache"),
+    ("apache-2", "you may not use this file except in compliance with the license", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used", ""),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies", "this permission notice shall be included"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", ""),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla"),
 )
 THRESHOLD = 0.8
 BLOCK = 32
@@ -116,7 +118,7 @@ def block_matches(worded: DataFrame, order: list[str], index: list[IndexRow], bl
     common = F.size(F.array_intersect("held", "tokens"))
     # words hold no blanks, so the joined block holds the name between blanks where its words follow each other
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    named = F.contains(spaced, F.concat(F.lit(" "), "name", F.lit(" ")))
+    named = (F.col("name") == "") | F.contains(spaced, F.concat(F.lit(" "), "name", F.lit(" ")))
     pairs = pairs.where(common >= F.col("needed")).where(named)
     return pairs.select("row_key", "label", (common / F.size("tokens")).alias("containment"))
 
@@ -169,7 +171,7 @@ spots AS (
   FROM (SELECT row_id, words, unnest(range(len(words) // {BLOCK // 2} + 1)) AS k FROM d)
 ), matches AS (
   SELECT row_id, label, len(list_intersect(list_distinct(block), tokens)) / len(tokens) AS containment FROM blocks, templates
-  WHERE contains(' ' || array_to_string(block, ' ') || ' ', ' ' || name || ' ')
+  WHERE name = '' OR contains(' ' || array_to_string(block, ' ') || ' ', ' ' || name || ' ')
 ), matched AS (
   SELECT row_id, list(DISTINCT label) AS matched, max(containment) AS containment FROM matches WHERE containment >= {THRESHOLD} GROUP BY row_id
 )

@@ -94,6 +94,24 @@ def test_license_scan_blocks_and_edges(spark, tmp_path):
     assert licenses.op5_license_scan(spark, str(tmp_path)).count() == len(rows)
 
 
+def test_license_notices_count_by_their_words(spark, tmp_path):
+    """A notice that names no license, or names it with a word more, is no smaller match than before names were asked for."""
+    texts = [
+        "Redistribution and use in source or binary forms, with or without modification, are permitted", "Licensed under the Apache Software License, Version 2.0",
+        "Permission hereby granted, free of charge, to any person obtaining a copy of this software", "Subject to the terms of the Mozilla Foundation Public License, v. 2.0",
+        "This work is licensed under the GNU Lesser General Public License version 3", "Licensed under CC BY-NC-SA 4.0", "Licensed under the Other License, Version 2.0",
+    ]
+    rows = [*enumerate(texts), *enumerate(texts[:2]), (None, texts[0]), (90, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    got = sorted(map(str, map(tuple, licenses.op5_license_scan(spark, str(tmp_path)).select(names).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(str, con.execute(f"SELECT {', '.join(names)} FROM ({licenses.ORACLE})").fetchall()))
+    labels = {r.doc_id: r.labels for r in licenses.op5_license_scan(spark, str(tmp_path)).where("doc_id < 90").collect()}
+    assert [labels[i] for i in range(len(texts))] == ["bsd", "apache-2", "mit", "mpl-2", "", "cc-by-nc", ""]
+
+
 def test_license_scan_runs_no_python(spark):
     plan = licenses.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
