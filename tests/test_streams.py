@@ -1,9 +1,13 @@
 """State carried from batch to batch: the cut of a source into batches changes nothing."""
 
 import datetime as dt
+import random
 import time
 
+from barweave import params
 from barweave.operators import history, serving as sv, unified as un
+from barweave.operators.bars import recent_bars
+from barweave.plans import cycle
 from barweave.sources import market_tables as m
 from barweave.sources.keyed_log import KeyedLog, newest_rows
 from barweave.streaming import flows
@@ -108,6 +112,44 @@ def test_a_backlog_is_decided_in_steps_outside_of_any_broadcast(spark, tmp_path,
     assert len(list((tmp_path / "slow-out" / "decided").glob("batch=*"))) == 1
 
 
+def rounded_rows(rows):
+    def plain(v):
+        return round(v, 8) + 0.0 if isinstance(v, float) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    return sorted(str([plain(v) for v in r]) for r in rows)
+
+
+def test_rolled_decisions_equal_those_of_frames(spark, monkeypatch):
+    """Long, short and flat histories, missing volumes, a symbol that no bar has, segments and a cut between batches."""
+    monkeypatch.setattr(flows, "SEGMENT_BARS", 128)
+    lookback, start, rows, price = 110, dt.datetime(2024, 1, 1), [], 100.0
+    draw = random.Random(4)
+    for name, n in (("A", 300), ("B", 60), ("C", 130), (None, 3)):
+        for k in range(n):
+            flat = name == "C" and 20 <= k < 60
+            price = price if flat else max(1.0, price + draw.choice((-2.0, -0.5, 0.0, 0.25, 1.5)))
+            wide = 0.0 if flat else draw.choice((0.0, 0.5, 1.0))
+            rows.append((name, start + dt.timedelta(minutes=k), price, price + wide, price - wide, price, None if k % 17 == 3 else draw.randint(1, 90)))
+    bars = spark.createDataFrame(rows, flows.BAR_LOG).repartition(4).cache()
+    columns = ["symbol", "ts", "seq", "score", "confidence", "raw_direction", "components", "daily_bias", "price"]
+    whole = flows.rolling_decisions(None, bars, lookback).select(columns).collect()
+    wanted = flows.cycle_decisions(flows.cycle_frames(None, bars, lookback), lookback).select(columns).collect()
+    assert len(whole) == 490 and rounded_rows(whole) == rounded_rows(wanted)
+    assert len({c.direction for r in whole for c in r.components}) == 3
+    # a bar's decision does not depend on the batch that it comes in
+    cut = F.lit(start + dt.timedelta(minutes=125))
+    late, early = bars.where(F.col("ts") >= cut), recent_bars(bars.where(F.col("ts") < cut), lookback).select(*flows.BAR_COLUMNS)
+    part = flows.rolling_decisions(early, late, lookback).select(columns).collect()
+    assert sorted(map(str, part)) == sorted(str(r) for r in whole if r.ts >= start + dt.timedelta(minutes=125)) and len(part) == 180
+
+
+def test_the_lookback_of_a_cycle_needs_no_copy_of_a_bar_for_each_frame(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "cycle_frames", None)
+    bars = spark.createDataFrame([("A", dt.datetime(2024, 1, 1, 0, k), 1.0 + k, 2.0 + k, 0.5 + k, 1.5 + k, 10) for k in range(30)], flows.BAR_LOG)
+    assert flows.write_decisions(bars.limit(0), bars, params.LOOKBACK, f"{tmp_path}/decided").count() == 30
+    assert [cycle.rolls(n) for n in (20, 100, 101, params.LOOKBACK, params.ADAPTIVE_PERIODS)] == [False, False, True, True, False]
+
+
 def test_a_batch_writes_the_state_of_its_own_symbols(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(flows, "COMPACT_EVERY", 2)
     ticks = m.ticks(spark, SF).where("symbol in ('U1', 'U2')").select("symbol", "ts", "seq", "ltp", "ltq")
